@@ -46,8 +46,9 @@ def cogroup_tiles(left: DataFrame, right: DataFrame, keys: Sequence[str], tiles:
     """Run ``fn`` once per tile key. The partition count is fixed: tiles are small in bytes but
     heavy in arithmetic, so they must not be coalesced by size."""
     parts = tile_parallelism(left, tiles)
-    a = left.repartition(parts, *keys)
-    b = right.repartition(parts, *keys)
+    # Both sides may come from one table; new aliases keep their columns apart.
+    a, b = (side.select(*[F.col(c).alias(c) for c in side.columns]).repartition(parts, *keys)
+            for side in (left, right))
     return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInArrow(fn, schema)
 
 
