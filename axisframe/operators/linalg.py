@@ -147,7 +147,8 @@ def _map_vectors(rows: DataFrame, vector: str, out: str,
                 yield pa.RecordBatch.from_arrays(
                     [*[batch.column(n) for n in names], value], names=[*names, out])
 
-    return rows.select(*names).mapInArrow(run, schema)
+    # The input still holds a vector column that the output replaces.
+    return rows.select(*rows.columns).mapInArrow(run, schema)
 
 
 class _Adapter:

@@ -75,7 +75,8 @@ def telemetry_summary(samples: DataFrame, metric: str = "metric", value: str = "
 
 def throughput_summary(rows: DataFrame, group: str = "run_id", at: str = "created_at") -> DataFrame:
     """Completed, failed and items per second of each run."""
-    seconds = F.max(F.col(at).cast("double")) - F.min(F.col(at).cast("double"))
+    stamp = F.col(at).cast("timestamp").cast("double")
+    seconds = F.max(stamp) - F.min(stamp)
     done = F.count(F.when(F.col("status") == "ok", 1))
     return rows.groupBy(group).agg(
         done.alias("completed"), (F.count("*") - done).alias("failed"), seconds.alias("seconds"),

@@ -391,16 +391,18 @@ _CTES = {
       unnest([0, 1]) as rollout from cells)) where step <= {max(SCHEDULE)})"""),
     "sizes": ([], "(select * from (values " + ", ".join(
         f"({s}, {n})" for s, n in SCHEDULE.items()) + ") t(size, allowed))"),
-    "ranks": (["rollouts", "profile_cells", "sizes"], """(select model, q.image_id, rollout, kind, size,
+    "ranks": (["rollouts", "profile_cells"], f"""(select model, image_id, rollout, kind, size,
       1 + sum(case when s > own + 1e-7 then 1 else 0 end)
         + 0.5 * (sum(case when abs(s - own) <= 1e-7 then 1 else 0 end) - 1) as rank
     from (select *, max(case when item = image_id then s end) over (
         partition by model, image_id, rollout, kind, size) as own
-      from (select p.model, r.image_id, r.rollout, r.kind, z.size, p.image_id as item,
-          sum(p.score) as s, count(*) as n
-        from rollouts r join profile_cells p using (concept)
-        join sizes z on r.step <= z.size and r.rollout < z.allowed
-        group by all having count(*) = z.size)) q group by all)"""),
+      from (select model, image_id, rollout, kind, item, n, unnest({list(SCHEDULE)}) as size,
+          unnest({list(SCHEDULE.values())}) as allowed,
+          unnest([{", ".join(f"s{k}" for k in SCHEDULE)}]) as s
+        from (select p.model, r.image_id, r.rollout, r.kind, p.image_id as item, count(*) as n,
+            {", ".join(f"sum(p.score) filter (step <= {k}) as s{k}" for k in SCHEDULE)}
+          from rollouts r join profile_cells p using (concept) group by all))
+      where rollout < allowed and size <= n) group by all)"""),
     "caption_lines": ([], """(select cast(doc_id as varchar) || '#' || cast(pos as varchar) as image_id,
       doc_id, pos, content from (select doc_id, unnest(string_split(text, chr(10))) as content,
       unnest(range(len(string_split(text, chr(10))))) as pos from documents))"""),

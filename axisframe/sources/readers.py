@@ -10,33 +10,50 @@ from pyspark.sql import types as T
 
 from axisframe import schemas
 from axisframe.functions.columns import IMAGE_SUFFIXES, as_doubles
+from axisframe.operators.ranking import ranked
 
 
 def src_annotations(spark: SparkSession, path: str | Sequence[str],
                     schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     """Label, tag or caption JSON lines as (rows, rejects); blank lines are skipped."""
     paths = [path] if isinstance(path, str) else list(path)
-    with_bad = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
-    raw = (spark.read.schema(with_bad).option("mode", "PERMISSIVE")
-           .option("columnNameOfCorruptRecord", "_corrupt_record").json(paths))
-    # A scan that asks for the bad-record column alone is refused, so both sides keep all columns.
-    rows = raw.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
-    rejects = raw.where(F.col("_corrupt_record").isNotNull()).select(
-        F.col("_corrupt_record").alias("line"), F.input_file_name().alias("path"), *schema.names
-    ).select("path", "line")
-    return rows, rejects
-
-
-def src_id_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """An ordered JSON list of ids as ``(pos, image_id)``; positions are explicit from here on."""
-    text = spark.read.text(path, wholetext=True)
-    return text.select(F.posexplode(F.from_json("value", "array<string>"))
-                       .alias("pos", "image_id")).withColumn("pos", F.col("pos").cast("long"))
-
-
-def write_id_manifest_lines(ids: DataFrame, path: str) -> None:
-    """The splittable form of an id manifest: ``(pos, image_id)`` Parquet."""
-    ids.select("pos", "image_id").write.mode("overwrite").parquet(path)
+    with_bad = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    lines = spark.read.text(paths).where(F.trim("value") != "")
+    parsed = lines.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("line"),
+                          F.from_json("value", with_bad, options).alias("r"))
+    good = F.col("r._bad").isNull()
+    return (parsed.where(good).select(*[F.col(f"r.{f.name}") for f in schema.fields]),
+            parsed.where(~good).select("path", "line"))
+
+
+def src_id_manifest(spark: SparkSession, path: str, layout: str = "lines") -> DataFrame:
+    """An ordered JSON list of ids as ``(pos, image_id)``; positions are explicit from here on.
+
+    An indented list has one id per line, so it is read in splits: the place of an id is its
+    file, the start of its split and its line within the split. ``layout="document"`` reads a
+    compact one-line list, which no reader can split.
+    """
+    if layout == "document":
+        text = spark.read.text(path, wholetext=True)
+        return text.select(F.posexplode(F.from_json("value", "array<string>"))
+                           .alias("pos", "image_id")).withColumn("pos", F.col("pos").cast("long"))
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_line"))
+    items = lines.withColumn("image_id", F.from_json(F.concat(
+        F.lit("["), F.regexp_extract("value", r'^\s*(".*")\s*,?\s*$', 1), F.lit("]")), "array<string>")[0])
+    return ranked(items.where(F.col("image_id").isNotNull()).select(
+        "image_id", "_file", "_start", "_line"), ["_file", "_start", "_line"], name="pos", start=0
+    ).select("pos", "image_id")
+
+
+def write_id_manifest(ids: DataFrame, path: str) -> None:
+    """One quoted id per line, in ``pos`` order over the part files."""
+    quoted = F.regexp_extract(F.to_json(F.array("image_id")), r"^\[(.*)\]$", 1)
+    ids.orderBy("pos").select(F.concat(F.lit("  "), quoted, F.lit(",")).alias("value")).write.mode(
+        "overwrite").text(path)
 
 
 def src_dictionary(spark: SparkSession, path: str) -> DataFrame:
