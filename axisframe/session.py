@@ -47,17 +47,15 @@ def scratch_folder(spark: SparkSession, purpose: str) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder, so a lost executor cannot change the rows.
+    """Write a table to the shared folder and read it back.
 
-    The frame is kept in executor memory or disk while the folder is written, otherwise
-    Spark would run its last stage twice.
+    This cuts the lineage, so a lost executor cannot change the rows (range bounds, for one, are
+    sampled anew on every run), computes them once, and gives later joins the real size.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    kept = df.persist()
-    try:
-        return kept.checkpoint(eager=True)
-    finally:
-        kept.unpersist()
+    spark = df.sparkSession
+    path = scratch_folder(spark, "table")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
