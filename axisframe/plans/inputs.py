@@ -13,7 +13,7 @@ from axisframe.session import spread
 SEED = 20260710
 LABEL_NAMES = ["quality", "toxic", "lang_en", "lang_de", "long", "even_source"]
 ROLLOUT_SEED = 11
-SCHEDULE = {1: 2, 2: 2, 5: 2, 10: 2, 20: 1}
+SCHEDULE = {1: 2, 2: 2, 4: 2, 8: 2, 14: 1}
 N_DIMS = 64
 EDGE_THRESHOLD = 0.3
 MERGE_THRESHOLD = 0.45
@@ -383,11 +383,12 @@ _CTES = {
     "profile_cells": (["cells", "moments"], """(select 'raw' as model, image_id, concept, score from cells
     union all select 'standardized', image_id, concept, (score - mean) / (std + 1e-6::double)
     from cells join moments using (concept))"""),
-    "rollouts": (["cells"], f"""(select * from (select image_id, rollout, kind, concept,
+    "rollouts": (["cells"], f"""(select * from (select image_id, rollout, kind, concept, length,
       row_number() over (partition by image_id, rollout, kind order by sha256('{ROLLOUT_SEED}|' ||
         cast(image_id as varchar) || '|' || cast(rollout as varchar) || '|' || cast(concept as varchar)),
         concept) as step
     from (select image_id, concept, case when score > 0 then 'true' else 'random' end as kind,
+      sum((score > 0)::int) over (partition by image_id) as length,
       unnest([0, 1]) as rollout from cells)) where step <= {max(SCHEDULE)})"""),
     "sizes": ([], "(select * from (values " + ", ".join(
         f"({s}, {n})" for s, n in SCHEDULE.items()) + ") t(size, allowed))"),
@@ -399,7 +400,7 @@ _CTES = {
       from (select model, image_id, rollout, kind, item, n, unnest({list(SCHEDULE)}) as size,
           unnest({list(SCHEDULE.values())}) as allowed,
           unnest([{", ".join(f"s{k}" for k in SCHEDULE)}]) as s
-        from (select p.model, r.image_id, r.rollout, r.kind, p.image_id as item, count(*) as n,
+        from (select p.model, r.image_id, r.rollout, r.kind, p.image_id as item, max(r.length) as n,
             {", ".join(f"sum(p.score) filter (step <= {k}) as s{k}" for k in SCHEDULE)}
           from rollouts r join profile_cells p using (concept) group by all))
       where rollout < allowed and size <= n) group by all)"""),

@@ -42,8 +42,8 @@ def src_id_manifest(spark: SparkSession, path: str, layout: str = "lines") -> Da
         "value", F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_line"))
-    items = lines.withColumn("image_id", F.from_json(F.concat(
-        F.lit("["), F.regexp_extract("value", r'^\s*(".*")\s*,?\s*$', 1), F.lit("]")), "array<string>")[0])
+    items = lines.withColumn("image_id", F.get(F.from_json(F.concat(
+        F.lit("["), F.regexp_extract("value", r'^\s*(".*")\s*,?\s*$', 1), F.lit("]")), "array<string>"), 0))
     return ranked(items.where(F.col("image_id").isNotNull()).select(
         "image_id", "_file", "_start", "_line"), ["_file", "_start", "_line"], name="pos", start=0
     ).select("pos", "image_id")
