@@ -73,7 +73,8 @@ def exact_percentiles(df: DataFrame, within: Sequence[str], value: str,
         whole = df.withColumn("_all", F.lit(0))
         return exact_percentiles(whole, ["_all"], value, fractions).drop("_all")
     present = df.where(F.col(value).isNotNull())
-    counts = present.groupBy(*within, value).agg(F.count("*").alias("_n"))
+    # Read by the sort and by the group sizes; the merged values are never more than the rows.
+    counts = materialize(present.groupBy(*within, value).agg(F.count("*").alias("_n")))
     placed = running_totals(counts, [value], within, {"_start": "_n"})
     sizes = counts.groupBy(*within).agg(F.sum("_n").alias("_size"))
     joined = placed.join(sizes, list(within))

@@ -16,6 +16,7 @@ from axisframe.operators.linalg import dense_products, vector_width
 from axisframe.operators.ranking import exact_percentiles
 from axisframe.operators.sampling import with_sizes
 from axisframe.operators.tiles import cross_tiles
+from axisframe.session import materialize
 
 # They must equal the reference's for right results.
 TIE_BAND = 1e-7
@@ -36,41 +37,51 @@ def gallery_scores(queries: DataFrame, gallery: DataFrame, query_key: str = "que
 
 # ---- paired retrieval ------------------------------------------------------
 
-def target_rank_index_tie(pairs: DataFrame, query: str, target: str, key: str = "pos"
-                          ) -> DataFrame:
-    """``(pos, rank)`` of each query's own target: 1 + those ahead + ties of smaller index.
+def _ahead(scores: np.ndarray, own: np.ndarray, mine: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """How many others beat each row's own target in one tile, ties going to smaller indexes."""
+    ahead = (scores > own[:, None] + EXACT_TIE) & (other[None, :] != mine[:, None])
+    tied = (np.abs(scores - own[:, None]) <= EXACT_TIE) & (other[None, :] < mine[:, None])
+    return (ahead | tied).sum(axis=1)
 
-    Only the two counts leave a tile, never the scores.
-    """
+
+def _pair_counts(pairs: DataFrame, query: str, target: str, key: str, both: bool) -> DataFrame:
+    """``(backward, pos, rank)``. One product serves both directions: a tile's rows rank the
+    targets of its queries, its columns the queries of its targets. Only counts leave a tile."""
     q, t = C.l2_normalize(query, guard="strict"), C.l2_normalize(target, guard="strict")
     unit = pairs.select(F.col(key).alias("pos"), q.alias("q"), t.alias("t"))
-    queries = unit.select("pos", "q", C.dot("q", "t").alias("own"))
-    schema = T.StructType([T.StructField("pos", unit.schema["pos"].dataType),
+    unit = unit.select("pos", "q", "t", C.dot("q", "t").alias("own"))
+    schema = T.StructType([T.StructField("backward", T.BooleanType()),
+                           T.StructField("pos", unit.schema["pos"].dataType),
                            T.StructField("ahead", T.LongType())])
 
     def count(a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:
-            return pa.table({"pos": a.column("pos").slice(0, 0), "ahead": pa.array([], pa.int64())})
+            return pa.table({"backward": pa.array([], pa.bool_()),
+                             "pos": a.column("pos").slice(0, 0), "ahead": pa.array([], pa.int64())})
         scores = matrix(a.column("q")) @ matrix(b.column("t")).T
-        own = a.column("own").to_numpy()[:, None]
-        mine = a.column("pos").to_numpy()[:, None]
-        other = b.column("pos").to_numpy()[None, :]
-        ahead = (scores > own + EXACT_TIE) & (other != mine)
-        tied = (np.abs(scores - own) <= EXACT_TIE) & (other < mine)
-        return pa.table({"pos": a.column("pos"), "ahead": (ahead | tied).sum(axis=1)})
-
-    counts = cross_tiles(queries, unit.select("pos", "t"), "pos", "pos",
+        sides = [(False, scores, a, b)] + ([(True, scores.T, b, a)] if both else [])
+        return pa.concat_tables([pa.table({
+            "backward": pa.array([backward] * x.num_rows), "pos": x.column("pos"),
+            "ahead": _ahead(s, x.column("own").to_numpy(), x.column("pos").to_numpy(),
+                            y.column("pos").to_numpy())}) for backward, s, x, y in sides])
+
+    counts = cross_tiles(unit.select("pos", "q", "own"), unit.select("pos", "t", "own"), "pos", "pos",
                          vector_width(unit, "q"), count, schema)
-    return counts.groupBy("pos").agg((1 + F.sum("ahead")).alias("rank"))
+    return counts.groupBy("backward", "pos").agg((1 + F.sum("ahead")).alias("rank"))
+
+
+def target_rank_index_tie(pairs: DataFrame, query: str, target: str, key: str = "pos"
+                          ) -> DataFrame:
+    """``(pos, rank)`` of each query's own target: 1 + those ahead + ties of smaller index."""
+    return _pair_counts(pairs, query, target, key, both=False).select("pos", "rank")
 
 
 def paired_ranks(pairs: DataFrame, image: str = "image", caption: str = "caption",
                  key: str = "pos") -> DataFrame:
     """``(direction, pos, rank)`` both ways."""
-    there = target_rank_index_tie(pairs, image, caption, key)
-    back = target_rank_index_tie(pairs, caption, image, key)
-    return (there.withColumn("direction", F.lit("image_to_caption"))
-            .unionByName(back.withColumn("direction", F.lit("caption_to_image"))))
+    ranks = _pair_counts(pairs, image, caption, key, both=True)
+    return ranks.select(F.when(F.col("backward"), "caption_to_image").otherwise("image_to_caption")
+                        .alias("direction"), "pos", "rank")
 
 
 def paired_retrieval(pairs: DataFrame, ks: Sequence[int] = (1, 5, 10), image: str = "image",
@@ -80,6 +91,7 @@ def paired_retrieval(pairs: DataFrame, ks: Sequence[int] = (1, 5, 10), image: st
 
 
 def rank_summary(ranks: DataFrame, by: Sequence[str], ks: Sequence[int]) -> DataFrame:
+    ranks = materialize(ranks)
     metrics = ranks.groupBy(*by).agg(
         F.count("*").alias("queries"),
         *[F.avg((F.col("rank") <= k).cast("double")).alias(f"recall_at_{k}") for k in ks],
@@ -209,6 +221,7 @@ def compositional_ranks(images: DataFrame, profiles: DataFrame, n_concepts: int,
 def recall_curve(ranks: DataFrame, gallery_size: int, ks: Sequence[int] = RECALL_AT) -> DataFrame:
     """Per model, kind and size: cohort, recall, reciprocal, median and normalized rank, chance."""
     by = ["model", "kind", "size"]
+    ranks = materialize(ranks)
     per_image = ranks.groupBy(*by, "image_id").agg(
         F.count("*").alias("n"),
         *[F.sum((F.col("rank") <= k).cast("long")).alias(f"h{k}") for k in ks],
@@ -246,6 +259,7 @@ def paired_comparison(ranks: DataFrame, reference: str, kind: str = "true") -> D
     """How the reference model ranks against each other model on the same queries."""
     keys = ["image_id", "rollout", "size"]
     wanted = ranks.where(F.col("kind") == kind)
+    wanted = materialize(wanted)
     ref = wanted.where(F.col("model") == reference).select(*keys, F.col("rank").alias("ref_rank"))
     others = wanted.where(F.col("model") != reference)
     d = F.col("ref_rank") - F.col("rank")

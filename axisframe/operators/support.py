@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from axisframe.functions.columns import image_class
 from axisframe.operators.ranking import ranked
+from axisframe.session import materialize
 
 # They must equal the reference's for right results.
 NEGATION_PREFIXES = ("in", "un", "non", "anti", "dis")
@@ -21,15 +22,14 @@ def tag_mentions(rows: DataFrame) -> DataFrame:
                          F.explode(F.array_distinct("attributes")).alias("phrase"))
 
 
-def _class_totals(mentions: DataFrame) -> DataFrame:
-    # Two steps, so that one class with a third of all images is combined before it moves.
-    return (mentions.select("class", "image_id").distinct()
-            .groupBy("class").agg(F.count("*").alias("class_images")))
+def _support(units: DataFrame, mentions: DataFrame, unit: str, images: DataFrame | None) -> DataFrame:
+    """Support of a unit (phrase or cluster) over classes that hold any tagged image.
 
-
-def _support(units: DataFrame, mentions: DataFrame, unit: str) -> DataFrame:
-    """Support of a unit (phrase or cluster) over classes that hold any tagged image."""
-    totals = _class_totals(mentions)
+    The tagged images follow from the mentions; a caller who has them as ``(image_id, class)``
+    saves that pass.
+    """
+    tagged = mentions.select("class", "image_id").distinct() if images is None else images
+    totals = tagged.groupBy("class").agg(F.count("*").alias("class_images"))
     per_class = units.groupBy(unit, "class").agg(F.count("*").alias("n"))
     whole = totals.agg(F.count("*").alias("n_classes"), F.sum("class_images").alias("n_images"))
     sized = totals.withColumn("_k", F.lit(1)).join(whole.withColumn("_k", F.lit(1)), "_k")
@@ -42,17 +42,17 @@ def _support(units: DataFrame, mentions: DataFrame, unit: str) -> DataFrame:
         F.first("n_images").alias("n_images"), F.first("n_classes").alias("n_classes"))
 
 
-def attribute_support(mentions: DataFrame) -> DataFrame:
+def attribute_support(mentions: DataFrame, images: DataFrame | None = None) -> DataFrame:
     """Per phrase: image mentions, class support and class-balanced prevalence.
 
     ``mentions`` is distinct ``(image_id, class, phrase)``.
     """
-    return _support(mentions, mentions, "phrase").drop("n_images", "n_classes")
+    return _support(mentions, mentions, "phrase", images).drop("n_images", "n_classes")
 
 
-def attribute_statistics(mentions: DataFrame) -> DataFrame:
+def attribute_statistics(mentions: DataFrame, images: DataFrame | None = None) -> DataFrame:
     """Support with prevalence and coverage, ranked by images, classes and name."""
-    support = _support(mentions, mentions, "phrase").select(
+    support = _support(mentions, mentions, "phrase", images).select(
         F.col("phrase").alias("attribute"), F.col("mentions").alias("images"),
         (F.col("mentions") / F.col("n_images")).alias("image_prevalence"),
         F.col("class_support").alias("classes"),
@@ -82,10 +82,12 @@ def exclude_lexical_negations(phrases: DataFrame) -> tuple[DataFrame, DataFrame]
     return phrases.join(negated, "phrase", "left_anti"), negated
 
 
-def candidate_phrases(mentions: DataFrame, min_mentions: int, min_class_support: int
-                      ) -> tuple[DataFrame, DataFrame]:
+def candidate_phrases(mentions: DataFrame, min_mentions: int, min_class_support: int,
+                      images: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Supported affirmative phrases with their support, and the dropped negations."""
-    kept = filter_support(attribute_support(mentions), min_mentions, min_class_support)
+    # Three joins read the candidates, which are far fewer than the mentions.
+    kept = materialize(filter_support(attribute_support(mentions, images), min_mentions,
+                                      min_class_support))
     return exclude_lexical_negations(kept)
 
 
@@ -107,11 +109,12 @@ def lexical_variant_key(phrases: DataFrame) -> DataFrame:
         "phrase", F.coalesce("s", "compact").alias("variant_key"))
 
 
-def cluster_support(mentions: DataFrame, clusters: DataFrame) -> DataFrame:
+def cluster_support(mentions: DataFrame, clusters: DataFrame, images: DataFrame | None = None
+                    ) -> DataFrame:
     """Support of ``(phrase, cluster)`` groups; an image counts once per cluster."""
     active = (mentions.join(clusters.select("phrase", "cluster"), "phrase")
               .select("image_id", "class", "cluster").distinct())
-    return _support(active, mentions, "cluster").select(
+    return _support(active, mentions, "cluster", images).select(
         "cluster", "mentions", "class_support",
         F.col("balanced_prevalence").alias("prevalence"),
         (F.col("mentions") / F.col("n_images")).alias("image_prevalence"))

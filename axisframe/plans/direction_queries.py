@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from axisframe.functions import columns as C
 from axisframe.operators import (
@@ -11,6 +10,7 @@ from axisframe.operators import (
     summaries, support)
 from axisframe.plans import inputs as I
 from axisframe.plans.registry import query
+from axisframe.session import materialize
 
 r6 = I.r6
 NAMES = I.LABEL_NAMES
@@ -325,6 +325,7 @@ def _edges(spark, sf):
 def _decisions(spark, sf):
     """Every edge decided by its ends' labels; some undecided, some decided twice."""
     phrases, edges = _edges(spark, sf)
+    edges = materialize(edges)
     label = phrases.select("phrase", "label")
     both = (edges.join(label.toDF("left", "_l"), "left").join(label.toDF("right", "_r"), "right"))
     judged = both.select("edge_id", (F.col("_l") == F.col("_r")).alias("equivalent"), "_l")
@@ -419,7 +420,7 @@ def cluster_phrases_average(spark, sf):
     else c end as k from compact)
   select phrase, min(phrase) over (partition by k) as cluster from keyed""")
 def cluster_phrases_lexical(spark, sf):
-    return clustering.cluster_phrases(I.words(spark, sf).select("phrase").distinct(), "lexical")
+    return clustering.cluster_phrases(materialize(I.words(spark, sf).select("phrase").distinct()), "lexical")
 
 
 _WALK = """, near as materialized (select l, r from (select a.vec_id as l, b.vec_id as r,

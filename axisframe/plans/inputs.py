@@ -40,7 +40,9 @@ def tags(spark: SparkSession, sf: str) -> DataFrame:
              .join(table(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"),
                                                      F.col("n_name").alias("class")),
                    "c_nationkey").select("o_custkey", "class"))
-    items = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey").join(part, "l_partkey")
+    # Placed by order, so that the distinct below needs no further shuffle on a small scan.
+    lines = spread(table(spark, sf, "lineitem").select("l_orderkey", "l_partkey"), "l_orderkey")
+    items = lines.join(part, "l_partkey")
     # Distinct on the narrow key first: names are added to orders x phrases, not to line items.
     mentions = items.select(F.col("l_orderkey").alias("o_orderkey"), "phrase").distinct()
     orders = (table(spark, sf, "orders").select("o_orderkey", "o_custkey").join(owner, "o_custkey")
@@ -81,6 +83,13 @@ def words(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---- labels ----------------------------------------------------------------
 
+def word_images(spark: SparkSession, sf: str) -> DataFrame:
+    """``(image_id, class)`` of the documents that hold any word."""
+    docs = table(spark, sf, "documents").where(F.lower("text").rlike("[a-z][a-z]"))
+    return docs.select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("image_id"),
+                       F.col("source").alias("class"))
+
+
 def label_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Sparse tri-state labels ``(image_id, source, lang, present, uncertain)`` of documents."""
     d = table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")

@@ -8,6 +8,7 @@ from axisframe.functions import columns as C
 from axisframe.operators import joins, sampling, summaries, support, textjobs
 from axisframe.plans import inputs as I
 from axisframe.plans.registry import query
+from axisframe.session import materialize
 
 r6 = I.r6
 
@@ -32,7 +33,7 @@ def attribute_support(spark, sf):
 @query("attribute_support_words", "words", _support_sql("words", """select phrase, mentions,
   class_support, round(balanced, 6) as balanced_prevalence from sup"""))
 def attribute_support_words(spark, sf):
-    s = support.attribute_support(I.words(spark, sf))
+    s = support.attribute_support(I.words(spark, sf), I.word_images(spark, sf))
     return s.select("phrase", "mentions", "class_support", r6("balanced_prevalence"))
 
 
@@ -55,13 +56,13 @@ def attribute_statistics(spark, sf):
 
 @query("attribute_statistics_words", "words", _support_sql("words", _STATS))
 def attribute_statistics_words(spark, sf):
-    return _rounded_stats(support.attribute_statistics(I.words(spark, sf)))
+    return _rounded_stats(support.attribute_statistics(I.words(spark, sf), I.word_images(spark, sf)))
 
 
 @query("filter_support", "words", _support_sql("words", """select phrase, mentions, class_support
   from sup where mentions >= 20 and class_support >= 5"""))
 def filter_support(spark, sf):
-    s = support.attribute_support(I.words(spark, sf))
+    s = support.attribute_support(I.words(spark, sf), I.word_images(spark, sf))
     return support.filter_support(s, 20, 5).select("phrase", "mentions", "class_support")
 
 
@@ -75,7 +76,7 @@ _NEGATED = """neg as (select phrase, arg_min(base, o) as base from (
 @query("exclude_lexical_negations", "words", _support_sql("words", ", " + _NEGATED + """
   select s.phrase, base, base is null as kept from sup s left join neg using (phrase)"""))
 def exclude_lexical_negations(spark, sf):
-    phrases = support.attribute_support(I.words(spark, sf)).select("phrase")
+    phrases = materialize(I.words(spark, sf).select("phrase").distinct())
     kept, negated = support.exclude_lexical_negations(phrases)
     return kept.select("phrase", F.lit(None).cast("string").alias("base"),
                        F.lit(True).alias("kept")).unionByName(
@@ -90,12 +91,12 @@ def exclude_lexical_negations(spark, sf):
     when c like '%s' and c not like '%ss' and c[:-2] in (select c from compact) then c[:-2]
     else c end as variant_key from compact""")
 def lexical_variant_key(spark, sf):
-    return support.lexical_variant_key(I.words(spark, sf).select("phrase").distinct())
+    return support.lexical_variant_key(materialize(I.words(spark, sf).select("phrase").distinct()))
 
 
 # Clusters of the tag phrases for the cluster reports: one per first letter.
-def _letters(spark, sf):
-    phrases = I.tags(spark, sf).select("phrase").distinct()
+def _letters(mentions):
+    phrases = mentions.select("phrase").distinct()
     return phrases.select("phrase", F.substring("phrase", 1, 1).alias("cluster"))
 
 
@@ -114,22 +115,25 @@ _LEADER = """lead as (select substring(phrase, 1, 1) as cluster, phrase as name,
   select cluster, mentions, class_support, round(prevalence, 6) as prevalence,
     round(image_prevalence, 6) as image_prevalence from csup"""))
 def cluster_support(spark, sf):
-    s = support.cluster_support(I.tags(spark, sf), _letters(spark, sf))
+    mentions = materialize(I.tags(spark, sf))
+    s = support.cluster_support(mentions, _letters(mentions))
     return s.select("cluster", "mentions", "class_support", r6("prevalence"), r6("image_prevalence"))
 
 
 @query("cluster_leader", "tags", _support_sql("tags", ", " + _LEADER + """
   select cluster, name, members from lead where rn = 1"""))
 def cluster_leader(spark, sf):
-    return support.cluster_leader(support.attribute_support(I.tags(spark, sf)), _letters(spark, sf))
+    found = support.attribute_support(I.tags(spark, sf))
+    return support.cluster_leader(found, found.select(
+        "phrase", F.substring("phrase", 1, 1).alias("cluster")))
 
 
 @query("concept_priority", "tags", _support_sql("tags", ", " + _CLUSTERS + ", " + _LEADER + """
   select name, cluster, row_number() over (order by prevalence desc, c.class_support desc,
     c.mentions desc, name) as priority from csup c join lead using (cluster) where rn = 1"""))
 def concept_priority(spark, sf):
-    clusters = _letters(spark, sf)
-    mentions = I.tags(spark, sf)
+    mentions = materialize(I.tags(spark, sf))
+    clusters = _letters(mentions)
     stats = support.cluster_support(mentions, clusters)
     names = support.cluster_leader(support.attribute_support(mentions), clusters)
     ordered = support.concept_priority(stats.join(names.select("cluster", "name"), "cluster"))
@@ -153,7 +157,7 @@ def top_tags(spark, sf):
     select *, row_number() over (order by mentions desc, class_support desc, phrase) as rank from sup)
   where contains(phrase, 'en') order by balanced desc, mentions desc, rank limit 50"""))
 def frequency_report(spark, sf):
-    stats = support.attribute_statistics(I.words(spark, sf))
+    stats = support.attribute_statistics(I.words(spark, sf), I.word_images(spark, sf))
     return support.frequency_report(stats, "en", "balanced", 50).select(
         "attribute", "images", "classes", r6("balanced_prevalence"))
 
@@ -249,12 +253,14 @@ def explicit_id_list(spark, sf):
 
 def _dictionary(spark, sf):
     """One concept per letter of the tag phrases, named by its leader."""
-    clusters = _letters(spark, sf)
-    names = support.cluster_leader(support.attribute_support(I.tags(spark, sf)), clusters)
+    found = materialize(support.attribute_support(I.tags(spark, sf)))
+    clusters = found.select("phrase", F.substring("phrase", 1, 1).alias("cluster"))
+    names = support.cluster_leader(found, clusters)
     # A cluster holds a dictionary entry's members, not rows of the data.
     members = clusters.groupBy("cluster").agg(F.sort_array(F.collect_list("phrase")).alias("members"))
     order = F.ascii("cluster").alias("concept_idx")
-    return members.join(names.select("cluster", "name"), "cluster").select(order, "name", "members")
+    return materialize(members.join(names.select("cluster", "name"), "cluster")
+                       .select(order, "name", "members"))
 
 
 _DICT = _SUPPORT.format(m="tags") + ", " + _LEADER + """,
