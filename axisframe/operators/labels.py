@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from axisframe.functions.columns import literal_array
 from axisframe.operators.contracts import duplicate_ids
+from axisframe.operators.scalars import with_row
 
 
 def query_concepts(rows: DataFrame, field: str = "present") -> tuple[DataFrame, DataFrame]:
@@ -33,10 +34,8 @@ def concept_counts(rows: DataFrame, names: Sequence[str]) -> DataFrame:
 def label_diagnostics(rows: DataFrame, names: Sequence[str]) -> DataFrame:
     """Rows, concepts, positive and uncertain rate, fewest positives and definite labels."""
     per = concept_counts(rows, names)
-    n = rows.agg(F.count("*").alias("rows")).withColumn("_k", F.lit(0))
-    joined = per.withColumn("_k", F.lit(0)).join(n, "_k")
     cells = F.first("rows") * F.count("*")
-    return joined.agg(
+    return with_row(per, rows.agg(F.count("*").alias("rows"))).agg(
         F.first("rows").alias("rows"), F.count("*").alias("concepts"),
         (F.sum("present") / cells).alias("positive_rate"),
         (F.sum("uncertain") / cells).alias("uncertain_rate"),

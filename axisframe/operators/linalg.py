@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from axisframe.functions import columns as C
 from axisframe.functions.arrow import list_column, matrix
 from axisframe.operators.ranking import exact_percentiles
+from axisframe.operators.scalars import with_row
 from axisframe.operators.tiles import cross_tiles
 
 # A matrix of parameters (concepts x dimensions) up to this size may be sent to every task.
@@ -201,11 +202,11 @@ def paired_cosine_summary(pairs: DataFrame, left: str = "image", right: str = "c
                           ) -> DataFrame:
     """Mean, population deviation, p05, median and p95 of each pair's cosine."""
     cosine = C.dot(C.l2_normalize(left, guard="strict"), C.l2_normalize(right, guard="strict"))
-    values = pairs.select(cosine.alias("cosine"), F.lit(0).alias("_k"))
-    moments = values.groupBy("_k").agg(F.count("*").alias("pairs"), F.avg("cosine").alias("mean"),
-                                       F.stddev_pop("cosine").alias("standard_deviation"))
-    spread = exact_percentiles(values, ["_k"], "cosine", {"p05": .05, "median": .5, "p95": .95})
-    return moments.join(spread, "_k").drop("_k")
+    values = pairs.select(cosine.alias("cosine"))
+    moments = values.agg(F.count("*").alias("pairs"), F.avg("cosine").alias("mean"),
+                         F.stddev_pop("cosine").alias("standard_deviation"))
+    return with_row(moments, exact_percentiles(
+        values, [], "cosine", {"p05": .05, "median": .5, "p95": .95}))
 
 
 def column_moments(rows: DataFrame, vector: str = "scores") -> DataFrame:
@@ -247,8 +248,7 @@ def standardized_profile(train: DataFrame, gallery: DataFrame, directions: DataF
     scored = project_scores(gallery, directions, vector, out)
     row = moments.agg(F.array_sort(F.collect_list(F.struct("concept_idx", "mean", "std")))
                       .alias("_m"))
-    keyed = scored.withColumn("_k", F.lit(1)).join(row.withColumn("_k", F.lit(1)), "_k").drop("_k")
-    return keyed.withColumn(out, F.zip_with(
+    return with_row(scored, row).withColumn(out, F.zip_with(
         out, "_m", lambda x, m: (x - m["mean"]) / (m["std"] + eps))).drop("_m")
 
 

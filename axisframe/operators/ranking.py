@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from axisframe.functions.columns import any_of, col
+from axisframe.operators.scalars import with_row
 from axisframe.session import materialize
 
 
@@ -69,15 +70,12 @@ def exact_percentiles(df: DataFrame, within: Sequence[str], value: str,
 
     Equal values are merged before the sort, so a value held by a third of the rows is one row.
     """
-    if not within:
-        whole = df.withColumn("_all", F.lit(0))
-        return exact_percentiles(whole, ["_all"], value, fractions).drop("_all")
     present = df.where(F.col(value).isNotNull())
     # Read by the sort and by the group sizes; the merged values are never more than the rows.
     counts = materialize(present.groupBy(*within, value).agg(F.count("*").alias("_n")))
     placed = running_totals(counts, [value], within, {"_start": "_n"})
     sizes = counts.groupBy(*within).agg(F.sum("_n").alias("_size"))
-    joined = placed.join(sizes, list(within))
+    joined = placed.join(sizes, list(within)) if within else with_row(placed, sizes)
     spots = {}
     for name, fraction in fractions.items():
         position = (F.col("_size") - 1) * F.lit(float(fraction))

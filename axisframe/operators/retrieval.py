@@ -14,7 +14,7 @@ from axisframe.functions import columns as C
 from axisframe.functions.arrow import matrix
 from axisframe.operators.linalg import dense_products, vector_width
 from axisframe.operators.ranking import exact_percentiles
-from axisframe.operators.sampling import with_sizes
+from axisframe.operators.scalars import with_row
 from axisframe.operators.tiles import cross_tiles
 from axisframe.session import materialize
 
@@ -325,14 +325,14 @@ def caption_retrieval_eval(pairs: DataFrame, scores: DataFrame, ks: Sequence[int
 
     ranks = target_rank_index_tie(pairs, "image", "caption", key)
     recall = ranks.agg(*[F.avg((F.col("rank") <= k).cast("double")).alias(f"recall_at_{k}")
-                         for k in ks], F.lit(0).alias("_k"))
-    directions = group_mean_directions(scores, "image", "scores").persist()
+                         for k in ks])
+    directions = materialize(group_mean_directions(scores, "image", "scores"))
     projected = project_scores(scores, directions, "image", "projection", key)
     cells = projected.select(F.posexplode(F.arrays_zip("projection", "scores"))
                              .alias("concept_idx", "c")).select(
         "concept_idx", F.col("c.projection").alias("value"),
         (F.col("c.scores") >= 0.5).alias("positive"))
-    auroc = concept_auroc(cells).agg(F.avg("auroc").alias("auroc"), F.lit(0).alias("_k"))
+    auroc = concept_auroc(cells).agg(F.avg("auroc").alias("auroc"))
     overlap = orthogonality_metrics(directions).select(
-        F.col("orth_rms").alias("group_mean_orth_rms"), F.lit(0).alias("_k"))
-    return recall.join(auroc, "_k").join(overlap, "_k").drop("_k")
+        F.col("orth_rms").alias("group_mean_orth_rms"))
+    return with_row(with_row(recall, auroc), overlap)

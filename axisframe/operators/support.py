@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from axisframe.functions.columns import image_class
 from axisframe.operators.ranking import ranked
+from axisframe.operators.scalars import with_row
 from axisframe.session import materialize
 
 # They must equal the reference's for right results.
@@ -29,17 +30,17 @@ def _support(units: DataFrame, mentions: DataFrame, unit: str, images: DataFrame
     saves that pass.
     """
     tagged = mentions.select("class", "image_id").distinct() if images is None else images
-    totals = tagged.groupBy("class").agg(F.count("*").alias("class_images"))
-    per_class = units.groupBy(unit, "class").agg(F.count("*").alias("n"))
+    # One row per class, read for the shares and for the two overall counts.
+    totals = materialize(tagged.groupBy("class").agg(F.count("*").alias("class_images")))
     whole = totals.agg(F.count("*").alias("n_classes"), F.sum("class_images").alias("n_images"))
-    sized = totals.withColumn("_k", F.lit(1)).join(whole.withColumn("_k", F.lit(1)), "_k")
-    joined = per_class.join(sized.drop("_k"), "class")
-    return joined.groupBy(unit).agg(
-        F.sum("n").alias("mentions"),
-        F.count("*").alias("class_support"),
-        (F.sum(F.col("n") / F.col("class_images")) / F.first("n_classes")).alias(
-            "balanced_prevalence"),
-        F.first("n_images").alias("n_images"), F.first("n_classes").alias("n_classes"))
+    per_class = units.groupBy(unit, "class").agg(F.count("*").alias("n"))
+    summed = per_class.join(totals, "class").groupBy(unit).agg(
+        F.sum("n").alias("mentions"), F.count("*").alias("class_support"),
+        F.sum(F.col("n") / F.col("class_images")).alias("shares"))
+    return with_row(summed, whole).select(
+        unit, "mentions", "class_support",
+        (F.col("shares") / F.col("n_classes")).alias("balanced_prevalence"),
+        "n_images", "n_classes")
 
 
 def attribute_support(mentions: DataFrame, images: DataFrame | None = None) -> DataFrame:
@@ -141,8 +142,8 @@ def tag_volume(mentions: DataFrame) -> DataFrame:
     """Total mentions, distinct tags and tagged images, in two combining steps."""
     per_tag = mentions.groupBy("phrase").agg(F.count("*").alias("n"))
     images = mentions.select("image_id").distinct().agg(F.count("*").alias("images"))
-    return (per_tag.agg(F.sum("n").alias("mentions"), F.count("*").alias("distinct_tags"))
-            .withColumn("_k", F.lit(1)).join(images.withColumn("_k", F.lit(1)), "_k").drop("_k"))
+    return with_row(per_tag.agg(F.sum("n").alias("mentions"), F.count("*").alias("distinct_tags")),
+                    images)
 
 
 def top_tags(mentions: DataFrame, limit: int = 20) -> DataFrame:

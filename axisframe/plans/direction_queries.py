@@ -8,6 +8,7 @@ from axisframe.functions import columns as C
 from axisframe.operators import (
     clustering, directions, joins, labels, linalg, retrieval, selection, similarity, softlabels,
     summaries, support)
+from axisframe.operators.scalars import with_row
 from axisframe.plans import inputs as I
 from axisframe.plans.registry import query
 from axisframe.session import materialize
@@ -286,8 +287,7 @@ def seed_paired_difference(spark, sf):
 def chart_series(spark, sf):
     summary = summaries.seed_summary(I.seed_metrics(spark, sf))
     runs = I.event_runs(spark, sf).select("image_id").distinct().agg(F.count("*").alias("images"))
-    cohorts = summary.select("family", "size", F.lit(0).alias("_k")).join(
-        runs.withColumn("_k", F.lit(0)), "_k").drop("_k")
+    cohorts = with_row(summary.select("family", "size"), runs)
     return summaries.chart_series(summary, cohorts).select(
         "family", "size", r6("mean"), r6("sample_std"), "cohort")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from axisframe.functions import columns as C
 from axisframe.operators.sampling import assign_class_splits
+from axisframe.operators.scalars import with_row
 from axisframe.session import spread
 
 SEED = 20260710
@@ -52,6 +53,15 @@ def tags(spark: SparkSession, sf: str) -> DataFrame:
     return mentions.join(orders, "o_orderkey").select("image_id", "class", "phrase")
 
 
+def tag_images(spark: SparkSession, sf: str) -> DataFrame:
+    """``(image_id, class)`` of the orders that hold any phrase: a semi join, no distinct."""
+    named = table(spark, sf, "part").where("p_type <> '' or p_name <> ''").select(
+        F.col("p_partkey").alias("l_partkey"))
+    filled = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey").join(
+        named, "l_partkey", "left_semi").select(F.col("l_orderkey").alias("pos"))
+    return images(spark, sf).join(filled, "pos", "left_semi").select("image_id", "class")
+
+
 def tag_rows(spark: SparkSession, sf: str) -> DataFrame:
     """``(image_id, class, attributes)``; an order holds a handful of phrases."""
     return tags(spark, sf).groupBy("image_id", "class").agg(
@@ -191,7 +201,7 @@ def profiles(spark: SparkSession, sf: str) -> DataFrame:
     rows = split_vectors(spark, sf)
     moments = column_moments(rows.where("split = 'train'"), "embedding").agg(
         F.array_sort(F.collect_list(F.struct("concept_idx", "mean", "std"))).alias("m"))
-    keyed = rows.withColumn("_k", F.lit(0)).join(moments.withColumn("_k", F.lit(0)), "_k")
+    keyed = with_row(rows, moments)
     scaled = F.zip_with("embedding", "m", lambda x, m: (x - m["mean"]) / (m["std"] + 1e-6))
     return keyed.select("image_id", F.explode(F.array(
         F.struct(F.lit("raw").alias("model"), F.col("embedding").alias("profile")),

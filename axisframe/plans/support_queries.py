@@ -26,7 +26,7 @@ def _support_sql(m: str, rest: str) -> str:
 @query("attribute_support", "tags", _support_sql("tags", """select phrase, mentions, class_support,
   round(balanced, 6) as balanced_prevalence from sup"""))
 def attribute_support(spark, sf):
-    s = support.attribute_support(I.tags(spark, sf))
+    s = support.attribute_support(I.tags(spark, sf), I.tag_images(spark, sf))
     return s.select("phrase", "mentions", "class_support", r6("balanced_prevalence"))
 
 
@@ -51,7 +51,7 @@ def _rounded_stats(df):
 
 @query("attribute_statistics", "tags", _support_sql("tags", _STATS))
 def attribute_statistics(spark, sf):
-    return _rounded_stats(support.attribute_statistics(I.tags(spark, sf)))
+    return _rounded_stats(support.attribute_statistics(I.tags(spark, sf), I.tag_images(spark, sf)))
 
 
 @query("attribute_statistics_words", "words", _support_sql("words", _STATS))
@@ -123,7 +123,7 @@ def cluster_support(spark, sf):
 @query("cluster_leader", "tags", _support_sql("tags", ", " + _LEADER + """
   select cluster, name, members from lead where rn = 1"""))
 def cluster_leader(spark, sf):
-    found = support.attribute_support(I.tags(spark, sf))
+    found = support.attribute_support(I.tags(spark, sf), I.tag_images(spark, sf))
     return support.cluster_leader(found, found.select(
         "phrase", F.substring("phrase", 1, 1).alias("cluster")))
 
@@ -253,7 +253,7 @@ def explicit_id_list(spark, sf):
 
 def _dictionary(spark, sf):
     """One concept per letter of the tag phrases, named by its leader."""
-    found = materialize(support.attribute_support(I.tags(spark, sf)))
+    found = materialize(support.attribute_support(I.tags(spark, sf), I.tag_images(spark, sf)))
     clusters = found.select("phrase", F.substring("phrase", 1, 1).alias("cluster"))
     names = support.cluster_leader(found, clusters)
     # A cluster holds a dictionary entry's members, not rows of the data.
