@@ -23,6 +23,8 @@ from axisframe.operators.tiles import cross_tiles
 MAX_BROADCAST_CELLS = 8 << 20
 # Concept-by-concept systems are solved on the driver up to this many concepts.
 MAX_DENSE_CONCEPTS = 8192
+# A Gram matrix for leading components is formed up to this many columns.
+MAX_GRAM_COLUMNS = 1024
 
 
 # ---- moving small matrices -------------------------------------------------
@@ -280,7 +282,7 @@ def standardize_debias(profiles: DataFrame, n_components: int, vector: str = "sc
     scale = std + 1e-8
     if n_components <= 0:
         return _map_vectors(profiles, vector, vector, _Residual(mean, scale, None))
-    if len(mean) <= MAX_DENSE_CONCEPTS:
+    if len(mean) <= MAX_GRAM_COLUMNS:
         gram = collect_blocks(matrix_sums(
             profiles, [vector], lambda x: {"g": ((x - mean) / scale).T @ ((x - mean) / scale)}))
         _values, vectors = np.linalg.eigh(gram["g"])

@@ -451,7 +451,8 @@ def _dictionary_inputs(spark, sf):
     known = I.vectors(spark, sf).select("vec_id", "embedding")
     keyed = I.document_manifest(spark, sf).join(known.withColumnRenamed("vec_id", "pos"), "pos").select(
         F.concat("class", F.lit("/"), F.col("pos").cast("string")).alias("image_id"), "class", "embedding")
-    return docs.join(keyed.select("image_id"), "image_id", "left_semi"), keyed
+    # Tokenizing every document is dearer than keeping its distinct words once.
+    return materialize(docs.join(keyed.select("image_id"), "image_id", "left_semi")), keyed
 
 
 @query("dictionary_build")
