@@ -18,6 +18,7 @@ from axisframe.functions.arrow import list_column, matrix
 from axisframe.operators.ranking import exact_percentiles
 from axisframe.operators.scalars import with_row
 from axisframe.operators.tiles import cross_tiles
+from axisframe.session import materialize
 
 # A matrix of parameters (concepts x dimensions) up to this size may be sent to every task.
 MAX_BROADCAST_CELLS = 8 << 20
@@ -278,6 +279,8 @@ def phrase_usage_profiles(images: DataFrame, phrases: DataFrame, class_col: str
 def standardize_debias(profiles: DataFrame, n_components: int, vector: str = "scores"
                        ) -> DataFrame:
     """Z-score the columns, then subtract the leading singular components."""
+    # Read for the moments, by every step of the solver, and for the result.
+    profiles = materialize(profiles)
     mean, std = _moment_arrays(column_moments(profiles, vector))
     scale = std + 1e-8
     if n_components <= 0:

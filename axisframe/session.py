@@ -19,6 +19,8 @@ def build_session(app: str = "axisframe", master: str = "local[8]", shuffle_part
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
+        # Vector means by phrase: keep hashing instead of sorting after 128 keys.
+        .config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "10000")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
