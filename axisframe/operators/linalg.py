@@ -301,9 +301,13 @@ def _distributed_components(profiles, vector, mean, scale, n_components) -> np.n
     from pyspark.mllib.util import MLUtils
 
     scored = _map_vectors(profiles, vector, "_z", _Residual(mean, scale, None))
-    ml = scored.select(array_to_vector("_z").alias("_z"))
-    svd = RowMatrix(MLUtils.convertVectorColumnsFromML(ml, "_z")).computeSVD(n_components)
-    return svd.V.toArray()
+    # The solver multiplies by the table dozens of times: keep it close.
+    ml = MLUtils.convertVectorColumnsFromML(
+        scored.select(array_to_vector("_z").alias("_z")), "_z").persist()
+    try:
+        return RowMatrix(ml).computeSVD(n_components).V.toArray()
+    finally:
+        ml.unpersist()
 
 
 class _Residual:
