@@ -368,19 +368,21 @@ def adjudicate_edges(spark, sf):
     return judge_all(shown, judge)
 
 
-@query("parse_edge_decisions", "edges", _DECIDED + """ select batch_id, edge_id, equivalent, reason from (
-    select ll as batch_id, edge_id, equivalent, null::varchar as reason from judged
-      where ll not in (1, 2, 3)
-    union all select distinct ll, null, null::boolean, case ll when 1 then 'no_json_object'
-      when 2 then 'ids_differ' else 'not_boolean' end from judged where ll in (1, 2, 3))""")
+@query("parse_edge_decisions", "edges", _DECIDED + """, batched as (select *,
+      cast(substring(edge_id, 2) as bigint) // 64 as batch_id from judged)
+  select batch_id, edge_id, equivalent, null::varchar as reason from batched
+    where batch_id not in (1, 2, 3)
+  union all select distinct batch_id, null, null::boolean, case batch_id when 1 then 'no_json_object'
+    when 2 then 'ids_differ' else 'not_boolean' end from batched where batch_id in (1, 2, 3)""")
 def parse_edge_decisions(spark, sf):
     from axisframe.operators.textjobs import parse_edge_decisions as parse
 
     phrases, edges = _edges(spark, sf)
     label = phrases.select("phrase", "label")
     both = edges.join(label.toDF("left", "_l"), "left").join(label.toDF("right", "_r"), "right")
-    # A batch is one answer of the judge; the label of the left end names it here.
-    batches = both.groupBy(F.col("_l").alias("batch_id")).agg(
+    # A batch is one answer of the judge about 64 edges.
+    number = F.substring("edge_id", 2, 20).cast("long")
+    batches = both.groupBy(F.floor(number / 64).cast("long").alias("batch_id")).agg(
         F.collect_list("edge_id").alias("ids"),
         F.array_join(F.collect_list(F.concat(F.lit('"'), "edge_id", F.lit('": '),
                                              (F.col("_l") == F.col("_r")).cast("string"))), ", ").alias("m"))
