@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from axisframe.llm import bpe, simhash, suffix_dedup, topk
+from axisframe.llm import bpe, quality, simhash, suffix_dedup, topk
 from axisframe.llm.common import table
 from axisframe.session import materialize
 
@@ -32,6 +32,11 @@ def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
                           public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by the byte-level convolutional network."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes covered by strings of 200 bytes that start anywhere else, and what is left without them."""
     return suffix_dedup.digests(table(spark, sf_dir, "documents"))
@@ -41,6 +46,7 @@ QUERIES: dict[str, Query] = {
     "op2_maxscore_top_k": op2_maxscore_top_k,
     "op3_simhash_components": op3_simhash_components,
     "op6_bpe_round_trip": op6_bpe_round_trip,
+    "op7_quality_cnn": op7_quality_cnn,
     "op8_suffix_dedup": op8_suffix_dedup,
 }
 
