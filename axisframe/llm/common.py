@@ -35,11 +35,11 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
 
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str,
-              by: str | None = None) -> DataFrame:
+              by: str | None = None, most: int = SLICE_BYTES) -> DataFrame:
     """Apply ``fn`` batch by batch in the tasks; ``by`` names a bytes column that bounds a slice."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, by) if by else (batch,):
+            for part in slices(batch, by, most) if by else (batch,):
                 if part.num_rows:
                     yield fn(part)
     return df.mapInArrow(run, schema)

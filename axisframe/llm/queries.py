@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from axisframe.llm import bpe, quality, simhash, suffix_dedup, topk
+from axisframe.llm import bpe, quality, simhash, suffix_dedup, topk, toxicity
 from axisframe.llm.common import table
 from axisframe.session import materialize
 
@@ -26,6 +26,11 @@ def op3_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_toxic_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by the conditional random field, with the offending offsets."""
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every text with the 50k rank file, decode it again."""
     return bpe.round_trip(table(spark, sf_dir, "documents"), "doc_id",
@@ -45,6 +50,7 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_maxscore_top_k": op2_maxscore_top_k,
     "op3_simhash_components": op3_simhash_components,
+    "op5_toxic_crf": op5_toxic_crf,
     "op6_bpe_round_trip": op6_bpe_round_trip,
     "op7_quality_cnn": op7_quality_cnn,
     "op8_suffix_dedup": op8_suffix_dedup,
