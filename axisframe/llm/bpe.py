@@ -297,6 +297,11 @@ def _ids(batch: pa.RecordBatch, column: str) -> Iterator[np.ndarray]:
                else items.drop_null().to_numpy(zero_copy_only=False))
 
 
+def _lists(ids: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
+
+
 def encode(df: DataFrame, key: str, vocabulary: str, pattern: str, text: str = "text") -> DataFrame:
     """``(key, ids)``: the token ids of every text, pieces of ``pattern`` apart, no special tokens.
 
@@ -307,10 +312,7 @@ def encode(df: DataFrame, key: str, vocabulary: str, pattern: str, text: str = "
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         codec = Codec.shared(raw.value, pattern)
         ids = [codec.encode(_text(value))[0] for value in batch.column("body")]
-        ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-        flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-        return pa.RecordBatch.from_arrays(
-            [batch.column("key"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["key", "ids"])
+        return pa.RecordBatch.from_arrays([batch.column("key"), _lists(ids)], ["key", "ids"])
 
     kind = df.schema[key].dataType.simpleString()
     source = df.select(F.col(key).alias("key"), text_bytes(text).alias("body"))
@@ -331,29 +333,36 @@ def decode(df: DataFrame, key: str, vocabulary: str, ids: str = "ids") -> DataFr
     return map_arrow(source, run, f"key {kind}, text string").withColumnRenamed("key", key)
 
 
-def round_trip(df: DataFrame, key: str, vocabulary: str, pattern: str, text: str = "text") -> DataFrame:
-    """``(key, n_tokens, ids_sha256, decoded_sha256)``: encode, decode again, and keep digests only.
+def round_trip(df: DataFrame, key: str, vocabulary: str, pattern: str, text: str = "text",
+               with_ids: bool = False) -> DataFrame:
+    """``(key, n_tokens, ids_sha256, decoded_sha256)``, and ``ids`` if asked for: encode and decode again.
 
-    The same codec as ``encode`` and ``decode``; ids and texts stay in the task that made them.
+    The same codec as ``encode`` and ``decode``, in one pass over the texts; decoded texts stay in the
+    task that made them.
     """
     raw = _broadcast(df, vocabulary)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         codec = Codec.shared(raw.value, pattern)
-        counts, digests, decoded = [], [], []
+        counts, digests, decoded, kept = [], [], [], []
         for value in batch.column("body"):
             ids, decimals = codec.encode(_text(value))
             counts.append(len(ids))
+            if with_ids:
+                kept.append(ids)
             digests.append(hashlib.sha256(decimals.encode()).hexdigest())
             back = hashlib.sha256()
             for chunk in codec.decode(ids):
                 back.update(chunk.encode())
             decoded.append(back.hexdigest())
-        return pa.RecordBatch.from_arrays(
-            [batch.column("key"), pa.array(counts, pa.int64()), pa.array(digests), pa.array(decoded)],
-            ["key", "n_tokens", "ids_sha256", "decoded_sha256"])
+        columns = [batch.column("key"), pa.array(counts, pa.int64()), pa.array(digests), pa.array(decoded)]
+        names = ["key", "n_tokens", "ids_sha256", "decoded_sha256"]
+        if with_ids:
+            columns.append(_lists(kept))
+            names.append("ids")
+        return pa.RecordBatch.from_arrays(columns, names)
 
     kind = df.schema[key].dataType.simpleString()
     source = df.select(F.col(key).alias("key"), text_bytes(text).alias("body"))
-    return map_arrow(source, run, f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string",
-                     "body").withColumnRenamed("key", key)
+    schema = f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return map_arrow(source, run, schema, "body").withColumnRenamed("key", key)

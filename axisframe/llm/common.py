@@ -21,7 +21,7 @@ def text_bytes(column: str = "text"):
     return F.coalesce(F.col(column).cast("binary"), F.lit(b""))
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str | int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that ``column`` holds at most ``most`` bytes a slice, one row at least."""
     start = size = 0
     for i, value in enumerate(batch.column(column)):
@@ -34,6 +34,25 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
         yield batch.slice(start)
 
 
+def keep_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.Array], body: str, most: int = SLICE_BYTES
+              ) -> DataFrame:
+    """The rows of ``df`` for which ``fn``, given their ``body`` bytes, answers true; all columns stay."""
+    columns = df.columns
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(fn(batch.column(len(columns)))).select(range(len(columns)))
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in slices(batch, len(columns), most):
+                yield run(piece)
+
+    free = "body"
+    while free in columns:
+        free += "_"
+    return df.withColumn(free, text_bytes(body)).mapInArrow(part, df.schema)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str,
               by: str | None = None, most: int = SLICE_BYTES) -> DataFrame:
     """Apply ``fn`` batch by batch in the tasks; ``by`` names a bytes column that bounds a slice."""

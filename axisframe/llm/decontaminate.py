@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from axisframe.llm.common import map_arrow, text_bytes
+from axisframe.llm.common import keep_rows, map_arrow, text_bytes
 from axisframe.llm.suffix_dedup import _BASE, _powers
 
 Q = 10
@@ -176,6 +176,35 @@ def leaks_in(texts: list[str], index: Index, q: int) -> list[tuple[int, int, int
     return sorted(found)
 
 
+def indexes(benchmark: DataFrame, item: str, text: str, q: int, rate: float) -> list:
+    """Broadcast indexes of the items, in blocks of about ``BLOCK_CHARS`` characters."""
+    total = benchmark.agg(F.coalesce(F.sum(F.length(text)), F.lit(0))).head()[0]
+    blocks = max(1, math.ceil(total / BLOCK_CHARS))
+    items = benchmark.where(F.length(text) >= q).select(
+        F.col(item).alias("id"), F.col(text).alias("body"),
+        F.pmod(F.xxhash64(item, text), F.lit(blocks)).alias("block")).distinct()
+    out = []
+    for block in range(blocks):
+        rows = items.where(F.col("block") == block).collect()
+        index = Index.build([r["id"] for r in rows], [r["body"] for r in rows], q, rate)
+        out.append(benchmark.sparkSession.sparkContext.broadcast(index))
+    return out
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id",
+          item_text: str = "text", q: int = Q, rate: float = RATE) -> DataFrame:
+    """The rows of ``docs`` without leaks, with all their columns."""
+    for index in indexes(benchmark, item, item_text, q, rate):
+        def free(body: pa.Array, index=index) -> pa.Array:
+            found = leaks_in([v.as_py().decode("utf-8", "replace") for v in body], index.value, q)
+            kept = np.ones(len(body), bool)
+            kept[[row for row, *_ in found]] = False
+            return pa.array(kept)
+
+        docs = keep_rows(docs, free, text)
+    return docs
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
           item_text: str = "text", q: int = Q, rate: float = RATE) -> DataFrame:
     """``(key, item, start, end, distance)``: where items of ``benchmark`` stand in ``docs``.
@@ -186,19 +215,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     and documents with a null key are looked up like others; a repeated row repeats its leaks. The items
     are walked in blocks of a fixed size, one pass over the documents each.
     """
-    total = benchmark.agg(F.coalesce(F.sum(F.length(item_text)), F.lit(0))).head()[0]
-    blocks = max(1, math.ceil(total / BLOCK_CHARS))
     kind, item_kind = (df.schema[c].dataType.simpleString() for df, c in ((docs, key), (benchmark, item)))
-    items = benchmark.where(F.length(item_text) >= q).select(
-        F.col(item).alias("id"), F.col(item_text).alias("body"),
-        F.pmod(F.xxhash64(item, item_text), F.lit(blocks)).alias("block")).distinct()
     source = docs.select(F.col(key).alias("key"), text_bytes(text).alias("body"))
     out = None
-    for block in range(blocks):
-        rows = items.where(F.col("block") == block).collect()
-        index = docs.sparkSession.sparkContext.broadcast(
-            Index.build([r["id"] for r in rows], [r["body"] for r in rows], q, rate))
-
+    for index in indexes(benchmark, item, item_text, q, rate):
         def run(batch: pa.RecordBatch, index=index) -> pa.RecordBatch:
             texts = [v.as_py().decode("utf-8", "replace") for v in batch.column("body")]
             found = leaks_in(texts, index.value, q)

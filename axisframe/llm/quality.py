@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from axisframe.llm.common import map_arrow, text_bytes
+from axisframe.llm.common import keep_rows, map_arrow, text_bytes
 from axisframe.llm.labelled import fold, sample
 
 HALF, WIDTH, STRIDE, CODE, FILTERS = 256, 8, 4, 8, 24
@@ -85,9 +85,12 @@ def laid_out(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return out, halves
 
 
-def fit(chunks: list[list[bytes]], y: np.ndarray, weights: np.ndarray, epochs: int = 6, batch: int = 64,
-        rate: float = 0.01, seed: int = 7) -> Network:
-    """Train on documents given as lists of chunks (2 * HALF bytes each) with Adam on the log loss."""
+def fit(chunks: list[list[bytes]], y: np.ndarray, weights: np.ndarray, epochs: int = 6, steps: int = 500,
+        batch: int = 64, rate: float = 0.01, seed: int = 7) -> Network:
+    """Train on documents given as lists of chunks (2 * HALF bytes each) with Adam on the log loss.
+
+    A small sample is walked more often than ``epochs`` times, until there are ``steps`` steps.
+    """
     rng = np.random.default_rng(seed)
     net = Network(rng.normal(0, 0.5, (256, CODE)).astype(np.float32),
                   rng.normal(0, (WIDTH * CODE) ** -0.5, (WIDTH * CODE + 1, FILTERS)).astype(np.float32),
@@ -99,6 +102,7 @@ def fit(chunks: list[list[bytes]], y: np.ndarray, weights: np.ndarray, epochs: i
     parts = [net.code, net.filters, net.bias, net.out]
     first, second, step = [np.zeros_like(p) for p in parts], [np.zeros_like(p) for p in parts], 0
     data = [np.frombuffer(b"".join(c.ljust(2 * HALF, b"\0") for c in doc), np.uint8) for doc in chunks]
+    epochs = max(epochs, -(-steps // -(-len(y) // batch)))
     for epoch in range(epochs):
         order = rng.permutation(len(y))
         for i in range(0, len(order), batch):
@@ -153,15 +157,18 @@ def train(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, h
     return fit([[bytes(c) for c in doc] for doc in rows["chunks"]], y, weights)
 
 
+def probabilities(body: pa.Array, net: Network) -> np.ndarray:
+    """The probability of label 1 of each text, given as bytes without nulls."""
+    ends = np.frombuffer(body.buffers()[1], np.int32)[body.offset:body.offset + len(body) + 1].astype(np.int64)
+    data, halves = laid_out(np.frombuffer(body.buffers()[2] or b"", np.uint8), ends)
+    return 1 / (1 + np.exp(-net.logits(data, halves).astype(np.float64)))
+
+
 def score(df: DataFrame, net: Network, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, score)`` of every whole text. Null and empty texts are scored as zeros only."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        body = batch.column("body")
-        ends = np.frombuffer(body.buffers()[1], np.int32)[body.offset:body.offset + len(body) + 1].astype(np.int64)
-        raw = np.frombuffer(body.buffers()[2] or b"", np.uint8)
-        data, halves = laid_out(raw, ends)
-        logit = net.logits(data, halves).astype(np.float64)
-        return pa.RecordBatch.from_arrays([batch.column("key"), pa.array(1 / (1 + np.exp(-logit)))], ["key", "score"])
+        return pa.RecordBatch.from_arrays(
+            [batch.column("key"), pa.array(probabilities(batch.column("body"), net))], ["key", "score"])
 
     kind = df.schema[key].dataType.simpleString()
     source = df.select(F.col(key).alias("key"), text_bytes(text).alias("body"))
@@ -179,3 +186,10 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     return score(docs, net, key, text).select(
         key, (fold(F.col(key), parts) == held).alias("held_out"), "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality",
+             parts: int = 5, held: int = 0, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` that ``classify`` predicts as label 1, with all their columns."""
+    net = train(docs, labels, key, text, label, fold(F.col(key), parts) == held)
+    return keep_rows(docs, lambda body: pa.array(probabilities(body, net) >= threshold), text)

@@ -105,12 +105,12 @@ r0 AS (
     SELECT l.conv_id, l.last_turn, 'assistant', d.reply FROM l JOIN l d ON d.conv_id = xor(l.conv_id, 1)),
 r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i FROM r0),
 ids AS (SELECT conv_id FROM c UNION SELECT conv_id FROM r),
-both AS (
+paired AS (
     SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.i, r.i) AS i,
            coalesce(c.role = r.role AND c.text = r.text, false) AS same
     FROM c FULL JOIN r ON c.conv_id = r.conv_id AND c.i = r.i),
 n AS (
-    SELECT conv_id, coalesce(min(i) FILTER (NOT same) - 1, max(i))::INTEGER AS n FROM both GROUP BY conv_id),
+    SELECT conv_id, coalesce(min(i) FILTER (NOT same) - 1, max(i))::INTEGER AS n FROM paired GROUP BY conv_id),
 sides AS (
     SELECT conv_id, i, 'c' AS side, role, text FROM c UNION ALL SELECT conv_id, i, 'r', role, text FROM r),
 drawn AS (

@@ -158,7 +158,16 @@ def links(fps: DataFrame, most: int = 4, split_bucket: int = SPLIT_BUCKET) -> Da
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4,
                     most: int = 4) -> DataFrame:
-    """``(key, fingerprint, component_id)`` for every row of ``df``.
+    """``(key, fingerprint, component_id)`` for every row of ``df``; the fingerprint in hex digits.
+
+    Keys, rows and ties as in ``components``.
+    """
+    return components(df, key, text, words, most).select(
+        key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def components(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, most: int = 4) -> DataFrame:
+    """``(key, fp, component_id)`` for every row of ``df``.
 
     ``component_id`` is the smallest key reachable over links of at most ``most`` differing bits,
     equal fingerprints included. Rows with a null key are returned with a null component and link
@@ -171,7 +180,27 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     named = linked.groupBy("component").agg(F.min("first").alias("component_id"))
     moved = joined.join(named, "component").select(F.col("node").alias("fp"), "component_id")
     of = first.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    known = docs.join(of, "fp", "left")
-    return known.select(
-        key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
-        F.when(F.col(key).isNotNull(), F.col("component_id")).alias("component_id"))
+    return docs.join(of, "fp", "left").select(
+        key, "fp", F.when(F.col(key).isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, most: int = 4) -> DataFrame:
+    """``df`` with one row of each component, that of the smallest key, and all columns.
+
+    Of several rows with that key the smallest fingerprint stays, of equal ones any, as they are equal
+    in key and fingerprint. Rows with a null key stay.
+    """
+    found = components(df, key, text, words, most)
+    stay = materialize(found.where(F.col(key) == F.col("component_id")).groupBy(F.col(key).alias("k"))
+                       .agg(F.min("fp").alias("f")))
+    marked = df.select(F.struct("*").alias("row"), F.col(key).alias("k"), text_bytes(text).alias("body"))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        values = np.array([fingerprint(t.as_py(), words) for t in batch.column("body")], np.uint64)
+        return pa.RecordBatch.from_arrays(
+            [batch.column("row"), batch.column("k"), pa.array(values.view(np.int64))], ["row", "k", "f"])
+
+    row, kind = df.schema.simpleString(), df.schema[key].dataType.simpleString()
+    named = map_arrow(marked, run, f"row {row}, k {kind}, f bigint", "body")
+    kept = named.join(stay.hint("shuffle_hash"), ["k", "f"], "left_semi").dropDuplicates(["k", "f"])
+    return kept.select("row.*").unionByName(df.where(F.col(key).isNull()))

@@ -415,12 +415,19 @@ def digests(df: DataFrame, key: str = "doc_id", text: str = "text", length: int
                      "body").withColumnRenamed("doc", key)
 
 
-def kept_texts(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
-    """``(doc, h, kept)``: the text without repeats, one row per row of ``df``.
+def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
+    """``df`` with repeats cut out of its texts, all rows and columns kept.
 
-    A character goes if any of its bytes goes, so that what is left is text again.
+    A character goes if any of its bytes goes, so that what is left is text again; a null text becomes
+    empty.
     """
     docs = identified(df, key, text)
+    lists = repeated_spans(docs, length).groupBy("doc", "h").agg(
+        F.collect_list(F.struct("low", "high")).alias("spans"))
+    packed = df.select(F.struct(*(df[c] for c in df.columns if c != text)).alias("row"), F.col(key).alias("doc"),
+                       text_bytes(text).alias("body")).withColumn("h", F.xxhash64("body"))
+    same = packed.doc.eqNullSafe(lists.doc) & (packed.h == lists.h)
+    joined = packed.join(lists.hint("shuffle_hash"), same, "left").select("row", "body", "spans")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = []
@@ -431,8 +438,8 @@ def kept_texts(df: DataFrame, key: str = "doc_id", text: str = "text", length: i
                 char = np.cumsum((raw & 0xC0) != 0x80)
                 kept &= ~np.isin(char, char[~kept])
             texts.append(raw[kept].tobytes().decode("utf-8", "replace"))
-        return pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("h"), pa.array(texts, pa.string())],
-                                          ["doc", "h", "kept"])
+        return pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], ["row", "kept"])
 
-    kind = df.schema[key].dataType.simpleString()
-    return map_arrow(with_spans(docs, repeated_spans(docs, length)), run, f"doc {kind}, h long, kept string", "body")
+    row = joined.schema["row"].dataType.simpleString()
+    done = map_arrow(joined, run, f"row {row}, kept string", "body")
+    return done.select(*(F.col("kept").alias(text) if c == text else F.col(f"row.`{c}`") for c in df.columns))
