@@ -43,6 +43,11 @@ def repeats(data: np.ndarray) -> np.ndarray:
     return ((total[_PLACES:] - total[:-_PLACES]) / _PLACES)[:n].astype(np.float32)
 
 
+def led(data: np.ndarray) -> np.ndarray:
+    """Zeros in front: a filter position reaches back, where a document's neighbour ends in zeros."""
+    return np.concatenate([np.zeros(WIDTH - STRIDE, np.uint8), data])
+
+
 @dataclass
 class Network:
     code: np.ndarray     # (256, CODE)
@@ -51,15 +56,16 @@ class Network:
     out: np.ndarray      # (FILTERS + 1,)
 
     def windows(self, data: np.ndarray) -> np.ndarray:
-        """The coded bytes under each filter position; ``data`` has WIDTH - STRIDE bytes to spare."""
+        """The coded bytes under each filter position of ``led`` data."""
         coded = self.code[data].ravel()
         n = (len(data) - WIDTH) // STRIDE + 1
-        return np.lib.stride_tricks.as_strided(
+        view = np.lib.stride_tricks.as_strided(
             coded, (n, WIDTH * CODE), (STRIDE * CODE * coded.itemsize, coded.itemsize))
+        return np.ascontiguousarray(view)  # overlapping rows would keep the product from BLAS
 
     def halves(self, data: np.ndarray) -> np.ndarray:
         """The largest answer of each filter in each half; ``data`` is whole halves."""
-        padded = np.concatenate([data, np.zeros(WIDTH - STRIDE, np.uint8)])
+        padded = led(data)
         answers = self.windows(padded) @ self.filters[:-1] + repeats(padded)[:, None] * self.filters[-1]
         return np.maximum(answers.reshape(-1, _STEPS, answers.shape[1]).max(1) + self.bias, 0)
 
@@ -109,7 +115,7 @@ def fit(chunks: list[list[bytes]], y: np.ndarray, weights: np.ndarray, epochs: i
             rows = order[i:i + batch]
             owner = np.repeat(np.arange(len(rows)), [len(chunks[r]) for r in rows])
             bytes_ = np.concatenate([data[r] for r in rows])
-            padded = np.concatenate([bytes_, np.zeros(WIDTH - STRIDE, np.uint8)])
+            padded = led(bytes_)
             seen = net.windows(padded)
             again = repeats(padded)
             answers = (seen @ net.filters[:-1] + again[:, None] * net.filters[-1]).reshape(len(owner), 2 * _STEPS, FILTERS)

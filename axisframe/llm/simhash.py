@@ -78,7 +78,7 @@ def _forest(members: np.ndarray, most: int) -> tuple[list[np.ndarray], list[np.n
                 found = unseen[near]
                 unseen = unseen[~near]
                 queue.extend(found)
-                left.append(np.full(len(found), at))
+                left.append(np.full(len(found), at, np.uint64))
                 right.append(found)
     return left, right
 
@@ -87,6 +87,7 @@ def bucket_edges(batches: Iterator[pa.RecordBatch], most: int, small: int = 64)
     """Links within runs of equal ``bucket``; the rows come sorted by it. Only the open run is carried on."""
     def links(bucket: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
         left, right = [], []
+        fp = fp.view(np.uint64)  # bits of a signed number are counted without its sign
         cuts = np.flatnonzero(np.diff(bucket)) + 1
         begin, end = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(bucket)]))
         length = end - begin
@@ -103,9 +104,9 @@ def bucket_edges(batches: Iterator[pa.RecordBatch], most: int, small: int = 64)
             near = same & (np.bitwise_count(fp[away:] ^ fp[:-away]) <= most)
             left.append(fp[:-away][near])
             right.append(fp[away:][near])
-        none = np.zeros(0, np.int64)
+        none = np.zeros(0, np.uint64)
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([none, *left])), pa.array(np.concatenate([none, *right]))], ["src", "dst"])
+            [pa.array(np.concatenate([none, *ends]).view(np.int64)) for ends in (left, right)], ["src", "dst"])
 
     held: list[tuple[np.ndarray, np.ndarray]] = []
     for batch in batches:

@@ -108,8 +108,9 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     key = np.zeros(n, np.uint64)
     for i in range(8):
         key = key << np.uint64(8) | padded[i:i + n]
-    order = np.argsort(key, kind="stable")  # zeros past the end: the shorter of two such suffixes is
-    ranked = key[order]                     # told apart below, as what follows it has rank -1
+    # zeros stand past the end: of equal keys the later, shorter suffix comes first
+    order = n - 1 - np.argsort(key[::-1], kind="stable")
+    ranked = key[order]
     fresh = np.ones(n, bool)
     fresh[1:] = ranked[1:] != ranked[:-1]
     rank = np.empty(n, np.int64)
@@ -329,7 +330,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
     kind = docs.schema["doc"].dataType.simpleString()
     runs = find_runs(docs, length, gram)
     # anchors that occur once cannot repeat; partial counts leave the map side
-    often = runs.groupBy("anchor").agg(F.count("*").alias("times")).where(F.col("times") > 1).select("anchor")
+    # written, so that the join reads both sides from exchanges and a hot anchor's runs can be split
+    often = materialize(runs.groupBy("anchor").agg(F.count("*").alias("times")).where(F.col("times") > 1)
+                        .select("anchor"))
     able = materialize(runs.join(often, "anchor"))
     merged = able.groupBy("anchor", "rhash").agg(
         F.count("*").alias("n"), F.min(F.struct("doc", "h", "start", "windows")).alias("at"))

@@ -272,7 +272,7 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     """``(key, held_out, score, predicted, spans)`` of every document.
 
     Labels are learned only from rows whose ``fold`` is not ``held``; a row with a null key is scored
-    and not held out. Without usable labels every score is that of no evidence.
+    and not held out. Without usable labels the field has no weights and nothing is predicted toxic.
     """
     field = train(docs, labels, key, text, label, fold(F.col(key), parts) == held)
     return tag(docs, field, key, text).select(
