@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,23 +35,21 @@ def slices(batch: pa.RecordBatch, column: str | int, most: int = SLICE_BYTES) ->
         yield batch.slice(start)
 
 
-def keep_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.Array], body: str, most: int = SLICE_BYTES
+def keep_rows(df: DataFrame, fn: Callable[[pa.Array], pa.Array], text: str, most: int = SLICE_BYTES
               ) -> DataFrame:
-    """The rows of ``df`` for which ``fn``, given their ``body`` bytes, answers true; all columns stay."""
-    columns = df.columns
+    """The rows of ``df`` for which ``fn``, given their texts as bytes, answers true; all columns stay.
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return batch.filter(fn(batch.column(len(columns)))).select(range(len(columns)))
+    A null text is empty bytes to ``fn``. The text is handed over once, as it stands in the row.
+    """
+    place = df.columns.index(text)
 
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, len(columns), most):
-                yield run(piece)
+            for piece in slices(batch, place, most):
+                body = pc.fill_null(piece.column(place).cast(pa.binary()), b"")
+                yield piece.filter(fn(body))
 
-    free = "body"
-    while free in columns:
-        free += "_"
-    return df.withColumn(free, text_bytes(body)).mapInArrow(part, df.schema)
+    return df.mapInArrow(run, df.schema)
 
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str,

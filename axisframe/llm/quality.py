@@ -23,6 +23,8 @@ HALF, WIDTH, STRIDE, CODE, FILTERS = 256, 8, 4, 8, 24
 #: The fit reads so many documents of each label at most, and so many chunks of each, evenly spread.
 FIT_DOCUMENTS, FIT_CHUNKS = {0: 1500, 1: 3000}, 8
 _STEPS = HALF // STRIDE
+#: Halves whose filter answers are in memory at a time, and bytes of texts laid out at a time.
+PIECE, SLICE_BYTES = 1024, 1 << 20
 #: A place repeats if its four bytes stood one of so many bytes before; the share of the last places counts.
 _LAGS, _PLACES = range(2, 25), 8
 _GAP = 32
@@ -65,9 +67,14 @@ class Network:
 
     def halves(self, data: np.ndarray) -> np.ndarray:
         """The largest answer of each filter in each half; ``data`` is whole halves."""
-        padded = led(data)
-        answers = self.windows(padded) @ self.filters[:-1] + repeats(padded)[:, None] * self.filters[-1]
-        return np.maximum(answers.reshape(-1, _STEPS, answers.shape[1]).max(1) + self.bias, 0)
+        out = np.empty((len(data) // HALF, self.filters.shape[1]), np.float32)
+        for first in range(0, len(out), PIECE):
+            before = min(first, 1)  # the half before a piece is what its first places look back on
+            padded = led(data[(first - before) * HALF:(first + PIECE) * HALF])
+            answers = self.windows(padded) @ self.filters[:-1] + repeats(padded)[:, None] * self.filters[-1]
+            best = answers.reshape(-1, _STEPS, answers.shape[1]).max(1)[before:]
+            out[first:first + PIECE] = np.maximum(best + self.bias, 0)
+        return out
 
     def logits(self, data: np.ndarray, halves: np.ndarray) -> np.ndarray:
         """The logit of each document; ``halves`` counts its halves in ``data``, two at least."""
@@ -178,7 +185,7 @@ def score(df: DataFrame, net: Network, key: str = "doc_id", text: str = "text")
 
     kind = df.schema[key].dataType.simpleString()
     source = df.select(F.col(key).alias("key"), text_bytes(text).alias("body"))
-    return map_arrow(source, run, f"key {kind}, score double", "body").withColumnRenamed("key", key)
+    return map_arrow(source, run, f"key {kind}, score double", "body", SLICE_BYTES).withColumnRenamed("key", key)
 
 
 def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text",
@@ -198,4 +205,4 @@ def accepted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
              parts: int = 5, held: int = 0, threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs`` that ``classify`` predicts as label 1, with all their columns."""
     net = train(docs, labels, key, text, label, fold(F.col(key), parts) == held)
-    return keep_rows(docs, lambda body: pa.array(probabilities(body, net) >= threshold), text)
+    return keep_rows(docs, lambda body: pa.array(probabilities(body, net) >= threshold), text, SLICE_BYTES)
