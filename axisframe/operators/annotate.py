@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -90,27 +91,35 @@ def adjudicate_edges(edges: DataFrame, judge: Callable[[pd.DataFrame], dict[str,
     A batch whose answer is not exactly one boolean per edge is tried again, then halved; a
     single edge that keeps failing fails the job.
     """
-    def ask(rows: pd.DataFrame) -> dict[str, bool]:
-        last: Exception | None = None
-        for _ in range(retries):
+    def complaint(rows: pd.DataFrame, answer: dict[str, bool]) -> str | None:
+        if len(answer) != len(rows) or not rows["edge_id"].isin(list(answer)).all():
+            return "the answer names other edges than the batch"
+        return None if all(isinstance(v, bool) for v in answer.values()) else "an answer is not a boolean"
+
+    def settle(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        # Open batches as (first row, last row, failures so far).
+        open_batches = deque((i, min(i + batch, len(frame)), 0) for i in range(0, len(frame), batch))
+        while open_batches:
+            low, high, failures = open_batches.popleft()
+            rows, cause = frame.iloc[low:high], None
             try:
                 answer = judge(rows)
-                if set(answer) != set(rows["edge_id"]) or any(
-                        type(v) is not bool for v in answer.values()):
-                    raise ValueError("decisions do not match the batch")
-                return answer
+                problem = complaint(rows, answer)
             except Exception as error:
-                last = error
-        if len(rows) == 1:
-            raise RuntimeError(f"failed to adjudicate edge after {retries} attempts") from last
-        middle = len(rows) // 2
-        return {**ask(rows.iloc[:middle]), **ask(rows.iloc[middle:])}
+                problem, cause = f"the judge raised {type(error).__name__}", error
+            if problem is None:
+                yield pd.DataFrame({"edge_id": list(answer), "equivalent": list(answer.values())})
+            elif failures + 1 < retries:
+                open_batches.append((low, high, failures + 1))
+            elif high - low > 1:
+                middle = (low + high) // 2
+                open_batches.extend([(low, middle, 0), (middle, high, 0)])
+            else:
+                raise RuntimeError(f"no valid decision on edge {rows['edge_id'].iloc[0]}: {problem}") from cause
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for start in range(0, len(frame), batch):
-                answer = ask(frame.iloc[start:start + batch])
-                yield pd.DataFrame({"edge_id": list(answer), "equivalent": list(answer.values())})
+            yield from settle(frame)
 
     work = edges.repartition(partitions) if partitions else edges
     return work.select("edge_id", "left", "right").mapInPandas(

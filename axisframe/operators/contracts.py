@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from axisframe.functions.columns import image_class, literal_array
 from axisframe.operators.joins import join_split, manifest_diff
+from axisframe.operators.scalars import with_row
+from axisframe.session import materialize
 
 
 class ContractError(ValueError):
@@ -81,7 +83,8 @@ def merge_label_shards(shards: DataFrame, names: Sequence[str], manifest: DataFr
     """Merged rows in manifest order, all violations, and the row count of each shard.
 
     ``shards`` is the union of the shard tables with a ``source`` column; ``manifest`` is
-    ``(pos, image_id)``.
+    ``(pos, image_id)`` of unique ids; a repeated one is a violation and counts once. The merged
+    rows fail when they are read while there are violations.
     """
     if split == "test" and not allow_test:
         raise ValueError("merging the test split requires allow_test=True")
@@ -98,8 +101,14 @@ def merge_label_shards(shards: DataFrame, names: Sequence[str], manifest: DataFr
         "image_id", F.lit("outside_split").alias("rule"), F.lit("").alias("detail"))
     missing = expected.join(ids, "image_id", "left_anti").select(
         "image_id", F.lit("missing").alias("rule"), F.lit("").alias("detail"))
-    violations = (per_row.unionByName(repeated).unionByName(outside).unionByName(missing))
-    merged = shards.join(expected, "image_id").orderBy("pos")
+    twice = duplicate_ids(expected).select(
+        "image_id", F.lit("listed_twice").alias("rule"), F.col("uses").cast("string").alias("detail"))
+    violations = (per_row.unionByName(repeated).unionByName(outside).unionByName(missing).unionByName(twice))
+    once = expected.groupBy("image_id").agg(F.min("pos").alias("pos"))
+    broken = violations.select(F.lit(1).alias("_broken")).limit(1)
+    checked = with_row(shards.join(once, "image_id"), broken.agg(F.count("*").alias("_broken")))
+    merged = checked.withColumn("pos", F.when(F.col("_broken") == 0, F.col("pos")).otherwise(
+        F.raise_error(F.lit("shards with violations cannot be merged")).cast("long"))).drop("_broken").orderBy("pos")
     return merged, violations, counts
 
 
@@ -137,22 +146,27 @@ def shape_agreement(vectors: DataFrame) -> DataFrame:
         (F.col("_low") == F.col("_high")).alias("dims_agree"))
 
 
-def ordered_fingerprint(ids: DataFrame, chunk: int = 65_536) -> DataFrame:
-    """SHA-256 of the ids in ``pos`` order, each followed by a newline.
+def ordered_fingerprint(ids: DataFrame, chunk: int = 65_536, fan: int = 4096) -> DataFrame:
+    """Digest tree over the ids in ``pos`` order, one definition for every length.
 
-    SHA-256 cannot be merged, so beyond one chunk this is the digest of the chunk digests;
-    a list that fits one chunk has the plain digest.
+    SHA-256 cannot be merged, so a leaf is the digest of ``chunk`` ids and every level above that of
+    ``fan`` digests, each id and digest followed by a newline; there is at least one such level.
     """
-    chunked = ids.withColumn("_chunk", F.floor(F.col("pos") / chunk))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "image_id"))),
-                                    lambda s: s["image_id"]), "\n")
-    digests = chunked.groupBy("_chunk").agg(F.sha2(F.concat(text, F.lit("\n")), 256).alias("d"),
-                                            F.count("*").alias("n"))
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("_chunk", "d"))), lambda s: s["d"])
-    return digests.agg(F.sum("n").alias("ids"), parts.alias("parts")).select(
-        "ids", F.size("parts").cast("long").alias("chunks"),
-        F.when(F.size("parts") == 1, F.element_at("parts", 1))
-        .otherwise(F.sha2(F.concat(F.array_join("parts", "\n"), F.lit("\n")), 256)).alias("sha256"))
+    def digest(place: str, value: str) -> Column:
+        parts = F.transform(F.array_sort(F.collect_list(F.struct(place, value))), lambda s: s[value])
+        return F.sha2(F.concat(F.array_join(parts, "\n"), F.lit("\n")), 256)
+
+    leaves = materialize(ids.groupBy(F.floor(F.col("pos") / chunk).alias("at")).agg(
+        digest("pos", "image_id").alias("d"), F.count("*").alias("n")))
+    size = leaves.agg(F.sum("n").alias("ids"), F.count("*").alias("chunks"), F.max("at").alias("last")).head()
+    level, last = leaves.select("at", "d"), size["last"] or 0
+    while True:
+        level = level.groupBy(F.floor(F.col("at") / fan).alias("at")).agg(digest("at", "d").alias("d"))
+        last //= fan
+        if not last:
+            break
+    return level.select(F.lit(size["ids"]).cast("long").alias("ids"),
+                        F.lit(size["chunks"]).cast("long").alias("chunks"), F.col("d").alias("sha256"))
 
 
 def artifact_identity_check(declared: DataFrame, actual: DataFrame) -> DataFrame:

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from axisframe.session import materialize
+from axisframe.session import discard, materialize
 
-MAX_ROUNDS = 60
 
 
 def _fingerprint(edges: DataFrame) -> tuple[int, int]:
@@ -31,7 +30,7 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> Da
     low, high = F.least("src", "dst"), F.greatest("src", "dst")
     stars = materialize(ends.select(high.alias("src"), low.alias("dst")).distinct())
     seen = _fingerprint(stars)
-    for _ in range(MAX_ROUNDS):
+    while True:
         if not seen[0]:
             break
         both = stars.unionByName(stars.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
@@ -44,11 +43,10 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> Da
             F.col("dst").alias("src"), F.col("m").alias("dst"))
         following = materialize(down.unionByName(lowest.withColumnRenamed("m", "dst")).distinct())
         now = _fingerprint(following)
+        discard(stars)
         stars = following
         if now == seen:
             break
         seen = now
-    else:
-        raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     return nodes.join(stars.withColumnRenamed("src", "node"), "node", "left").select(
         "node", F.coalesce("dst", "node").alias("component"))

@@ -17,6 +17,13 @@ from axisframe.operators.scalars import with_row
 from axisframe.session import materialize
 
 
+def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on group keys in which a NULL group is a group like any other."""
+    named = right.select(*[F.col(c).alias(f"_of_{c}" if c in keys else c) for c in right.columns])
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
+    return left.join(named, same).drop(*[f"_of_{k}" for k in keys])
+
+
 def _sorted_slices(df: DataFrame, order: Sequence[Column], within: Sequence[str]) -> DataFrame:
     placed = (df.orderBy(*[F.col(c) for c in within], *order)
               .withColumn("_at", F.monotonically_increasing_id()))
@@ -42,7 +49,7 @@ def ranked(df: DataFrame, order: Sequence[Column | str], within: Sequence[str] =
     order = [col(c) for c in order]
     slices = _sorted_slices(df.withColumn("_one", F.lit(1).cast("long")), order, within)
     offsets = _before(slices, within, {"rows": "_one"})
-    return (slices.join(offsets, [*within, "_slice"])
+    return (join_groups(slices, offsets, [*within, "_slice"])
             .withColumn(name, F.col("_at") - F.col("_first") + F.col("_before_rows") + start)
             .select(*df.columns, name))
 
@@ -58,7 +65,7 @@ def running_totals(df: DataFrame, order: Sequence[Column | str], within: Sequenc
     inside = slices.select(
         "*", *[F.coalesce(F.sum(source).over(window), F.lit(0)).alias(f"_inside_{name}")
                for name, source in sums.items()])
-    joined = inside.join(offsets, [*within, "_slice"])
+    joined = join_groups(inside, offsets, [*within, "_slice"])
     for name in sums:
         joined = joined.withColumn(name, F.col(f"_inside_{name}") + F.col(f"_before_{name}"))
     return joined.select(*df.columns, *sums)
@@ -75,7 +82,7 @@ def exact_percentiles(df: DataFrame, within: Sequence[str], value: str,
     counts = materialize(present.groupBy(*within, value).agg(F.count("*").alias("_n")))
     placed = running_totals(counts, [value], within, {"_start": "_n"})
     sizes = counts.groupBy(*within).agg(F.sum("_n").alias("_size"))
-    joined = placed.join(sizes, list(within)) if within else with_row(placed, sizes)
+    joined = join_groups(placed, sizes, within) if within else with_row(placed, sizes)
     spots = {}
     for name, fraction in fractions.items():
         position = (F.col("_size") - 1) * F.lit(float(fraction))

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from axisframe.functions import columns as C
 from axisframe.functions.arrow import matrix
 from axisframe.operators.linalg import dense_products, vector_width
-from axisframe.operators.ranking import exact_percentiles
+from axisframe.operators.ranking import exact_percentiles, join_groups
 from axisframe.operators.scalars import with_row
 from axisframe.operators.tiles import cross_tiles
 from axisframe.session import materialize
@@ -35,6 +35,32 @@ def gallery_scores(queries: DataFrame, gallery: DataFrame, query_key: str = "que
                           query_key, item_key, vector)
 
 
+def gallery_top_k(queries: DataFrame, gallery: DataFrame, k: int, query_key: str = "query_id",
+                  item_key: str = "item_id", vector: str = "embedding") -> DataFrame:
+    """``(query, rank, item, score)``: the ``k`` best gallery rows of every query, ties to smaller items.
+
+    A tile keeps its own ``k`` best, so what leaves the tiles is k rows a query and block.
+    """
+    q, g = (side.select(F.col(key).alias("id"), C.as_doubles(vector).alias("v"))
+            for side, key in ((queries, query_key), (gallery, item_key)))
+
+    def best(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return pa.table({"q": a.column("id").slice(0, 0), "item": b.column("id").slice(0, 0),
+                             "score": pa.array([], pa.float64())})
+        scores, items = matrix(a.column("v")) @ matrix(b.column("v")).T, b.column("id").to_numpy()
+        order = np.lexsort((np.broadcast_to(items, scores.shape), -np.round(scores, 12)), axis=1)[:, :k]
+        return pa.table({"q": a.column("id").take(pa.array(np.repeat(np.arange(len(scores)), order.shape[1]))),
+                         "item": items[order].ravel(), "score": np.take_along_axis(scores, order, 1).ravel()})
+
+    schema = T.StructType([T.StructField("q", q.schema["id"].dataType), T.StructField("item", g.schema["id"].dataType),
+                           T.StructField("score", T.DoubleType())])
+    found = cross_tiles(q, g, "id", "id", vector_width(g, "v"), best, schema)
+    place = Window.partitionBy("q").orderBy(F.round("score", 12).desc(), "item")
+    return (found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
+            .select(F.col("q").alias(query_key), "rank", F.col("item").alias(item_key), "score"))
+
+
 # ---- paired retrieval ------------------------------------------------------
 
 def _ahead(scores: np.ndarray, own: np.ndarray, mine: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -98,7 +124,7 @@ def rank_summary(ranks: DataFrame, by: Sequence[str], ks: Sequence[int]) -> Data
         F.avg(1.0 / F.col("rank")).alias("mean_reciprocal_rank"),
         F.avg("rank").alias("mean_rank"), F.max("rank").alias("maximum_rank"))
     median = exact_percentiles(ranks, by, "rank", {"median_rank": 0.5})
-    return metrics.join(median, list(by))
+    return join_groups(metrics, median, by)
 
 
 def quality_gates(checks: DataFrame, metrics: DataFrame, norm_atol: float, max_drop_pp: float,

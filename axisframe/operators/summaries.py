@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from axisframe.functions.columns import image_class
-from axisframe.operators.ranking import exact_percentiles
+from axisframe.operators.ranking import exact_percentiles, join_groups
 
 # The query lengths whose recall the sweep averages, and the busy mark.
 SWEEP_SIZES = (4, 8, 14)
@@ -38,15 +38,16 @@ def sweep_ranking(curves: DataFrame, sizes: Sequence[int] = SWEEP_SIZES) -> Data
 
 
 def seed_paired_difference(metrics: DataFrame, a: str, b: str, critical: float) -> DataFrame:
-    """Per-seed difference a - b of two objectives: mean and t interval.
+    """Difference a - b of two objectives at equal size and seed: mean and t interval of each size.
 
     ``critical`` is the caller's t value for seeds - 1 degrees of freedom.
     """
-    paired = metrics.where(F.col("family").isin(a, b)).groupBy("seed").agg(
+    paired = metrics.where(F.col("family").isin(a, b)).groupBy("size", "seed").agg(
         F.max(F.when(F.col("family") == a, F.col("value"))).alias("a"),
         F.max(F.when(F.col("family") == b, F.col("value"))).alias("b"))
-    d = paired.where("a is not null and b is not null").select((F.col("a") - F.col("b")).alias("d"))
-    stats = d.agg(F.count("*").alias("seeds"), F.avg("d").alias("mean_difference"),
+    d = paired.where("a is not null and b is not null").select(
+        "size", (F.col("a") - F.col("b")).alias("d"))
+    stats = d.groupBy("size").agg(F.count("*").alias("seeds"), F.avg("d").alias("mean_difference"),
                   F.coalesce(F.stddev_samp("d"), F.lit(0.0)).alias("sample_std"))
     half = F.lit(critical) * F.col("sample_std") / F.sqrt("seeds")
     return stats.select("*", (F.col("mean_difference") - half).alias("low"),
@@ -60,7 +61,7 @@ def chart_series(summary: DataFrame, cohorts: DataFrame) -> DataFrame:
     """
     agreed = cohorts.groupBy("size").agg(F.min("images").alias("lo"), F.max("images").alias("hi"))
     checked = agreed.select("size", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(
-        F.raise_error(F.lit("model query cohorts differ")).cast("long")).alias("cohort"))
+        F.raise_error(F.lit("families of one size were measured on different numbers of images")).cast("long")).alias("cohort"))
     return summary.join(checked, "size").select("family", "size", "mean", "sample_std", "cohort")
 
 
@@ -70,7 +71,7 @@ def telemetry_summary(samples: DataFrame, metric: str = "metric", value: str = "
     moments = samples.where(F.col(value).isNotNull()).groupBy(metric).agg(
         F.count("*").alias("samples"), F.avg(value).alias("mean"), F.max(value).alias("max"),
         (100 * F.avg((F.col(value) >= BUSY_AT).cast("double"))).alias("busy_pct"))
-    return moments.join(exact_percentiles(samples, [metric], value, {"p50": .5, "p95": .95}), metric)
+    return join_groups(moments, exact_percentiles(samples, [metric], value, {"p50": .5, "p95": .95}), [metric])
 
 
 def throughput_summary(rows: DataFrame, group: str = "run_id", at: str = "created_at") -> DataFrame:

@@ -124,7 +124,7 @@ def cluster_support(mentions: DataFrame, clusters: DataFrame, images: DataFrame
 def cluster_leader(support: DataFrame, clusters: DataFrame) -> DataFrame:
     """Canonical name of each cluster: its most prevalent member, ties by support and name."""
     joined = clusters.select("phrase", "cluster").join(support, "phrase")
-    order = F.struct((-F.col("balanced_prevalence")).alias("a"), (-F.col("class_support")).alias("b"),
+    order = F.struct((-F.round("balanced_prevalence", 9)).alias("a"), (-F.col("class_support")).alias("b"),
                      (-F.col("mentions")).alias("c"), F.col("phrase").alias("d"))
     # A min over structs combines on the map side; no cluster is sorted in one task.
     return joined.groupBy("cluster").agg(F.min(order).alias("o"),
@@ -134,7 +134,7 @@ def cluster_leader(support: DataFrame, clusters: DataFrame) -> DataFrame:
 
 def concept_priority(concepts: DataFrame) -> DataFrame:
     """Total order of clusters before selection, from 1."""
-    return ranked(concepts, [F.col("prevalence").desc(), F.col("class_support").desc(),
+    return ranked(concepts, [F.round("prevalence", 9).desc(), F.col("class_support").desc(),
                              F.col("mentions").desc(), "name"], name="priority")
 
 
@@ -157,7 +157,8 @@ def frequency_report(statistics: DataFrame, search: str = "", sort: str = "rank"
     orders: dict[str, Sequence] = {
         "rank": ["rank"], "name": ["attribute"],
         "classes": [F.col("classes").desc(), F.col("images").desc(), "rank"],
-        "balanced": [F.col("balanced_prevalence").desc(), F.col("images").desc(), "rank"],
+        # Sums of doubles differ in their last bits from run to run; rounded, ties are ties.
+        "balanced": [F.round("balanced_prevalence", 9).desc(), F.col("images").desc(), "rank"],
     }
     hits = statistics.where(F.col("attribute").contains(search.strip().lower()))
     return hits.orderBy(*orders[sort]).limit(limit)

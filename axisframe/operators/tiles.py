@@ -1,7 +1,7 @@
 """Block products: the one physical pattern behind every all-against-all operator.
 
-Each side is cut into bounded blocks; a pair of blocks is one tile, and a tile is one matrix
-product inside a task. Only what the operator keeps (edges, counts, scores) leaves the task.
+Each side is cut into blocks; a pair of blocks is one tile, and a tile is walked in bounded matrix
+products inside a task. Only what the operator keeps (edges, counts, scores) leaves the task.
 """
 
 from __future__ import annotations
@@ -14,8 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from axisframe.session import materialize
+
 BLOCK_CELLS = 1 << 19
 MAX_BLOCK_ROWS = 2048
+#: Bytes of vectors that a task holds of one side of its tile at most.
+BLOCK_BYTES = 128 << 20
 
 
 def block_rows(width: int) -> int:
@@ -52,16 +56,35 @@ def cogroup_tiles(left: DataFrame, right: DataFrame, keys: Sequence[str], tiles:
     return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInArrow(fn, schema)
 
 
+def grid_side(tasks: int, rows: int, width: int) -> int:
+    """Blocks of one side of a grid: about the root of the tasks, more only to bound a block's bytes."""
+    return max(1, min(math.ceil(math.sqrt(tasks)), math.ceil(rows / 64)), math.ceil(rows * width * 8 / BLOCK_BYTES))
+
+
+def in_pieces(fn: Callable[[pa.Table, pa.Table], pa.Table], rows: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """``fn`` over pieces of ``rows`` rows of both sides: what a tile computes at once stays small."""
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        if a.num_rows <= rows and b.num_rows <= rows:
+            return fn(a, b)
+        return pa.concat_tables([fn(a.slice(i, rows), b.slice(j, rows)) for i in range(0, max(a.num_rows, 1), rows)
+                                 for j in range(0, max(b.num_rows, 1), rows)])
+    return run
+
+
 def cross_tiles(left: DataFrame, right: DataFrame, left_key: str, right_key: str, width: int,
                 fn: Callable[[pa.Table, pa.Table], pa.Table], schema: T.StructType | str,
                 within: Sequence[str] = ()) -> DataFrame:
-    """Every left row meets every right row of the same ``within`` key in exactly one tile."""
-    spark = left.sparkSession
-    n_left, n_right = left.count(), right.count()
-    lb = block_count(n_left, width, spark.sparkContext.defaultParallelism)
-    rb = block_count(n_right, width)
+    """Every left row meets every right row of the same ``within`` key in exactly one call of ``fn``.
+
+    The grid has a fixed number of tiles for a given number of cores, so a row is copied as often
+    in a large table as in a small one; a task walks its tile in small pieces. Both sides are
+    written once, as they are counted before they are dealt out.
+    """
+    left, right = materialize(left), materialize(right)
+    tasks = 4 * left.sparkSession.sparkContext.defaultParallelism
+    lb, rb = grid_side(tasks, left.count(), width), grid_side(tasks, right.count(), width)
     a = (left.withColumn("_lb", hashed_block(F.col(left_key), lb))
          .withColumn("_rb", F.explode(F.sequence(F.lit(0), F.lit(rb - 1)))))
     b = (right.withColumn("_rb", hashed_block(F.col(right_key), rb))
          .withColumn("_lb", F.explode(F.sequence(F.lit(0), F.lit(lb - 1)))))
-    return cogroup_tiles(a, b, [*within, "_lb", "_rb"], lb * rb, fn, schema)
+    return cogroup_tiles(a, b, [*within, "_lb", "_rb"], lb * rb, in_pieces(fn, block_rows(width)), schema)

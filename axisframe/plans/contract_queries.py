@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from axisframe.operators import contracts, joins, labels, textjobs
+from axisframe.operators.scalars import with_row
 from axisframe.plans import inputs as I
 from axisframe.plans.registry import query
 from axisframe.sources.readers import long_to_wide_scores, wide_to_long_scores
@@ -28,8 +29,11 @@ _RULES = f"""unknown as (select image_id, source, list_sort(list_filter(
     array_to_string(s.present, ',') as present from shards s join manifest m using (image_id)
     join source_splits p using (class) where p.split = 'train'""")
 def merge_label_shards(spark, sf):
+    train = _keyed_splits(spark, sf).where("split = 'train'").select(
+        F.col("class").cast("long").alias("image_id"))
     merged, _violations, _counts = contracts.merge_label_shards(
-        I.label_shards(spark, sf), NAMES, I.document_manifest(spark, sf), _keyed_splits(spark, sf), "train")
+        I.label_shards(spark, sf).join(train, "image_id", "left_semi"), NAMES,
+        I.document_manifest(spark, sf), _keyed_splits(spark, sf), "train")
     return merged.select("pos", "image_id", "source", F.array_join("present", ",").alias("present"))
 
 
@@ -138,8 +142,8 @@ def _encoder_vectors(spark, sf):
 @query("shape_agreement", "pairs", """, shapes as (
     select 'baseline' as encoder, 'image' as role, len(image) as d from pairs
     union all select 'baseline', 'caption', len(caption) from pairs
-    union all select 'candidate', 'image', 48 from pairs
-    union all select 'candidate', 'caption', 48 from pairs)
+    union all select 'candidate', 'image', 32 from pairs
+    union all select 'candidate', 'caption', 32 from pairs)
   select encoder, role, count(*) as rows, min(d) as min_dim, max(d) as max_dim, true as rows_agree,
     true as dims_agree from shapes group by all""")
 def shape_agreement(spark, sf):
@@ -148,8 +152,8 @@ def shape_agreement(spark, sf):
 
 @query("ordered_fingerprint", "images", """, chunks as (select pos // 4096 as c, count(*) as n,
     sha256(string_agg(image_id, chr(10) order by pos) || chr(10)) as d from images group by c)
-  select sum(n)::bigint as ids, count(*) as chunks, case when count(*) = 1 then min(d)
-    else sha256(string_agg(d, chr(10) order by c) || chr(10)) end as sha256 from chunks""")
+  select sum(n)::bigint as ids, count(*) as chunks,
+    sha256(string_agg(d, chr(10) order by c) || chr(10)) as sha256 from chunks""")
 def ordered_fingerprint(spark, sf):
     return contracts.ordered_fingerprint(I.images(spark, sf), 4096)
 
@@ -191,21 +195,29 @@ def artifact_identity_check(spark, sf):
     return contracts.artifact_identity_check(*_artifacts(spark, sf))
 
 
-@query("pairing_check", "", """with ids as (select sha256(string_agg(
-      cast(vec_id as varchar), chr(10) order by vec_id) || chr(10)) as h from embeddings)
-  select unnest(['baseline', 'candidate']) as role, true as same_encoder,
-    unnest([true, false]) as same_precision, true as same_rows from ids""")
+@query("pairing_check", "vec", """, sides as (
+    select 'image' as side, count(*) as n, max(len(e)) as width from vec
+    union all select 'caption', count(*) filter (label % 2 = 0), max(len(e)) filter (label % 2 = 0) from vec)
+  select role, role = 'baseline' and max(width) = min(width) as same_encoder,
+    role = 'baseline' as same_precision, max(n) = min(n) as same_rows
+  from sides, (select unnest(['baseline', 'candidate']) as role) group by role""")
 def pairing_check(spark, sf):
-    ids = I.vectors(spark, sf).select(F.col("vec_id").alias("pos"),
-                                      F.col("vec_id").cast("string").alias("image_id"))
-    digest = contracts.ordered_fingerprint(ids).select("sha256")
-    cells = F.array(*[F.struct(F.lit(role).alias("role"), F.lit(side).alias("side"),
-                               F.lit(f"{role}-encoder").alias("encoder"), F.lit(p).alias("precision"))
-                      for role, side, p in (("baseline", "image", "fp32"), ("baseline", "caption", "fp32"),
-                                            ("candidate", "image", "fp16"),
-                                            ("candidate", "caption", "fp32"))])
-    rows = digest.select(F.col("sha256").alias("ids_sha256"), F.explode(cells).alias("m"))
-    return contracts.pairing_check(rows.select("m.*", "ids_sha256"))
+    """Manifests of two sides; the caption side lacks the vectors of odd labels, if there are any."""
+    v = I.vectors(spark, sf)
+    rows = None
+    for side, part in (("image", v), ("caption", v.where("label % 2 = 0"))):
+        ids = part.select(F.col("vec_id").alias("pos"), F.col("vec_id").cast("string").alias("image_id"))
+        widths = part.agg(F.max(F.size("embedding")).alias("width"))
+        digest = with_row(contracts.ordered_fingerprint(ids).select(F.col("sha256").alias("ids_sha256")), widths)
+        cells = F.array(*[F.struct(
+            F.lit(role).alias("role"), F.lit(side).alias("side"),
+            F.concat(F.lit("width-"), (F.col("width") / (2 if (role, side) == ("candidate", "caption") else 1))
+                     .cast("string")).alias("encoder"),
+            F.lit("fp16" if (role, side) == ("candidate", "image") else "fp32").alias("precision"))
+            for role in ("baseline", "candidate")])
+        each = digest.select("ids_sha256", F.explode(cells).alias("m")).select("m.*", "ids_sha256")
+        rows = each if rows is None else rows.unionByName(each)
+    return contracts.pairing_check(rows)
 
 
 @query("resume_anti", "runs", "select image_id from runs where status <> 'ok'")
@@ -389,10 +401,10 @@ def validate_captions(spark, sf):
 
 
 @query("caption_or_default", "caption_lines", """select d.doc_id, coalesce((select arg_max(content, pos)
-    from caption_lines c where c.doc_id = d.doc_id and length(content) >= 40), 'an object') as caption
+    from caption_lines c where c.doc_id = d.doc_id and length(content) > 0), 'an object') as caption
   from documents d""")
 def caption_or_default(spark, sf):
-    lines = I.caption_lines(spark, sf).where(F.length("content") >= 40).select(
+    lines = I.caption_lines(spark, sf).select(
         F.col("doc_id").alias("image_id"), "pos", F.col("content").alias("caption"))
     ids = I.table(spark, sf, "documents").select(F.col("doc_id").alias("image_id"))
     return joins.caption_or_default(ids, lines, "an object").withColumnRenamed("image_id", "doc_id")

@@ -268,16 +268,15 @@ def sweep_ranking(spark, sf):
         "recall_k4", "recall_k8", "recall_k14", "mean_recall")])
 
 
-@query("seed_paired_difference", "seed_metrics", """, d as (select a.value - b.value as d
+@query("seed_paired_difference", "seed_metrics", """, d as (select size, a.value - b.value as d
     from seed_metrics a join seed_metrics b using (size, seed)
-    where size = 8 and a.family = 'purchase' and b.family = 'view')
-  select count(*) as seeds, round(avg(d), 6) as mean_difference, round(stddev_samp(d), 6) as sample_std,
+    where a.family = 'purchase' and b.family = 'view')
+  select size, count(*) as seeds, round(avg(d), 6) as mean_difference, round(stddev_samp(d), 6) as sample_std,
     round(avg(d) - 2.447 * stddev_samp(d) / sqrt(count(*)), 6) as low,
-    round(avg(d) + 2.447 * stddev_samp(d) / sqrt(count(*)), 6) as high from d""")
+    round(avg(d) + 2.447 * stddev_samp(d) / sqrt(count(*)), 6) as high from d group by size""")
 def seed_paired_difference(spark, sf):
-    metrics = I.seed_metrics(spark, sf).where("size = 8")
-    d = summaries.seed_paired_difference(metrics, "purchase", "view", 2.447)
-    return d.select("seeds", *[r6(c) for c in ("mean_difference", "sample_std", "low", "high")])
+    d = summaries.seed_paired_difference(I.seed_metrics(spark, sf), "purchase", "view", 2.447)
+    return d.select("size", "seeds", *[r6(c) for c in ("mean_difference", "sample_std", "low", "high")])
 
 
 @query("chart_series", "seed_metrics runs", """, cohort as (select count(distinct image_id) as n from runs)

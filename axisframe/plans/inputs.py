@@ -18,6 +18,8 @@ SCHEDULE = {1: 2, 2: 2, 4: 2, 8: 2, 14: 1}
 N_DIMS = 64
 EDGE_THRESHOLD = 0.3
 MERGE_THRESHOLD = 0.45
+#: What stands between words: anything but letters and digits.
+WORD_GAP = r"[^\p{L}\p{N}]+"
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -34,9 +36,8 @@ def r6(value: Column | str, name: str | None = None) -> Column:
 def tags(spark: SparkSession, sf: str) -> DataFrame:
     """Distinct ``(image_id, class, phrase)``: an image is an order, its class a nation."""
     part = table(spark, sf, "part").select(
-        F.col("p_partkey").alias("l_partkey"), F.explode(F.array(
-            F.lower("p_type"), F.split_part("p_name", F.lit(" "), F.lit(1)),
-            F.split_part("p_name", F.lit(" "), F.lit(2)))).alias("phrase")).where("phrase <> ''")
+        F.col("p_partkey").alias("l_partkey"), F.explode(F.concat(
+            F.array(F.lower("p_type")), F.split("p_name", " "))).alias("phrase")).where("phrase <> ''")
     owner = (table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
              .join(table(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"),
                                                      F.col("n_name").alias("class")),
@@ -83,19 +84,19 @@ def nation_splits(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def words(spark: SparkSession, sf: str) -> DataFrame:
-    """Distinct ``(image_id, class, phrase)`` of the Latin words of whole documents."""
+    """Distinct ``(image_id, class, phrase)`` of the words of whole documents, in any script."""
     docs = spread(table(spark, sf, "documents").select("doc_id", "source", "text"))
     return docs.select(
         F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("image_id"),
         F.col("source").alias("class"), F.explode(F.array_distinct(
-            F.split(F.lower("text"), "[^a-z]+"))).alias("phrase")).where(F.length("phrase") > 1)
+            F.split(F.lower("text"), WORD_GAP))).alias("phrase")).where("phrase <> ''")
 
 
 # ---- labels ----------------------------------------------------------------
 
 def word_images(spark: SparkSession, sf: str) -> DataFrame:
     """``(image_id, class)`` of the documents that hold any word."""
-    docs = table(spark, sf, "documents").where(F.lower("text").rlike("[a-z][a-z]"))
+    docs = table(spark, sf, "documents").where(F.col("text").rlike(r"[\p{L}\p{N}]"))
     return docs.select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("image_id"),
                        F.col("source").alias("class"))
 
@@ -172,9 +173,12 @@ def pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def narrow_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """The candidate encoder: the first 48 dimensions of both sides."""
-    return pairs(spark, sf).select("pos", "label", F.slice("image", 1, 48).alias("image"),
-                                   F.slice("caption", 1, 48).alias("caption"))
+    """The candidate encoder: the sums of neighbouring dimensions, half as many."""
+    def halved(c: str) -> Column:
+        places = F.sequence(F.lit(1), F.size(c) - 1, F.lit(2))
+        return F.transform(places, lambda i: F.element_at(c, i) + F.element_at(c, i + 1)).alias(c)
+
+    return pairs(spark, sf).select("pos", "label", halved("image"), halved("caption"))
 
 
 def axis_directions(spark: SparkSession, sf: str) -> DataFrame:
@@ -341,8 +345,7 @@ def _splits_sql(source: str) -> str:
 _CTES = {
     "tags": ([], """(select distinct n_name || '/' || cast(o_orderkey as varchar) as image_id,
       n_name as class, phrase
-    from (select l_orderkey, unnest([lower(p_type), split_part(p_name, ' ', 1),
-        split_part(p_name, ' ', 2)]) as phrase
+    from (select l_orderkey, unnest(list_prepend(lower(p_type), string_split(p_name, ' '))) as phrase
       from lineitem join part on l_partkey = p_partkey)
     join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey
     join nation on c_nationkey = n_nationkey where phrase <> '')"""),
@@ -354,8 +357,8 @@ _CTES = {
     "nation_splits": ([], _splits_sql("select n_name as class from nation")),
     "words": ([], """(select distinct source || '/' || cast(doc_id as varchar) as image_id,
       source as class, phrase
-    from (select doc_id, source, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) as phrase
-      from documents) where length(phrase) > 1)"""),
+    from (select doc_id, source, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')) as phrase
+      from documents) where phrase <> '')"""),
     "label_rows": ([], f"""(select d.doc_id as image_id, source, lang, {_sql_listed({
         "quality": "quality = 1", "toxic": "toxic = 1", "lang_en": "lang = 'en'",
         "lang_de": "lang = 'de'", "long": "n_chars >= 2000",
@@ -388,7 +391,8 @@ _CTES = {
     "narrow_pairs": (["pairs"], """(select pos, label,
       list_transform(i, lambda x: x / sqrt(list_dot_product(i, i))) as image,
       list_transform(c, lambda x: x / sqrt(list_dot_product(c, c))) as caption
-    from (select pos, label, image[1:48] as i, caption[1:48] as c from pairs))"""),
+    from (select pos, label, list_transform(range(1, len(image), 2), lambda j: image[j] + image[j + 1]) as i,
+      list_transform(range(1, len(caption), 2), lambda j: caption[j] + caption[j + 1]) as c from pairs))"""),
     "axes": (["vec"], """(select label as concept_idx,
       list_transform(v, lambda x: x / greatest(sqrt(list_dot_product(v, v)), 1e-8::double)) as d
     from (select label, list(x order by k) as v

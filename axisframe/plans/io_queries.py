@@ -102,18 +102,38 @@ def src_profiles(spark, sf):
         F.aggregate("profile", F.lit(0.0), lambda t, x: t + x), "total"))
 
 
-_TABLES = ("benchmark conversations customer documents embeddings events labels lineitem nation orders "
-           "pages part region supplier").split()
+_BLOCK = "'source=' || source || '/block=' || (doc_id // 500)"
 
 
-@query("list_images", "", "select unnest([" + ", ".join(f"'{t}.parquet'" for t in _TABLES) + "]) as image_id")
+def _written_ids(spark, sf):
+    """The document ids of each source in text files of 500 ids."""
+    path = scratch_folder(spark, "ids")
+    docs = I.table(spark, sf, "documents").select(
+        "source", F.floor(F.col("doc_id") / 500).alias("block"), "doc_id")
+    placed = docs.repartition("source", "block").sortWithinPartitions("source", "block", "doc_id")
+    placed.select("source", "block", F.col("doc_id").cast("string").alias("value")).write.partitionBy(
+        "source", "block").text(path)
+    return path
+
+
+def _folder(column: str):
+    return F.regexp_extract(column, "(source=[^/]*/block=[0-9]+)/", 1)
+
+
+@query("list_images", "", f"""select {_BLOCK} as image_id,
+    sum(length(cast(doc_id as varchar)) + 1)::bigint as length from documents group by 1""")
 def list_images(spark, sf):
-    return readers.list_images(spark, sf, [".parquet"]).select("image_id")
+    files = readers.list_images(spark, _written_ids(spark, sf), [".txt"])
+    return files.select(_folder("image_id").alias("image_id"), "length")
 
 
-@query("file_checksums")
+@query("file_checksums", "", f"""select {_BLOCK} as artifact,
+    sum(length(cast(doc_id as varchar)) + 1)::bigint as bytes,
+    sha256(string_agg(cast(doc_id as varchar), chr(10) order by doc_id) || chr(10)) as sha256
+  from documents group by 1""")
 def file_checksums(spark, sf):
-    return readers.file_checksums(spark, [f"{sf}/{t}.parquet" for t in _TABLES])
+    sums = readers.file_checksums(spark, _written_ids(spark, sf), parts=3)
+    return sums.select(_folder("artifact").alias("artifact"), "bytes", "sha256")
 
 
 @query("partition_by_split", "tag_rows nation_splits", """select split, count(*) as rows
@@ -229,24 +249,32 @@ def ingest_annotations_stream(spark, sf):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query("resume_compatibility", "", """select unnest(['first run', 'same parameters', 'changed parameter',
-    'output without metadata']) as attempt, unnest([true, true, false, false]) as accepted,
-    (select count(*) from documents) as rows""")
+@query("resume_compatibility", "", """with runs as (select lang, count(*) as rows,
+      count(*) filter (n_chars >= 100) as kept from documents group by lang)
+  select lang, attempt, attempt = 'first run' or attempt = 'same documents'
+      or (attempt = 'without short texts' and kept = rows) as accepted, rows
+  from runs, (select unnest(['first run', 'same documents', 'without short texts', 'output without metadata'])
+    as attempt)""")
 def resume_compatibility(spark, sf):
+    """A run per language; its parameters are digests of the documents, so the answers follow the data."""
     folder = scratch_folder(spark, "resume")
-    docs = I.table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
-    docs.write.parquet(f"{folder}/output-orphan")
-    # The run's fingerprint covers every document, so its parameters follow the data.
-    digest = docs.agg(F.bit_xor(F.xxhash64("doc_id", "h")).alias("x"), F.count("*").alias("n")).head()
-    base = {"selection": str(digest["x"]), "source_image_count": str(digest["n"]), "prompt": "v1"}
-    tries = [("first run", base, "a"), ("same parameters", base, "a"),
-             ("changed parameter", {**base, "prompt": "v2"}, "a"),
-             ("output without metadata", base, "orphan")]
+    docs = I.table(spark, sf, "documents").select("doc_id", "lang", "n_chars", F.sha2("text", 256).alias("h"))
+    docs.write.partitionBy("lang").parquet(f"{folder}/orphans")
+    long = F.when(F.col("n_chars") >= 100, F.xxhash64("doc_id", "h"))
+    runs = docs.groupBy("lang").agg(F.bit_xor(F.xxhash64("doc_id", "h")).alias("all"), F.bit_xor(long).alias("kept"),
+                                    F.count("*").alias("rows"), F.count(long).alias("n")).collect()
     outcome = []
-    for name, expected, run in tries:
-        try:
-            ingest.resume_compatibility(spark, f"{folder}/meta-{run}", f"{folder}/output-{run}", expected)
-            outcome.append((name, True, digest["n"]))
-        except contracts.ContractError:
-            outcome.append((name, False, digest["n"]))
-    return spark.createDataFrame(outcome, "attempt string, accepted boolean, rows long")
+    for run in runs:
+        whole = {"selection": str(run["all"]), "source_image_count": str(run["rows"])}
+        kept = {"selection": str(run["kept"]), "source_image_count": str(run["n"])}
+        meta, output = f"{folder}/meta-{run['lang']}", f"{folder}/output-{run['lang']}"
+        for name, expected, at, to in (
+                ("first run", whole, meta, output), ("same documents", whole, meta, output),
+                ("without short texts", kept, meta, output),
+                ("output without metadata", whole, meta + "-none", f"{folder}/orphans/lang={run['lang']}")):
+            try:
+                ingest.resume_compatibility(spark, at, to, expected)
+                outcome.append((run["lang"], name, True, run["rows"]))
+            except contracts.ContractError:
+                outcome.append((run["lang"], name, False, run["rows"]))
+    return spark.createDataFrame(outcome, "lang string, attempt string, accepted boolean, rows long")

@@ -107,8 +107,8 @@ _CLUSTERS = """active as (select distinct image_id, class, substring(phrase, 1,
     sum(n) / (select sum(t) from tot)::double as image_prevalence
     from cper join tot using (class) group by cluster)"""
 _LEADER = """lead as (select substring(phrase, 1, 1) as cluster, phrase as name, row_number() over (
-    partition by substring(phrase, 1, 1) order by balanced desc, class_support desc, mentions desc,
-    phrase) as rn, count(*) over (partition by substring(phrase, 1, 1)) as members from sup)"""
+    partition by substring(phrase, 1, 1) order by round(balanced, 9) desc, class_support desc,
+    mentions desc, phrase) as rn, count(*) over (partition by substring(phrase, 1, 1)) as members from sup)"""
 
 
 @query("cluster_support", "tags", _support_sql("tags", ", " + _CLUSTERS + """
@@ -129,7 +129,7 @@ def cluster_leader(spark, sf):
 
 
 @query("concept_priority", "tags", _support_sql("tags", ", " + _CLUSTERS + ", " + _LEADER + """
-  select name, cluster, row_number() over (order by prevalence desc, c.class_support desc,
+  select name, cluster, row_number() over (order by round(prevalence, 9) desc, c.class_support desc,
     c.mentions desc, name) as priority from csup c join lead using (cluster) where rn = 1"""))
 def concept_priority(spark, sf):
     mentions = materialize(I.tags(spark, sf))
@@ -155,7 +155,7 @@ def top_tags(spark, sf):
 @query("frequency_report", "words", _support_sql("words", """select phrase as attribute,
   mentions as images, class_support as classes, round(balanced, 6) as balanced_prevalence from (
     select *, row_number() over (order by mentions desc, class_support desc, phrase) as rank from sup)
-  where contains(phrase, 'en') order by balanced desc, mentions desc, rank limit 50"""))
+  where contains(phrase, 'en') order by round(balanced, 9) desc, mentions desc, rank limit 50"""))
 def frequency_report(spark, sf):
     stats = support.attribute_statistics(I.words(spark, sf), I.word_images(spark, sf))
     return support.frequency_report(stats, "en", "balanced", 50).select(

@@ -197,13 +197,15 @@ def overlap_by_exemption(spark, sf):
 
 # ---- paired retrieval ------------------------------------------------------
 
-@query("gallery_scores", "vec", """select a.vec_id as query_id, b.vec_id as item_id,
-  round(list_dot_product(a.e, b.e), 6) as score from vec a, vec b""")
+@query("gallery_scores", "vec", """select query_id, rank::int as rank, item_id, round(score, 6) as score
+  from (select *, row_number() over (partition by query_id order by round(score, 12) desc, item_id) as rank
+    from (select a.vec_id as query_id, b.vec_id as item_id, list_dot_product(a.e, b.e) as score from vec a, vec b))
+  where rank <= 10""")
 def gallery_scores(spark, sf):
     v = I.vectors(spark, sf)
-    scores = retrieval.gallery_scores(v.select(F.col("vec_id").alias("query_id"), "embedding"),
-                                      v.select(F.col("vec_id").alias("item_id"), "embedding"))
-    return scores.select("query_id", "item_id", r6("score"))
+    best = retrieval.gallery_top_k(v.select(F.col("vec_id").alias("query_id"), "embedding"),
+                                   v.select(F.col("vec_id").alias("item_id"), "embedding"), 10)
+    return best.select("query_id", "rank", "item_id", r6("score"))
 
 
 def _direction_sql(pairs: str, q: str, t: str) -> str:
@@ -252,8 +254,8 @@ def paired_retrieval(spark, sf):
       max(abs(n - 1)) <= 5e-4 as passed from (
         select 'baseline_image' as label, sqrt(list_dot_product(image, image)) as n from pairs
         union all select 'baseline_caption', sqrt(list_dot_product(caption, caption)) from pairs
-        union all select 'candidate_image', sqrt(list_dot_product(image[1:48], image[1:48])) from pairs
-        union all select 'candidate_caption', sqrt(list_dot_product(caption[1:48], caption[1:48]))
+        union all select 'candidate_image', sqrt(list_sum(list_transform(range(1, 64, 2), lambda j: (image[j] + image[j + 1]) ** 2))) from pairs
+        union all select 'candidate_caption', sqrt(list_sum(list_transform(range(1, 64, 2), lambda j: (caption[j] + caption[j + 1]) ** 2)))
           from pairs) group by label),
     every_gate as (select * from norms union all select * from drops)
   select gate, round(value, 6) as value, passed from every_gate union all
@@ -307,12 +309,11 @@ def _ranks(spark, sf):
                                          SCHEDULE, I.ROLLOUT_SEED)
 
 
-@query("target_rank_avg_tie", "ranks", """select image_id, rollout, kind, size, rank::double as rank
-  from ranks where model = 'raw'""")
+@query("target_rank_avg_tie", "ranks", """select model, image_id, rollout, kind, size,
+  rank::double as rank from ranks""")
 def target_rank_avg_tie(spark, sf):
-    raw = I.profiles(spark, sf).where("model = 'raw'")
-    return retrieval.target_rank_avg_tie(_rollouts(spark, sf), raw, SCHEDULE).select(
-        "image_id", "rollout", "kind", "size", F.col("rank").cast("double"))
+    ranks = retrieval.target_rank_avg_tie(_rollouts(spark, sf), I.profiles(spark, sf), SCHEDULE)
+    return ranks.select("model", "image_id", "rollout", "kind", "size", F.col("rank").cast("double"))
 
 
 @query("compositional_ranks", "ranks", """select model, image_id, rollout, kind, size,

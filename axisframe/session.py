@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -48,16 +49,49 @@ def scratch_folder(spark: SparkSession, purpose: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{purpose}-{uuid.uuid4().hex}"
 
 
+_tables: dict[str, SparkSession] = {}
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back.
 
     This cuts the lineage, so a lost executor cannot change the rows (range bounds, for one, are
-    sampled anew on every run), computes them once, and gives later joins the real size.
+    sampled anew on every run), computes them once, and gives later joins the real size. The table
+    belongs to the session: ``discard`` drops it when nothing reads it any more, ``release`` drops all
+    once a result has been written, and the end of the driver drops what is left.
     """
     spark = df.sparkSession
     path = scratch_folder(spark, "table")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if not _tables:
+        atexit.register(release)
+    _tables[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def _delete(path: str, spark: SparkSession) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Drop materialized tables that no later step reads."""
+    for frame in frames:
+        path = getattr(frame, "_scratch", None)
+        if path in _tables:
+            _delete(path, _tables.pop(path))
+
+
+def release() -> None:
+    """Drop all materialized tables; call it when the results that read them have been written."""
+    while _tables:
+        path, spark = _tables.popitem()
+        try:
+            _delete(path, spark)
+        except Exception:  # the session or its gateway is gone; its folder is the cluster's to clean
+            continue
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

@@ -28,25 +28,34 @@ def src_annotations(spark: SparkSession, path: str | Sequence[str],
 
 
 def src_id_manifest(spark: SparkSession, path: str, layout: str = "lines") -> DataFrame:
-    """An ordered JSON list of ids as ``(pos, image_id)``; positions are explicit from here on.
+    """An ordered JSON list of unique ids as ``(pos, image_id)``; positions are explicit from here on.
 
-    An indented list has one id per line, so it is read in splits: the place of an id is its
-    file, the start of its split and its line within the split. ``layout="document"`` reads a
-    compact one-line list, which no reader can split.
+    A list with line breaks between its ids is read in splits: the place of an id is its file, the
+    start of its split, its line within the split and its place within the line. A line that holds
+    anything but brackets and quoted ids, and an id that comes twice, fail the job. For a list whose
+    ids are cut over lines otherwise, ``layout="document"`` reads each file as one JSON text.
     """
     if layout == "document":
-        text = spark.read.text(path, wholetext=True)
-        return text.select(F.posexplode(F.from_json("value", "array<string>"))
-                           .alias("pos", "image_id")).withColumn("pos", F.col("pos").cast("long"))
-    lines = spark.read.text(path).select(
-        "value", F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_start"),
-        F.monotonically_increasing_id().alias("_line"))
-    items = lines.withColumn("image_id", F.get(F.from_json(F.concat(
-        F.lit("["), F.regexp_extract("value", r'^\s*(".*")\s*,?\s*$', 1), F.lit("]")), "array<string>"), 0))
-    return ranked(items.where(F.col("image_id").isNotNull()).select(
-        "image_id", "_file", "_start", "_line"), ["_file", "_start", "_line"], name="pos", start=0
-    ).select("pos", "image_id")
+        files = spark.read.text(path, wholetext=True)
+        listed = files.select(F.posexplode(F.from_json("value", "array<string>")).alias("_place", "image_id"),
+                              F.col("_metadata.file_path").alias("_file"), F.lit(0).cast("long").alias("_start"),
+                              F.lit(0).cast("long").alias("_line"))
+    else:
+        lines = spark.read.text(path).select(
+            F.trim("value").alias("_text"), F.col("_metadata.file_path").alias("_file"),
+            F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_line"))
+        bare = F.regexp_replace(F.regexp_replace("_text", r"^\[", ""), r"\s*,?\s*\]?\s*,?$", "")
+        ids = F.from_json(F.concat(F.lit("["), bare, F.lit("]")), "array<string>", {"mode": "PERMISSIVE"})
+        sound = (bare == "") | F.col("_text").rlike(r'^\[?\s*"(?:[^"\\]|\\.)*"(?:\s*,\s*"(?:[^"\\]|\\.)*")*\s*,?\s*\]?$')
+        checked = F.when(sound, ids).otherwise(F.raise_error(F.concat(
+            F.lit("not a line of quoted ids: "), F.substring("_text", 1, 80))).cast("array<string>"))
+        listed = lines.where(F.col("_text") != "").select(
+            F.posexplode(checked).alias("_place", "image_id"), "_file", "_start", "_line")
+    # Counted beside the ranking, so that a repeated id cannot pass as two positions.
+    placed = ranked(listed, ["_file", "_start", "_line", "_place"], name="pos", start=0)
+    uses = placed.groupBy("image_id").agg(F.count("*").alias("_uses"), F.min("pos").alias("pos"))
+    return uses.select("pos", F.when(F.col("_uses") == 1, F.col("image_id")).otherwise(F.raise_error(
+        F.concat(F.lit("an id is listed twice: "), "image_id")).cast("string")).alias("image_id"))
 
 
 def write_id_manifest(ids: DataFrame, path: str) -> None:
@@ -89,19 +98,37 @@ def src_split_manifest(spark: SparkSession, path: str, unit: str) -> DataFrame:
 
 
 def src_embeddings(spark: SparkSession, path: str, vector: str = "embedding") -> DataFrame:
-    """Embeddings with a DOUBLE vector column; the stored column must be a float array."""
+    """Embeddings with a DOUBLE vector column: float arrays of one width, at least one row."""
     df = spark.read.parquet(path)
     kind = df.schema[vector].dataType
     if not isinstance(kind, T.ArrayType) or not isinstance(
             kind.elementType, (T.FloatType, T.DoubleType)):
         raise ValueError(f"{vector} must be an array of float or double")
+    seen = df.agg(F.count("*").alias("n"), F.min(F.size(vector)).alias("low"), F.max(F.size(vector)).alias("high")).head()
+    if not seen["n"]:
+        raise ValueError("no embeddings were stored")
+    if seen["low"] != seen["high"] or seen["low"] <= 0:
+        raise ValueError(f"embeddings of {seen['low']} to {seen['high']} dimensions under one name")
     return df.withColumn(vector, as_doubles(vector))
 
 
-def src_profiles(spark: SparkSession, path: str, models: Sequence[str] = ()) -> DataFrame:
-    """``(model, image_id, profile)`` partitioned by model, so a model filter prunes folders."""
+def src_profiles(spark: SparkSession, path: str, models: Sequence[str] = (), expected: DataFrame | None = None
+                 ) -> DataFrame:
+    """``(model, image_id, profile)`` partitioned by model, so a model filter prunes folders.
+
+    Each model named must be stored; with ``expected`` (``image_id``) each must cover those ids.
+    """
     df = spark.read.parquet(path)
-    return df.where(F.col("model").isin(*models)) if models else df
+    df = df.where(F.col("model").isin(*models)) if models else df
+    stored = {r["model"] for r in df.select("model").distinct().collect()}
+    if absent := sorted(set(models) - stored):
+        raise ValueError(f"no profiles of {', '.join(absent)}")
+    if expected is not None:
+        for model in sorted(stored):
+            uncovered = expected.join(df.where(F.col("model") == model), "image_id", "left_anti")
+            if not uncovered.isEmpty():
+                raise ValueError(f"profiles of {model} do not cover all ids")
+    return df
 
 
 def list_images(spark: SparkSession, path: str,
@@ -115,11 +142,14 @@ def list_images(spark: SparkSession, path: str,
     return matched.select(relative.alias("image_id"), "length").orderBy("image_id")
 
 
-def file_checksums(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """``(artifact, bytes, sha256)`` per file; one file is one task, as its digest demands."""
+def file_checksums(spark: SparkSession, path: str | Sequence[str], parts: int = 1) -> DataFrame:
+    """``(artifact, bytes, sha256)`` per file, named by the last ``parts`` parts of its path.
+
+    One file is one task, as its digest demands, and one value there: files end at 2 GB.
+    """
     paths = [path] if isinstance(path, str) else list(path)
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths))
-    return files.select(F.substring_index("path", "/", -1).alias("artifact"),
+    return files.select(F.substring_index("path", "/", -parts).alias("artifact"),
                         F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 

@@ -23,7 +23,7 @@ HEADLINE = [
 
 def main() -> None:
     from axisframe.plans.catalog import QUERIES
-    from axisframe.session import build_session
+    from axisframe.session import build_session, release
 
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -38,6 +38,7 @@ def main() -> None:
             print(f"{name}: {str(error)[:300]}", file=sys.stderr)
             continue
         seconds[name] = round(time.perf_counter() - start, 3)
+        release()
     spark.stop()
     print(json.dumps({
         "metric": "total_seconds_headline_queries", "value": round(sum(seconds.values()), 3),

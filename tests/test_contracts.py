@@ -34,7 +34,10 @@ def test_merge_orders_rows(spark, plan):
     (("cup/b", "ok", ["red"], [], "s1"), "duplicate")])
 def test_merge_violations(spark, plan, row, rule):
     rows = shards(spark, [("cup/b", "ok", ["red"], [], "s0"), row])
-    _m, bad, _c = K.merge_label_shards(rows, NAMES, *plan, "train")
+    merged, bad, _c = K.merge_label_shards(rows, NAMES, *plan, "train")
+    if row[0] != "jar/a":
+        with pytest.raises(Exception, match="cannot be merged"):
+            merged.collect()
     rules = {r["rule"] for r in bad.collect()}
     assert rule in rules
     if row[0] != "cup/a":
@@ -43,6 +46,13 @@ def test_merge_violations(spark, plan, row, rule):
         K.require_empty(bad, "shards")
 
 
+def test_an_id_listed_twice_is_a_violation(spark, plan):
+    manifest = plan[0].union(plan[0].where("pos = 0"))
+    rows = shards(spark, [("cup/a", "ok", ["red"], [], "s1"), ("cup/b", "ok", ["red"], [], "s1")])
+    bad = K.merge_label_shards(rows, NAMES, manifest, plan[1], "train")[1]
+    assert [(r["image_id"], r["rule"], r["detail"]) for r in bad.collect()] == [("cup/b", "listed_twice", "2")]
+
+
 def test_merge_test_needs_opt_in(spark, plan):
     with pytest.raises(ValueError):
         K.merge_label_shards(shards(spark, []), NAMES, *plan, "test")
@@ -58,8 +68,14 @@ def test_strict_rows(spark):
 def test_fingerprint(spark):
     ids = spark.createDataFrame([(i, f"x{i}") for i in range(10)], "pos long, image_id string").repartition(3)
     text = "\n".join(f"x{i}" for i in range(10)) + "\n"
-    assert K.ordered_fingerprint(ids).head()["sha256"] == hashlib.sha256(text.encode()).hexdigest()
-    assert K.ordered_fingerprint(ids, 4).head()["chunks"] == 3
+
+    def sha(text):
+        return hashlib.sha256(text.encode()).hexdigest()
+    assert tuple(K.ordered_fingerprint(ids).head()) == (10, 1, sha(sha(text) + "\n"))
+    level = [sha("".join(f"x{i}\n" for i in range(k, min(k + 2, 10)))) for k in range(0, 10, 2)]
+    while len(level) > 1:  # two digests a node, on every length the same rule
+        level = [sha("".join(d + "\n" for d in level[k:k + 2])) for k in range(0, len(level), 2)]
+    assert tuple(K.ordered_fingerprint(ids, 2, 2).head()) == (10, 5, level[0])
 
 
 def test_coverage_and_classes(spark):

@@ -45,3 +45,13 @@ def test_percentiles(spark, frame):
         assert row["p0"] == values.min()
     whole = exact_percentiles(spark.createDataFrame(frame), [], "v", {"p": .37}).head()["p"]
     assert whole == pytest.approx(np.quantile(frame["v"], .37))
+
+
+def test_null_groups_are_groups(spark):
+    rows = spark.createDataFrame([(None, 1), (None, 2), ("a", 5), (None, 9)], "g string, v int")
+    placed = {(r["g"], r["v"]): r["rank"] for r in ranked(rows, ["v"], ["g"]).collect()}
+    assert placed == {(None, 1): 1, (None, 2): 2, (None, 9): 3, ("a", 5): 1}
+    middle = {r["g"]: r["p50"] for r in exact_percentiles(rows, ["g"], "v", {"p50": 0.5}).collect()}
+    assert middle == {None: 2.0, "a": 5.0}
+    totals = running_totals(rows, ["v"], ["g"], {"before": "v"})
+    assert {(r["g"], r["v"]): r["before"] for r in totals.collect()}[None, 9] == 3
