@@ -20,12 +20,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from axisframe.llm.common import map_arrow, text_bytes
+from axisframe.llm.common import kept, map_arrow, text_bytes
 
 #: Bounds of what a task remembers; beyond them it starts afresh, with the same results.
-MAX_STATES = 250_000
-MAX_PAIRS = 500_000
-MAX_PIECES = 400_000
+MAX_STATES = 120_000
+MAX_PAIRS = 200_000
+MAX_PIECES = 200_000
 
 
 class Merges:
@@ -237,8 +237,6 @@ class Utf8Stream:
 class Codec:
     """A vocabulary with its pre-token pattern; what it has worked out stays in the Python worker."""
 
-    _kept: dict[tuple[int, str], Codec] = {}
-
     def __init__(self, raw: bytes, pattern: str):
         self.merges = Merges.parse(raw)
         self.transducer = Transducer(self.merges)
@@ -248,10 +246,7 @@ class Codec:
 
     @classmethod
     def shared(cls, raw: bytes, pattern: str) -> Codec:
-        key = (hash(raw), pattern)
-        if key not in cls._kept:
-            cls._kept = {key: cls(raw, pattern)}
-        return cls._kept[key]
+        return kept(("bpe", hash(raw), pattern), lambda: cls(raw, pattern))
 
     def _piece(self, piece: str) -> tuple[bytes, str]:
         ids = self.transducer.encode(piece.encode())
@@ -316,7 +311,7 @@ def encode(df: DataFrame, key: str, vocabulary: str, pattern: str, text: str = "
 
     kind = df.schema[key].dataType.simpleString()
     source = df.select(F.col(key).alias("key"), text_bytes(text).alias("body"))
-    return map_arrow(source, run, f"key {kind}, ids array<int>", "body").withColumnRenamed("key", key)
+    return map_arrow(source, run, f"key {kind}, ids array<int>", "body", keeps=True).withColumnRenamed("key", key)
 
 
 def decode(df: DataFrame, key: str, vocabulary: str, ids: str = "ids") -> DataFrame:
@@ -330,7 +325,7 @@ def decode(df: DataFrame, key: str, vocabulary: str, ids: str = "ids") -> DataFr
 
     kind = df.schema[key].dataType.simpleString()
     source = df.select(F.col(key).alias("key"), F.col(ids).alias("ids"))
-    return map_arrow(source, run, f"key {kind}, text string").withColumnRenamed("key", key)
+    return map_arrow(source, run, f"key {kind}, text string", keeps=True).withColumnRenamed("key", key)
 
 
 def round_trip(df: DataFrame, key: str, vocabulary: str, pattern: str, text: str = "text",
@@ -344,12 +339,12 @@ def round_trip(df: DataFrame, key: str, vocabulary: str, pattern: str, text: str
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         codec = Codec.shared(raw.value, pattern)
-        counts, digests, decoded, kept = [], [], [], []
+        counts, digests, decoded, rows = [], [], [], []
         for value in batch.column("body"):
             ids, decimals = codec.encode(_text(value))
             counts.append(len(ids))
             if with_ids:
-                kept.append(ids)
+                rows.append(ids)
             digests.append(hashlib.sha256(decimals.encode()).hexdigest())
             back = hashlib.sha256()
             for chunk in codec.decode(ids):
@@ -358,11 +353,11 @@ def round_trip(df: DataFrame, key: str, vocabulary: str, pattern: str, text: str
         columns = [batch.column("key"), pa.array(counts, pa.int64()), pa.array(digests), pa.array(decoded)]
         names = ["key", "n_tokens", "ids_sha256", "decoded_sha256"]
         if with_ids:
-            columns.append(_lists(kept))
+            columns.append(_lists(rows))
             names.append("ids")
         return pa.RecordBatch.from_arrays(columns, names)
 
     kind = df.schema[key].dataType.simpleString()
     source = df.select(F.col(key).alias("key"), text_bytes(text).alias("body"))
     schema = f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return map_arrow(source, run, schema, "body").withColumnRenamed("key", key)
+    return map_arrow(source, run, schema, "body", keeps=True).withColumnRenamed("key", key)

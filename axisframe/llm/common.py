@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -13,6 +14,18 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 4 << 20
 
 
+#: What a Python worker keeps from one task to the next: at most one operator's compiled state.
+_KEPT: dict[Hashable, Any] = {}
+
+
+def kept(key: Hashable, make: Callable[[], Any]) -> Any:
+    """The state under ``key``, made on first use; another operator's state is given up for it."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -44,6 +57,7 @@ def keep_rows(df: DataFrame, fn: Callable[[pa.Array], pa.Array], text: str, most
     place = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _KEPT.clear()
         for batch in batches:
             for piece in slices(batch, place, most):
                 body = pc.fill_null(piece.column(place).cast(pa.binary()), b"")
@@ -53,9 +67,14 @@ def keep_rows(df: DataFrame, fn: Callable[[pa.Array], pa.Array], text: str, most
 
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str,
-              by: str | None = None, most: int = SLICE_BYTES) -> DataFrame:
-    """Apply ``fn`` batch by batch in the tasks; ``by`` names a bytes column that bounds a slice."""
+              by: str | None = None, most: int = SLICE_BYTES, keeps: bool = False) -> DataFrame:
+    """Apply ``fn`` batch by batch in the tasks; ``by`` names a bytes column that bounds a slice.
+
+    ``keeps`` says that ``fn`` works with ``kept`` state; else what an earlier operator kept is freed.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            _KEPT.clear()
         for batch in batches:
             for part in slices(batch, by, most) if by else (batch,):
                 if part.num_rows:

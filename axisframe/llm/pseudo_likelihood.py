@@ -27,7 +27,7 @@ TOKEN = re.compile(r"\w+|[^\w\s]")
 TYPES, INPUTS, CLASSES, CODE, HIDDEN = 1 << 18, 1 << 12, 32, 12, 24
 #: One window in so many trains the network; a replica trains on about so many windows.
 RATE, REPLICA_WINDOWS = 32, 200_000
-MAX_WORDS = 400_000
+MAX_WORDS = 200_000
 REACH = (-2, -1, 1, 2)
 SLICE_BYTES = 2 << 20
 

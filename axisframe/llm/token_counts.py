@@ -16,13 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from axisframe.llm.common import map_arrow, text_bytes
+from axisframe.llm.common import kept, map_arrow, text_bytes
 
 #: How much worse than the worst piece an unknown character is (a fixed value of the tokenizers).
 UNKNOWN_PENALTY = 10.0
 BLANK = "▁"
 #: A task remembers the counts of so many segments.
-MAX_SEGMENTS = 400_000
+MAX_SEGMENTS = 300_000
 
 
 def vocabulary(path: str) -> list[tuple[str, float]]:
@@ -107,9 +107,6 @@ class Counter(dict):
         return sum([p[0] for p in parts]), sum([p[1] for p in parts])
 
 
-_KEPT: dict[int, Counter] = {}
-
-
 def count_tokens(df: DataFrame, pieces: list[tuple[str, float]], key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, n_tokens, score)`` of every whole text.
 
@@ -119,10 +116,7 @@ def count_tokens(df: DataFrame, pieces: list[tuple[str, float]], key: str = "doc
     shared, name = df.sparkSession.sparkContext.broadcast(pieces), hash(tuple(pieces))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        counter = _KEPT.get(name)
-        if counter is None:
-            _KEPT.clear()
-            counter = _KEPT[name] = Counter(shared.value)
+        counter = kept(("token counts", name), lambda: Counter(shared.value))
         totals = [counter.total(v.as_py().decode("utf-8", "replace")) for v in batch.column("body")]
         return pa.RecordBatch.from_arrays(
             [batch.column("key"), pa.array([t[0] for t in totals], pa.int64()),
@@ -130,4 +124,4 @@ def count_tokens(df: DataFrame, pieces: list[tuple[str, float]], key: str = "doc
 
     kind = df.schema[key].dataType.simpleString()
     source = df.select(F.col(key).alias("key"), text_bytes(text).alias("body"))
-    return map_arrow(source, run, f"key {kind}, n_tokens long, score double", "body").withColumnRenamed("key", key)
+    return map_arrow(source, run, f"key {kind}, n_tokens long, score double", "body", keeps=True).withColumnRenamed("key", key)
