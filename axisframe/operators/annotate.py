@@ -7,10 +7,12 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from axisframe.functions import columns as C
+from axisframe.functions.arrow import list_column
 
 Annotator = Callable[[pd.DataFrame, int, int], Sequence[tuple[str, bool]]]
 Validator = Callable[[str], str | None]
@@ -71,13 +73,12 @@ def annotate(items: DataFrame, annotator: Annotator, validator: Validator, *, re
 def encode_column(rows: DataFrame, make_encoder: Callable[[], Callable[[Sequence], np.ndarray]],
                   column: str, out: str = "embedding", batch: int = 256) -> DataFrame:
     """Add normalized vectors of a text or binary column; the encoder is made once per task."""
-    @F.pandas_udf("array<double>")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<double>")
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encode = make_encoder()
         for part in parts:
-            vectors = [encode(part.iloc[i:i + batch].tolist()) for i in range(0, len(part), batch)]
-            stacked = np.concatenate(vectors) if vectors else np.zeros((0, 0))
-            yield pd.Series([row.astype(float) for row in stacked], index=part.index)
+            vectors = [encode(part.slice(i, batch).to_pylist()) for i in range(0, len(part), batch)]
+            yield list_column(np.concatenate(vectors).astype(np.float64) if vectors else np.zeros((0, 1)))
 
     encoded = rows.withColumn(out, run(column))
     return encoded.withColumn(out, C.l2_normalize(out, guard="strict"))

@@ -70,13 +70,22 @@ def explicit_id_list(images: DataFrame, wanted: DataFrame, split: str
     return good, bad
 
 
+def _mentions(rows: DataFrame, tags: str, name: str) -> DataFrame:
+    if "phrase" in rows.columns:
+        return rows.select("image_id", F.col("phrase").alias(name))
+    return rows.select("image_id", F.explode(F.array_distinct(tags)).alias(name))
+
+
 def map_tags_to_concepts(rows: DataFrame, dictionary: DataFrame, *,
                          tags: str = "attributes", flagged: DataFrame | None = None) -> DataFrame:
-    """``(image_id, concept_idx, name)``: members become concepts, once per image."""
+    """``(image_id, concept_idx, name)``: members become concepts, once per image.
+
+    ``rows`` is ``(image_id, phrase)``, or has a list of phrases in the column ``tags``.
+    """
     members = dictionary.select("concept_idx", "name", F.explode("members").alias("phrase"))
     if flagged is not None:
         members = drop_flagged_concepts(members, flagged)
-    mentions = rows.select("image_id", F.explode(tags).alias("phrase"))
+    mentions = _mentions(rows, tags, "phrase")
     return (mentions.join(members, "phrase").select("image_id", "concept_idx", "name")
             .distinct())
 
@@ -118,9 +127,9 @@ def apply_edge_decisions(edges: DataFrame, decisions: DataFrame, candidates: Dat
 def tag_backed_exemplars(rows: DataFrame, terms: DataFrame) -> DataFrame:
     """Images whose tags meet a concept's terms, with the matched terms.
 
-    ``terms`` is ``(name, term)``; ``has_name`` says that the concept's own name was matched.
+    ``rows`` is as in ``map_tags_to_concepts``; ``terms`` is ``(name, term)``; ``has_name`` says that the concept's own name was matched.
     """
-    mentions = rows.select("image_id", F.explode(F.array_distinct("attributes")).alias("term"))
+    mentions = _mentions(rows, "attributes", "term")
     hits = mentions.join(terms.select("name", "term").distinct(), "term")
     # At most one row per dictionary term meets in a group, so the sets stay small.
     return hits.groupBy("name", "image_id").agg(

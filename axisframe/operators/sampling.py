@@ -35,17 +35,21 @@ def split_counts(images: DataFrame) -> DataFrame:
 
 def hash_priority_sample(rows: DataFrame, limit: int, seed: int, key: str = "image_id"
                          ) -> DataFrame:
-    """The ``limit`` rows of smallest SHA-256(seed NUL id); a limit <= 0 means all rows."""
+    """The ``limit`` rows of smallest SHA-256(seed NUL id); a limit <= 0 means all rows.
+
+    Places come from a range sort, so a large sample stays spread over its tasks.
+    """
     if limit <= 0:
         return rows
-    return rows.orderBy(hash_priority(seed, key, sep="\0"), key).limit(limit)
+    placed = ranked(rows, [hash_priority(seed, key, sep="\0"), key], name="_place")
+    return placed.where(F.col("_place") <= limit).drop("_place")
 
 
 def seeded_shuffle_limit(rows: DataFrame, limit: int, seed: int, key: str = "image_id",
                          name: str = "pos") -> DataFrame:
     """Rows with their position in a seeded shuffle, cut after the first ``limit``."""
-    return ranked(hash_priority_sample(rows, limit, seed, key),
-                  [hash_priority(seed, key, sep="\0"), key], name=name, start=0)
+    placed = ranked(rows, [hash_priority(seed, key, sep="\0"), key], name=name, start=0)
+    return placed.where(F.col(name) < limit) if limit > 0 else placed
 
 
 def rollout_schedule(sizes: Sequence[int], default: int,

@@ -448,12 +448,18 @@ def select_concepts(spark, sf):
 
 
 def _dictionary_inputs(spark, sf):
-    docs = I.words(spark, sf)
+    """Mentions of every document, and a vector of each: its embedding, or one made from its digest."""
+    digest = F.sha2("text", 512)
+    made = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.conv(
+        F.substring(digest, 2 * i + 1, F.lit(2)), 16, 10).cast("double") / 127.5 - 1)
+    docs = I.table(spark, sf, "documents").select(
+        F.col("doc_id").alias("vec_id"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("image_id"),
+        F.col("source").alias("class"), made.alias("made"))
     known = I.vectors(spark, sf).select("vec_id", "embedding")
-    keyed = I.document_manifest(spark, sf).join(known.withColumnRenamed("vec_id", "pos"), "pos").select(
-        F.concat("class", F.lit("/"), F.col("pos").cast("string")).alias("image_id"), "class", "embedding")
+    keyed = docs.join(known, "vec_id", "left").select(
+        "image_id", "class", F.coalesce("embedding", "made").alias("embedding"))
     # Tokenizing every document is dearer than keeping its distinct words once.
-    return materialize(docs.join(keyed.select("image_id"), "image_id", "left_semi")), keyed
+    return materialize(I.words(spark, sf)), materialize(keyed)
 
 
 @query("dictionary_build")
@@ -462,8 +468,10 @@ def dictionary_build(spark, sf):
 
     mentions, images = _dictionary_inputs(spark, sf)
     # A phrase's vector is the mean embedding of the documents that use it.
-    phrase_vectors = linalg.vector_mean(mentions.join(images.select("image_id", "embedding"), "image_id"),
-                                        ["phrase"], "embedding")
+    # Rarer phrases than a candidate may be need none.
+    often = mentions.groupBy("phrase").agg(F.count("*").alias("n")).where("n >= 12").select("phrase")
+    used = mentions.join(often, "phrase", "left_semi").join(images.select("image_id", "embedding"), "image_id")
+    phrase_vectors = linalg.vector_mean(used, ["phrase"], "embedding")
     options = DictionaryOptions(k=64, min_mentions=12, min_class_support=8, merge_method="text",
                                 text_threshold=0.92, remove_components=1, selection="profile-and-text",
                                 max_profile_twin=0.75, max_text_twin=0.9)

@@ -251,9 +251,9 @@ def explicit_id_list(spark, sf):
 
 # ---- dictionary lookups and exemplars --------------------------------------
 
-def _dictionary(spark, sf):
+def _dictionary(spark, sf, mentions=None):
     """One concept per letter of the tag phrases, named by its leader."""
-    found = materialize(support.attribute_support(I.tags(spark, sf), I.tag_images(spark, sf)))
+    found = materialize(support.attribute_support(I.tags(spark, sf) if mentions is None else mentions))
     clusters = found.select("phrase", F.substring("phrase", 1, 1).alias("cluster"))
     names = support.cluster_leader(found, clusters)
     # A cluster holds a dictionary entry's members, not rows of the data.
@@ -272,7 +272,8 @@ _FLAGGED = ["small", "ring"]
 @query("map_tags_to_concepts", "tags", ", " + _DICT + """ select distinct image_id, concept_idx, name
   from tags join dict on member = phrase""")
 def map_tags_to_concepts(spark, sf):
-    return joins.map_tags_to_concepts(I.tag_rows(spark, sf), _dictionary(spark, sf))
+    mentions = _mentions(spark, sf)
+    return joins.map_tags_to_concepts(mentions, _dictionary(spark, sf, mentions))
 
 
 @query("drop_flagged_concepts", "tags", ", " + _DICT + """, flagged as (select distinct phrase as name
@@ -280,14 +281,23 @@ def map_tags_to_concepts(spark, sf):
   select distinct image_id, name from tags join dict on member = phrase
   where name not in (select name from flagged)""")
 def drop_flagged_concepts(spark, sf):
-    flagged = I.tags(spark, sf).where(F.col("phrase").isin(*_FLAGGED)).select(
+    mentions = _mentions(spark, sf)
+    flagged = mentions.where(F.col("phrase").isin(*_FLAGGED)).select(
         F.col("phrase").alias("name")).distinct()
-    return joins.map_tags_to_concepts(I.tag_rows(spark, sf), _dictionary(spark, sf),
+    return joins.map_tags_to_concepts(mentions, _dictionary(spark, sf, mentions),
                                       flagged=flagged).select("image_id", "name")
 
 
-def _terms(spark, sf):
-    return _dictionary(spark, sf).select("name", F.explode("members").alias("term"))
+def _mentions(spark, sf):
+    """The tag mentions, joined once for the dictionary and for the lookup in it."""
+    return materialize(I.tags(spark, sf))
+
+
+def _exemplars(spark, sf):
+    mentions = _mentions(spark, sf)
+    dictionary = _dictionary(spark, sf, mentions)
+    terms = dictionary.select("name", F.explode("members").alias("term"))
+    return joins.tag_backed_exemplars(mentions, terms), dictionary
 
 
 _HITS = """hits as (select name, image_id, string_agg(phrase, ',' order by phrase) as matched,
@@ -298,7 +308,7 @@ _HITS = """hits as (select name, image_id, string_agg(phrase, ',' order by phras
 @query("tag_backed_exemplars", "tags", ", " + _DICT + ", " + _HITS + """
   select name, image_id, matched, has_name from hits""")
 def tag_backed_exemplars(spark, sf):
-    found = joins.tag_backed_exemplars(I.tag_rows(spark, sf), _terms(spark, sf))
+    found = _exemplars(spark, sf)[0]
     return found.select("name", "image_id", F.array_join("matched", ",").alias("matched"), "has_name")
 
 
@@ -307,8 +317,7 @@ def tag_backed_exemplars(spark, sf):
   from (select distinct name from dict) left join (
     select name, bool_or(has_name) as named from hits group by name) using (name)""")
 def exemplar_coverage(spark, sf):
-    found = joins.tag_backed_exemplars(I.tag_rows(spark, sf), _terms(spark, sf))
-    return joins.exemplar_coverage(found, _dictionary(spark, sf))
+    return joins.exemplar_coverage(*_exemplars(spark, sf))
 
 
 @query("diverse_examples", "tags", ", " + _DICT + ", " + _HITS + """, placed as (
@@ -317,7 +326,7 @@ def exemplar_coverage(spark, sf):
   select name, image_id, place from (select name, image_id, row_number() over (partition by name
     order by rc > 1, not has_name, -k, image_id) as place from placed) where place <= 40""")
 def diverse_examples(spark, sf):
-    found = joins.tag_backed_exemplars(I.tag_rows(spark, sf), _terms(spark, sf)).select(
+    found = _exemplars(spark, sf)[0].select(
         "name", "image_id", (~F.col("has_name")).alias("unnamed"),
         (-F.size("matched")).alias("neg_matches"))
     return summaries.diverse_examples(found, 40, order=["unnamed", "neg_matches"])
