@@ -26,6 +26,11 @@ def kept(key: Hashable, make: Callable[[], Any]) -> Any:
     return _KEPT[key]
 
 
+def forget() -> None:
+    """Free what is kept. Called by name in tasks: a nested function would clear a copy of its own."""
+    _KEPT.clear()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -57,7 +62,7 @@ def keep_rows(df: DataFrame, fn: Callable[[pa.Array], pa.Array], text: str, most
     place = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _KEPT.clear()
+        forget()
         for batch in batches:
             for piece in slices(batch, place, most):
                 body = pc.fill_null(piece.column(place).cast(pa.binary()), b"")
@@ -74,7 +79,7 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not keeps:
-            _KEPT.clear()
+            forget()
         for batch in batches:
             for part in slices(batch, by, most) if by else (batch,):
                 if part.num_rows:
