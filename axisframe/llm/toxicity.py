@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import Counter
 from dataclasses import dataclass
 
@@ -122,16 +123,16 @@ def fit(tokens: list[list[str]], toxic: np.ndarray, epochs: int = 30, rate: floa
         chosen += [(d, c) for c in hot[:pieces] + cold[:pieces]]
     y = np.concatenate([np.zeros(0), *(marks[d][c:c + piece] for d, c in chosen)])
     ends = np.cumsum([0, *(len(tokens[d][c:c + piece]) for d, c in chosen)])
-    table: dict[str, list[int]] = {}
-    slots, lengths = [], []
+    table: dict[str, array] = {}
+    slots, lengths = array("i"), array("i")
     for d, c in chosen:
         for word in tokens[d][c:c + piece]:
             known = table.get(word)
             if known is None:
-                known = table[word] = [_slot(u) for u in units(word)]
-            slots += known
+                known = table[word] = array("i", [_slot(u) for u in units(word)])
+            slots.extend(known)
             lengths.append(len(known))
-    slots, owner = np.array(slots, np.int64), np.repeat(np.arange(len(y)), lengths)
+    slots, owner = np.frombuffer(slots, np.int32), np.repeat(np.arange(len(y), dtype=np.int32), lengths)
     if not len(y):
         return field
     follows = np.ones(len(y), bool)
@@ -208,8 +209,12 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, rounds: int = 25, rid
 def train(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, held_out: Column) -> Field:
     chosen = sample(docs.select(key, text_bytes(text).alias("body")), labels, key, label, held_out, FIT_DOCUMENTS)
     rows = chosen.select("body", "y", F.xxhash64(key).alias("o")).orderBy("o").toPandas()
-    tokens = [TOKEN.findall(bytes(b).decode("utf-8", "replace").lower()) for b in rows["body"]]
-    return fit(tokens, rows["y"].to_numpy(bool))
+    words: dict[str, str] = {}  # one object per distinct word
+    tokens = [[words.setdefault(w, w) for w in TOKEN.findall(bytes(b).decode("utf-8", "replace").lower())]
+              for b in rows["body"]]
+    toxic = rows["y"].to_numpy(bool)
+    del rows
+    return fit(tokens, toxic)
 
 
 class _Scores(dict):
