@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from axisframe.functions import columns as C
@@ -468,11 +470,12 @@ def dictionary_build(spark, sf):
 
     mentions, images = _dictionary_inputs(spark, sf)
     # A phrase's vector is the mean embedding of the documents that use it.
-    # Rarer phrases than a candidate may be need none.
-    often = mentions.groupBy("phrase").agg(F.count("*").alias("n")).where("n >= 12").select("phrase")
+    # A candidate is used by a share of the documents; rarer phrases need no vector.
+    least = math.ceil(0.06 * images.count())
+    often = mentions.groupBy("phrase").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("phrase")
     used = mentions.join(often, "phrase", "left_semi").join(images.select("image_id", "embedding"), "image_id")
     phrase_vectors = linalg.vector_mean(used, ["phrase"], "embedding")
-    options = DictionaryOptions(k=64, min_mentions=12, min_class_support=8, merge_method="text",
+    options = DictionaryOptions(k=64, min_mentions=least, min_class_support=16, merge_method="text",
                                 text_threshold=0.92, remove_components=1, selection="profile-and-text",
                                 max_profile_twin=0.75, max_text_twin=0.9)
     built = build_dictionary(mentions, images, phrase_vectors, options)
