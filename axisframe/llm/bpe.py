@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 from axisframe.llm.common import kept, map_arrow, text_bytes
 
 #: Bounds of what a task remembers; beyond them it starts afresh, with the same results.
-MAX_STATES = 120_000
-MAX_PAIRS = 200_000
-MAX_PIECES = 200_000
+MAX_STATES = 90_000
+MAX_PAIRS = 150_000
+MAX_PIECES = 150_000
 
 
 class Merges:

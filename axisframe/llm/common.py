@@ -31,6 +31,17 @@ def forget() -> None:
     _KEPT.clear()
 
 
+def release_buffers() -> None:
+    """Hand Arrow's free buffers back at the end of a task; the Python worker lives on."""
+    pa.default_memory_pool().release_unused()
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of a few megabytes for rows that hold whole texts; for applications to call."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -67,6 +78,7 @@ def keep_rows(df: DataFrame, fn: Callable[[pa.Array], pa.Array], text: str, most
             for piece in slices(batch, place, most):
                 body = pc.fill_null(piece.column(place).cast(pa.binary()), b"")
                 yield piece.filter(fn(body))
+        release_buffers()
 
     return df.mapInArrow(run, df.schema)
 
@@ -84,4 +96,5 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
             for part in slices(batch, by, most) if by else (batch,):
                 if part.num_rows:
                     yield fn(part)
+        release_buffers()
     return df.mapInArrow(run, schema)
