@@ -3,8 +3,8 @@
 Every token is hidden in turn and predicted from its two neighbours on each side. The network gives
 the probability of the token's class; classes are ranges of hashed tokens of about equal mass, and
 within a class a token has its share of the corpus counts. The counts cover every token of every
-document. Windows at a fixed rate from every document train the network: groups of windows train
-replicas from one start, whose weights are averaged.
+document. The windows of all tokens train the network: groups of documents train replicas from one
+start, whose weights are averaged.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ TOKEN = re.compile(r"\w+|[^\w\s]")
 #: Hashed token types (counts and classes), rows of the input table, classes, and layer sizes.
 TYPES, INPUTS, CLASSES, CODE, HIDDEN = 1 << 18, 1 << 12, 32, 12, 24
 #: One window in so many trains the network; a replica trains on about so many windows.
-RATE, REPLICA_WINDOWS = 32, 200_000
+RATE, REPLICA_WINDOWS = 1, 200_000
 MAX_WORDS = 200_000
 REACH = (-2, -1, 1, 2)
 SLICE_BYTES = 2 << 20
@@ -134,22 +134,16 @@ def classes_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return of, np.log(mass) - np.log(np.maximum(held, 1e-300))[of]
 
 
-def windows(docs: DataFrame, rate: int) -> DataFrame:
-    """``(type, around, slot)`` of one token in ``rate`` of every document, chosen by hash."""
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        types, ends = types_of(batch.column("body"))
-        around = contexts(types, ends)
-        mixed = (np.arange(len(types)) + np.repeat(batch.column("h").to_numpy(), np.diff(ends))).astype(np.uint64)
-        mixed = (mixed ^ mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
-        mixed ^= mixed >> np.uint64(32)
-        mine = np.flatnonzero(mixed % np.uint64(rate) == 0)
-        flat = around[mine].ravel()
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, len(REACH)), pa.int32()), pa.array(flat))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(types[mine]), lists, pa.array((mixed[mine] >> np.uint64(20)).astype(np.int64))],
-            ["type", "around", "slot"])
-
-    return map_arrow(docs, run, "type int, around array<int>, slot long", "body", SLICE_BYTES)
+def windows(bodies: pa.Array, h: np.ndarray, rate: int) -> tuple[np.ndarray, np.ndarray]:
+    """Types and neighbours of one token in ``rate`` of every text, chosen and mixed by hash."""
+    types, ends = types_of(bodies)
+    around = contexts(types, ends)
+    mixed = (np.arange(len(types)) + np.repeat(h, np.diff(ends))).astype(np.uint64)
+    mixed = (mixed ^ mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    mixed ^= mixed >> np.uint64(32)
+    mine = np.flatnonzero(mixed % np.uint64(rate) == 0)
+    mine = mine[np.argsort(mixed[mine] >> np.uint64(20), kind="stable")]
+    return types[mine], around[mine]
 
 
 def fit(docs: DataFrame, counts: np.ndarray, rate: int = RATE) -> list[np.ndarray]:
@@ -164,19 +158,20 @@ def fit(docs: DataFrame, counts: np.ndarray, rate: int = RATE) -> list[np.ndarra
 
     def learn(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         weights, classes = shared.value
-        rows = rows.sort_values("slot")
-        around = np.stack(rows["around"].to_numpy()) if len(rows) else np.zeros((0, len(REACH)), np.int32)
-        trained = train(weights, around, classes[rows["type"].to_numpy()])
+        rows = rows.sort_values("h")
+        types, around = windows(pa.array(rows["body"], pa.binary()), rows["h"].to_numpy(np.int64), rate)
+        trained = train(weights, around, classes[types])
         flat = np.concatenate([w.ravel() for w in trained])
-        return pd.DataFrame({"replica": [key[0]], "n": [len(rows)], "weights": [flat]})
+        return pd.DataFrame({"replica": [key[0]], "n": [len(types)], "weights": [flat]})
 
     def average(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         n = rows["n"].to_numpy(float)
-        flat = np.average(np.stack(rows["weights"].to_numpy()), axis=0, weights=n).astype(np.float32)
+        flat = np.average(np.stack(rows["weights"].to_numpy()), axis=0, weights=n + 1e-9).astype(np.float32)
         return pd.DataFrame({"replica": [key[0]], "n": [int(n.sum())], "weights": [flat]})
 
     schema = "replica long, n long, weights array<float>"
-    models = materialize(windows(docs, rate).withColumn("replica", F.pmod("slot", F.lit(replicas)))
+    # Documents go to the replicas, as windows would be many times their size.
+    models = materialize(docs.select("h", "body", F.pmod(F.xxhash64("key", "h"), F.lit(replicas)).alias("replica"))
                          .groupBy("replica").applyInPandas(learn, schema))
     while replicas > 1:
         replicas = -(-replicas // 16)
