@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from axisframe.llm import (
-    bpe, chat, decontaminate, pseudo_likelihood, quality, simhash, suffix_dedup, token_counts, topk, toxicity)
+    bpe, centroids, chat, decontaminate, divergence, oracles, perplexity, pseudo_likelihood, quality, simhash,
+    suffix_dedup, token_counts, topk, toxicity)
 from axisframe.llm.common import table
 from axisframe.session import materialize
 
@@ -69,11 +70,30 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), pieces)
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """40 clusters of the vectors as whole numbers, after five rounds, with their inertia."""
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word and line counts of every document, and whether its perplexity is that of its language."""
+    return perplexity.rules(table(spark, sf_dir, "documents"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of a language are apart, and the terms that mark each."""
+    return divergence.divergences(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {fn.__name__: fn for fn in (
     op1_pseudo_likelihood, op2_maxscore_top_k, op3_simhash_components, op4_benchmark_leaks, op5_toxic_crf,
-    op6_bpe_round_trip, op7_quality_cnn, op8_suffix_dedup, op9_preference_chats, op10_token_counts)}
+    op6_bpe_round_trip, op7_quality_cnn, op8_suffix_dedup, op9_preference_chats, op10_token_counts, op11_centroid_clusters,
+    op12_perplexity_rules, op13_source_divergence)}
 
 ORACLES: dict[str, str] = {
+    "op11_centroid_clusters": oracles.centroids(),
+    "op12_perplexity_rules": oracles.PERPLEXITY,
+    "op13_source_divergence": oracles.DIVERGENCE,
     "op2_maxscore_top_k": """
 WITH sound AS (
     SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS vec
