@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,6 @@ PIECE = 4 << 20
 SIDE, SUMS = 256, 1 << 20
 
 _CELL = "struct<source:string,n:long>"
-_CELLS = pa.list_(pa.struct([("source", pa.string()), ("n", pa.int64())]))
 
 
 def terms(text: str, piece: int = PIECE) -> Iterator[list[str]]:
@@ -46,41 +46,52 @@ def terms(text: str, piece: int = PIECE) -> Iterator[list[str]]:
 
 
 class Stripes:
-    """``(lang, term) -> [documents, {source: count}]``; the term null counts documents themselves."""
+    """By language, ``term -> {source: count}``, with the number of documents under the source null.
+
+    The term null counts the documents themselves.
+    """
 
     def __init__(self) -> None:
-        self.table: dict[tuple[str, str | None], list] = {}
+        self.table: dict[str, dict[str | None, dict[str | None, int]]] = {}
         self.cells = 0
 
-    def _add(self, key: tuple[str, str | None], source: str, n: int) -> None:
-        stripe = self.table.get(key)
-        if stripe is None:
-            stripe = self.table[key] = [0, {}]
-        stripe[0] += 1
-        counts = stripe[1]
-        if source in counts:
-            counts[source] += n
-        else:
-            counts[source] = n
-            self.cells += 1
-
     def add(self, text: str, lang: str, source: str) -> None:
-        self._add((lang, None), source, 1)
-        counts: Counter[str] = Counter()
+        counts: Counter[str | None] = Counter()
         for piece in terms(text):
             counts.update(piece)
+        counts[None] = 1
+        table = self.table.setdefault(lang, {})
+        stripe_of, new = table.get, 0
         for term, n in counts.items():
-            self._add((lang, term), source, n)
-
-    def take(self) -> pa.RecordBatch:
-        keys = list(self.table)
-        cells = [[{"source": s, "n": n} for s, n in stripe[1].items()] for stripe in self.table.values()]
-        out = pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()),
-             pa.array([v[0] for v in self.table.values()], pa.int64()), pa.array(cells, _CELLS)],
-            ["lang", "term", "n_docs", "cells"])
+            stripe = stripe_of(term)
+            if stripe is None:
+                table[term] = {None: 1, source: n}
+                new += 1
+            else:
+                stripe[None] += 1
+                if source in stripe:
+                    stripe[source] += n
+                else:
+                    stripe[source] = n
+                    new += 1
+        self.cells += new
+
+    def take(self, rows: int = 20_000) -> Iterator[pa.RecordBatch]:
+        """All stripes, a few thousand a batch; the table is empty afterwards."""
+        for lang, table in self.table.items():
+            found = iter(table.items())
+            while part := list(islice(found, rows)):
+                stripes = [stripe for _, stripe in part]
+                n_docs = [stripe.pop(None) for stripe in stripes]
+                ends = np.cumsum([0, *map(len, stripes)], dtype=np.int32)
+                cells = pa.StructArray.from_arrays(
+                    [pa.array(list(chain.from_iterable(stripes)), pa.string()),
+                     pa.array(list(chain.from_iterable(s.values() for s in stripes)), pa.int64())], ["source", "n"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.repeat(lang, len(part)), pa.array([term for term, _ in part], pa.string()),
+                     pa.array(n_docs, pa.int64()), pa.ListArray.from_arrays(ends, cells)],
+                    ["lang", "term", "n_docs", "cells"])
         self.table, self.cells = {}, 0
-        return out
 
 
 def stripes(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source",
@@ -98,8 +109,8 @@ def stripes(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
             for row in zip(*(batch.column(i) for i in range(3)), strict=True):
                 held.add(*(x.as_py() for x in row))
                 if held.cells >= most:
-                    yield from _cut(held.take())
-        yield from _cut(held.take())
+                    yield from held.take()
+        yield from held.take()
         release_buffers()
 
     read = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n)
@@ -116,11 +127,6 @@ def stripes(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
         F.collect_list(F.when(F.col("source").isNotNull(), F.struct("source", "n"))).alias("cells"))
 
 
-def _cut(batch: pa.RecordBatch, rows: int = 20_000) -> Iterator[pa.RecordBatch]:
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
-
-
 def shares(count: np.ndarray, total: np.ndarray | int, n_terms: int, prior: int) -> np.ndarray:
     """``1 + floor(10^9 (count + prior) / (total + prior n_terms))``, exact for totals up to 9 * 10^15."""
     below = total + prior * n_terms
