@@ -18,15 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from axisframe.llm.common import forget, release_buffers
+from axisframe.llm.common import forget, release_buffers, text_bytes
 from axisframe.session import materialize
 
-#: A term is a run of letters: A-Z, a-z and every character beyond ASCII.
-TERM = re.compile("[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+#: A term is a run of letters: A-Z, a-z and every character beyond ASCII, all of whose UTF-8 bytes are.
+TERM = re.compile(rb"[A-Za-z\x80-\xff]+")
 #: Cells (a term's count in a source) that a task holds before it hands its stripes on.
 CELLS = 400_000
-#: Characters of a text that are folded at a time.
+#: Bytes of a text that are folded at a time.
 PIECE = 4 << 20
 #: Sources of one side of a block of pairs, and sums that a task holds before it hands them on.
 SIDE, SUMS = 256, 1 << 20
@@ -34,14 +33,15 @@ SIDE, SUMS = 256, 1 << 20
 _CELL = "struct<source:string,n:long>"
 
 
-def terms(text: str, piece: int = PIECE) -> Iterator[list[str]]:
-    """The terms of a text, in pieces that end where a term ends."""
+def terms(body: bytes, piece: int = PIECE) -> Iterator[list[bytes]]:
+    """The terms of a text with A-Z lowered, in pieces that end where a term ends."""
     at = 0
-    while at < len(text):
+    while at < len(body):
         end = at + piece
-        while end < len(text) and TERM.match(text, end - 1, end) and TERM.match(text, end, end + 1):
+        while end < len(body) and TERM.match(body, end - 1, end) and TERM.match(body, end, end + 1):
             end += 1
-        yield TERM.findall(text[at:end].translate(LOWER))
+        # Lowering bytes changes A-Z alone.
+        yield TERM.findall(body[at:end].lower())
         at = end
 
 
@@ -52,12 +52,12 @@ class Stripes:
     """
 
     def __init__(self) -> None:
-        self.table: dict[str, dict[str | None, dict[str | None, int]]] = {}
+        self.table: dict[str, dict[bytes | None, dict[str | None, int]]] = {}
         self.cells = 0
 
-    def add(self, text: str, lang: str, source: str) -> None:
-        counts: Counter[str | None] = Counter()
-        for piece in terms(text):
+    def add(self, body: bytes, lang: str, source: str) -> None:
+        counts: Counter[bytes | None] = Counter()
+        for piece in terms(body):
             counts.update(piece)
         counts[None] = 1
         table = self.table.setdefault(lang, {})
@@ -88,7 +88,7 @@ class Stripes:
                     [pa.array(list(chain.from_iterable(stripes)), pa.string()),
                      pa.array(list(chain.from_iterable(s.values() for s in stripes)), pa.int64())], ["source", "n"])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.repeat(lang, len(part)), pa.array([term for term, _ in part], pa.string()),
+                    [pa.repeat(lang, len(part)), pa.array([term for term, _ in part], pa.binary()).cast(pa.string()),
                      pa.array(n_docs, pa.int64()), pa.ListArray.from_arrays(ends, cells)],
                     ["lang", "term", "n_docs", "cells"])
         self.table, self.cells = {}, 0
@@ -113,8 +113,8 @@ def stripes(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
         yield from held.take()
         release_buffers()
 
-    read = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n)
-                         for c, n in ((text, "text"), (lang, "lang"), (source, "source"))])
+    read = docs.select(text_bytes(text).alias("body"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n)
+                                                         for c, n in ((lang, "lang"), (source, "source"))])
     spilled = read.mapInArrow(run, f"lang string, term string, n_docs long, cells array<{_CELL}>")
     # One shuffle by (lang, term): the sums by source below stay inside its partitions.
     merged = spilled.repartition("lang", "term")

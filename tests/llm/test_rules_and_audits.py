@@ -229,8 +229,8 @@ def test_divergences_without_rows_or_kept_terms(spark):
 
 
 def test_terms_of_long_texts_in_pieces():
-    text = "Abc dé\x7ff ghi" * 400
-    assert sum(divergence.terms(text, 7), []) == divergence.TERM.findall(text.translate(divergence.LOWER))
+    text = "Abc dÉ\x7ff ghi[" * 400
+    assert [w.decode() for w in sum(divergence.terms(text.encode(), 7), [])] == ["abc", "dÉ", "f", "ghi"] * 400
 
 
 def test_shares_are_exact_for_large_counts():
