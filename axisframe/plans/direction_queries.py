@@ -400,7 +400,30 @@ def _clustered(spark, sf, linkage, floor):
                                       linkage=linkage, min_similarity=floor)
 
 
-@query("cluster_phrases")
+def _merges(e: str, value: str, kept: str) -> str:
+    """Clusters by rounds in which all mutually nearest ones merge; ``kept`` says which links count."""
+    return f""", e as materialized ({e}),
+  c as (select 0 as i, vec_id as v, vec_id as cl, true as moved from vec union all
+    select i + 1, v, coalesce(lo, cl), bool_or(lo is not null) over () from c left join (
+      with p as (select least(x.cl, y.cl) as a, greatest(x.cl, y.cl) as b, max(d) as far, sum(s) as s, count(*) as k
+          from e join c x on x.v = e.l join c y on y.v = e.r where x.cl <> y.cl group by 1, 2),
+        n as (select cl, count(*) as n from c group by cl),
+        ok as (select a, b, {value} as d from p join n na on na.cl = a join n nb on nb.cl = b where {kept}),
+        ends as (select a as x, a, b, d from ok union all select b, a, b, d from ok),
+        best as (select x, min({{'d': d, 'a': a, 'b': b}}) as m from ends group by x)
+      select m.a as lo, m.b as hi from best group by 1, 2 having count(*) = 2) on cl = hi
+    where moved)
+  select format('v{{:06d}}', v) as phrase, format('v{{:06d}}', cl) as cluster from c
+  where i = (select max(i) from c)"""
+
+
+_COMPLETE = _merges(f"""select l, r, greatest(1 - cosine, 0) as d, 0 as s from edges
+    where cosine >= {I.MERGE_THRESHOLD}::double""", "far", f"k = na.n * nb.n and d <= 1 - {I.MERGE_THRESHOLD}::double")
+_AVERAGE = _merges("""select l, r, 0 as d, floor(cosine * 1073741824 + 0.5)::bigint as s from edges""",
+                   "1 - s::double / 1073741824 / (na.n * nb.n)", "d <= 1 - 0.35::double")
+
+
+@query("cluster_phrases", "edges", _COMPLETE)
 def cluster_phrases(spark, sf):
     phrases = I.vectors(spark, sf).select(F.format_string("v%06d", "vec_id").alias("phrase"), "embedding")
     near = similarity.cosine_edges(phrases, I.MERGE_THRESHOLD, "phrase")
@@ -408,7 +431,7 @@ def cluster_phrases(spark, sf):
                                       text_threshold=I.MERGE_THRESHOLD)
 
 
-@query("cluster_phrases_average")
+@query("cluster_phrases_average", "edges", _AVERAGE)
 def cluster_phrases_average(spark, sf):
     return _clustered(spark, sf, "average", 0.35)
 
@@ -483,7 +506,8 @@ def dictionary_build(spark, sf):
 def _recursive() -> None:
     from axisframe.plans.registry import ORACLES
 
-    ORACLES["select_concepts"] = ORACLES["select_concepts"].replace("with ", "with recursive ", 1)
+    for name in ("select_concepts", "cluster_phrases", "cluster_phrases_average"):
+        ORACLES[name] = ORACLES[name].replace("with ", "with recursive ", 1)
 
 
 _recursive()
