@@ -22,8 +22,6 @@ from axisframe.session import materialize
 
 # A matrix of parameters (concepts x dimensions) up to this size may be sent to every task.
 MAX_BROADCAST_CELLS = 8 << 20
-# Concept-by-concept systems are solved on the driver up to this many concepts.
-MAX_DENSE_CONCEPTS = 8192
 # A Gram matrix for leading components is formed up to this many columns.
 MAX_GRAM_COLUMNS = 1024
 
