@@ -182,25 +182,83 @@ def _indexed(spark, sf):
     return labels.to_indexes(I.labelled_vectors(spark, sf), NAMES)
 
 
-@query("reverse_ridge")
+def _ridge(rows: str, most: float) -> str:
+    """The ridge by elimination on the concept x concept system; ``sol`` holds its rows beside the effects."""
+    c = len(NAMES)
+    return f""", k as materialized (select l.* from labelled l join (select image_id from labelled group by image_id
+      having count(*) filter (state = 'uncertain') <= {most} * {c} + 1e-9) using (image_id) {rows}),
+    nn as (select count(distinct image_id)::double as n from k),
+    z as materialized (select image_id, unnest(e) as x, unnest(range(len(e))) as d
+      from k where concept_idx = 0),
+    zm as (select d, avg(x) as m from z group by d),
+    scale as (select sqrt(avg(pow(x - m, 2))) as rms from z join zm using (d)),
+    p as materialized (select concept_idx, count(*) filter (state = 'present') as positives,
+        count(*) filter (state = 'no') as negatives, count(*) filter (state = 'present')::double
+          / greatest(count(*) filter (state <> 'uncertain'), 1) as p from k group by concept_idx),
+    b as materialized (select image_id, concept_idx, p, case state when 'present' then 1 when 'uncertain' then p else 0 end as b
+      from k join p using (concept_idx)),
+    left_side as (select i, list(v order by j) as a from (select x.concept_idx as i, y.concept_idx as j,
+        sum(x.b * y.b) / any_value(n) - any_value(x.p * y.p)
+          + any_value(case when x.concept_idx = y.concept_idx then 1e-3::double else 0 end) as v
+      from b x join b y using (image_id), nn group by all) group by i),
+    right_side as (select concept_idx as i, list(v order by d) as c from (select concept_idx, d,
+        (sum(b * x) / any_value(n) - any_value(p * m)) / any_value(rms) as v
+      from b join z using (image_id) join zm using (d), nn, scale group by all) group by i),
+    sol as (select 1 as step, list(list_concat(a, c) order by i) as m from left_side join right_side using (i)
+      union all select step + 1, list_transform(m, lambda r, i: case when i = step
+          then list_transform(r, lambda x: x / r[step])
+          else list_transform(r, lambda x, j: x - r[step] * m[step][j] / m[step][step]) end) from sol where step <= {c}),
+    eff as materialized (select i::int as concept_idx, m[i + 1][{c + 1}:] as effect
+      from sol, (select unnest(range({c})) as i) where step = {c + 1}),
+    found as materialized (select concept_idx, effect, sqrt(list_dot_product(effect, effect)) as effect_norm,
+        list_transform(effect, lambda x: x / greatest(sqrt(list_dot_product(effect, effect)), 1e-6::double)) as direction,
+        positives, negatives, positives >= 1 and negatives >= 1 and sqrt(list_dot_product(effect, effect)) > 1e-6 as supported
+      from eff join p using (concept_idx))"""
+
+
+_RIDGE_SUMMARY = """,
+    guess as (select image_id, d, sum((b - p) * effect[d + 1]) as g from b join found using (concept_idx),
+      (select unnest(range(64)) as d) group by all),
+    errors as (select avg(pow(g - (x - m) / rms, 2)) as fit, avg(pow((x - m) / rms, 2)) as ms
+      from guess join z using (image_id, d) join zm using (d), scale),
+    pen as (select 1e-3::double * sum(list_dot_product(effect, effect)) / 64 as penalty from found),
+    orth as (select coalesce(avg(pow(list_dot_product(x.direction, y.direction), 2)), 0) as o from found x join found y
+      on x.concept_idx <> y.concept_idx and x.supported and y.supported)
+  select unnest(['kept_rows', 'fit_mse', 'ridge_penalty', 'reconstruction', 'explained_fraction', 'orth', 'orth_rms']) as metric,
+    round(unnest([n, fit, penalty, fit + penalty, 1 - fit / ms, o, sqrt(o)]), 6) as value from nn, errors, pen, orth"""
+
+
+@query("reverse_ridge", "labelled", _ridge("", 0.5) + """
+  select concept_idx, o, round(effect[o + 1], 6) as effect, round(direction[o + 1], 6) as direction,
+    round(effect_norm, 6) as effect_norm, positives, negatives, supported from found, (select unnest(range(64))::int as o)""")
 def reverse_ridge(spark, sf):
     fit = directions.reverse_ridge(_indexed(spark, sf), 1e-3, len(NAMES), max_uncertain=0.5)
-    return fit.effects
+    return fit.effects.select("concept_idx", "effect_norm", "positives", "negatives", "supported", F.posexplode(
+        F.arrays_zip("effect", "direction")).alias("o", "x")).select(
+        "concept_idx", "o", r6("x.effect", "effect"), r6("x.direction", "direction"), r6("effect_norm"), "positives",
+        "negatives", "supported")
 
 
-@query("reverse_ridge_summary")
+@query("reverse_ridge_summary", "labelled", _ridge("", 0.25) + _RIDGE_SUMMARY)
 def reverse_ridge_summary(spark, sf):
     fit = directions.reverse_ridge(_indexed(spark, sf), 1e-3, len(NAMES))
-    return spark.createDataFrame(sorted(fit.summary.items()), "metric string, value double")
+    return spark.createDataFrame(sorted(fit.summary.items()), "metric string, value double").select("metric", r6("value"))
 
 
-@query("reverse_ridge_profile")
+@query("reverse_ridge_profile", "labelled split_vectors", _ridge(
+    "join (select image_id from split_vectors where split = 'train') using (image_id)", 0.5) + """,
+    dots as materialized (select image_id, concept_idx, list_dot_product(e, direction) as s from split_vectors, found),
+    units as (select concept_idx, avg(s) as mean, stddev_pop(s) as std from dots where image_id in
+      (select image_id from split_vectors join labelled using (image_id) where split = 'train') group by concept_idx)
+  select image_id, concept_idx, round((s - mean) / (std + 1e-6::double), 6) as score from dots join units using (concept_idx)""")
 def reverse_ridge_profile(spark, sf):
     rows = I.split_vectors(spark, sf)
     train = rows.where("split = 'train'").join(_indexed(spark, sf).select(
         "image_id", "present_idx", "uncertain_idx"), "image_id")
     fit = directions.reverse_ridge(train, 1e-3, len(NAMES), max_uncertain=0.5)
-    return linalg.standardized_profile(train, rows.select("image_id", "embedding"), fit.effects)
+    profile = linalg.standardized_profile(train, rows.select("image_id", "embedding"), fit.effects)
+    return profile.select("image_id", F.posexplode("profile").alias("concept_idx", "s")).select(
+        "image_id", "concept_idx", r6("s", "score"))
 
 
 @query("fit_soft_labels")
@@ -506,7 +564,8 @@ def dictionary_build(spark, sf):
 def _recursive() -> None:
     from axisframe.plans.registry import ORACLES
 
-    for name in ("select_concepts", "cluster_phrases", "cluster_phrases_average"):
+    for name in ("select_concepts", "cluster_phrases", "cluster_phrases_average", "reverse_ridge",
+                 "reverse_ridge_summary", "reverse_ridge_profile"):
         ORACLES[name] = ORACLES[name].replace("with ", "with recursive ", 1)
 
 
