@@ -14,6 +14,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -215,10 +217,10 @@ def _times(eq: NormalEquations, towards: DataFrame, along: np.ndarray, block: in
     return _map_blocks(eq.parts.select("b", "p").join(towards, "b").join(summed, "b", "left"), close, "b int, q binary")
 
 
-def _totals(df: DataFrame, names: list[str], width: int) -> list[np.ndarray]:
-    """Column sums of arrays with one number per dimension, block by block."""
-    row = df.agg(*[F.array(*[F.sum(F.col(n)[d]) for d in range(width)]).alias(n) for n in names]).head()
-    return [np.array(row[n], dtype=float) for n in names]
+def _totals(df: DataFrame, names: list[str]) -> list[np.ndarray]:
+    """Sums of arrays with one number per dimension over all blocks."""
+    row = df.agg(*[vector_to_array(Summarizer.sum(array_to_vector(F.col(n)))).alias(n) for n in names]).head()
+    return [np.array(row[n]) for n in names]
 
 
 def solve(eq: NormalEquations, block: int | None = None) -> tuple[DataFrame, int]:
@@ -235,7 +237,7 @@ def solve(eq: NormalEquations, block: int | None = None) -> tuple[DataFrame, int
 
     state = materialize(_map_blocks(eq.parts.join(inverse, "b"), first,
                                     f"b int, x binary, r binary, z binary, d binary, {dots}"))
-    along_z, rz, rr = _totals(state, ["along", "rz", "rr"], width)
+    along_z, rz, rr = _totals(state, ["along", "rz", "rr"])
     start, goal = rr, TOLERANCE ** 2 * rr
     along, back, steps = np.zeros(width), np.zeros(width), 0
     best, still = np.inf, 0
@@ -252,7 +254,7 @@ def solve(eq: NormalEquations, block: int | None = None) -> tuple[DataFrame, int
         def dot(b, d, q) -> dict:
             return {"b": b.as_py(), "dq": (_rows(d, width) * _rows(q, width)).sum(0).tolist()}
 
-        dq, = _totals(_map_blocks(towards.join(product, "b"), dot, "b int, dq array<double>"), ["dq"], width)
+        dq, = _totals(_map_blocks(towards.join(product, "b"), dot, "b int, dq array<double>"), ["dq"])
         # A side that is solved to the last bit stands still.
         moving = (dq > 0) & (rr > goal)
         length = np.where(moving, rz / np.where(dq > 0, dq, 1.0), 0.0)
@@ -270,7 +272,7 @@ def solve(eq: NormalEquations, block: int | None = None) -> tuple[DataFrame, int
             .join(inverse, "b"), step, f"b int, x binary, r binary, z binary, d binary, {dots}"))
         discard(state, towards, product)
         state, before, steps = following, rz, steps + 1
-        along_z, rz, now = _totals(state, ["along", "rz", "rr"], width)
+        along_z, rz, now = _totals(state, ["along", "rz", "rr"])
         worst = float(np.max(now / np.where(start > 0, start, 1.0)))
         best, still = (worst, 0) if worst < best else (best, still + 1)
         if still == PATIENCE:  # rounding is all that is left
@@ -281,9 +283,9 @@ def solve(eq: NormalEquations, block: int | None = None) -> tuple[DataFrame, int
     return state.select("b", "x", "r"), steps
 
 
-def effects(eq: NormalEquations, solution: DataFrame, block: int | None = None) -> tuple[DataFrame, dict[str, float]]:
-    """``(concept_idx, effect)`` and the sums that the fit's summary needs."""
-    block, width, alpha = block or BLOCK, eq.width, eq.alpha
+def effects(eq: NormalEquations, solution: DataFrame, block: int | None = None) -> DataFrame:
+    """``(concept_idx, effect)`` from the block rows of the solution."""
+    block, width = block or BLOCK, eq.width
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -293,6 +295,13 @@ def effects(eq: NormalEquations, solution: DataFrame, block: int | None = None)
                     [pa.array(np.arange(b * block, b * block + len(x), dtype=np.int32)), list_column(x)],
                     ["concept_idx", "effect"])
 
+    return solution.select("b", "x").mapInArrow(unpack, "concept_idx int, effect array<double>")
+
+
+def fit_sums(eq: NormalEquations, solution: DataFrame) -> dict[str, float]:
+    """x^T A x without the penalty, x^T c and x^T x, summed over the dimensions."""
+    width, alpha = eq.width, eq.alpha
+
     def sums(b, x, r, c) -> dict:
         one, left, right = (_rows(m, width) for m in (x, r, c))
         own = float((one * one).sum())
@@ -300,10 +309,9 @@ def effects(eq: NormalEquations, solution: DataFrame, block: int | None = None)
         return {"b": b.as_py(), "quadratic": float((one * (right - left)).sum()) - alpha * own,
                 "linear": float((one * right).sum()), "squares": own}
 
-    row = _map_blocks(solution.join(eq.parts.select("b", "c"), "b"), sums,
-                      "b int, quadratic double, linear double, squares double").agg(
-        *[F.sum(n).alias(n) for n in ("quadratic", "linear", "squares")]).head()
-    return solution.select("b", "x").mapInArrow(unpack, "concept_idx int, effect array<double>"), row.asDict()
+    return _map_blocks(solution.join(eq.parts.select("b", "c"), "b"), sums,
+                       "b int, quadratic double, linear double, squares double").agg(
+        *[F.sum(n).alias(n) for n in ("quadratic", "linear", "squares")]).head().asDict()
 
 
 def overlap(directions: DataFrame) -> float:
