@@ -22,8 +22,6 @@ from axisframe.session import materialize
 
 # A matrix of parameters (concepts x dimensions) up to this size may be sent to every task.
 MAX_BROADCAST_CELLS = 8 << 20
-# A Gram matrix for leading components is formed up to this many columns.
-MAX_GRAM_COLUMNS = 1024
 
 
 # ---- moving small matrices -------------------------------------------------
@@ -153,32 +151,32 @@ def _map_vectors(rows: DataFrame, vector: str, out: str,
     return rows.select(*rows.columns).mapInArrow(run, schema)
 
 
-class _Adapter:
-    """Linear, exact GELU, linear."""
-
-    def __init__(self, w1, b1, w2, b2):
-        self.w1, self.b1, self.w2, self.b2 = w1, b1, w2, b2
+class _Gelu:
+    """Exact GELU, with a one behind the vector for the next layer's bias."""
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
-        hidden = x @ self.w1.T + self.b1
-        erf = np.frompyfunc(math.erf, 1, 1)(hidden / math.sqrt(2.0)).astype(np.float64)
-        return (0.5 * hidden * (1.0 + erf)) @ self.w2.T + self.b2
+        erf = np.frompyfunc(math.erf, 1, 1)(x / math.sqrt(2.0)).astype(np.float64)
+        return np.hstack([0.5 * x * (1.0 + erf), np.ones((len(x), 1))])
 
 
 def apply_adapter(rows: DataFrame, weights: DataFrame, vector: str = "embedding",
-                  out: str = "adapted") -> DataFrame:
-    """Two-layer projection. ``weights`` is ``(layer, row, weight ARRAY, bias)``, layers 1 and 2."""
-    layers = {}
-    for layer in (1, 2):
-        part = weights.where(F.col("layer") == layer)
-        found = small_matrix(part.withColumn("_wb", F.concat("weight", F.array("bias"))),
-                             "row", "_wb")
-        if found is None:
-            raise ValueError(f"layer {layer} is empty or beyond the broadcast bound")
-        layers[layer] = found[1]
-    one, two = layers[1], layers[2]
-    return _map_vectors(rows, vector, out, _Adapter(one[:, :-1], one[:, -1],
-                                                    two[:, :-1], two[:, -1]))
+                  out: str = "adapted", key: str = "image_id") -> DataFrame:
+    """Linear, exact GELU, linear. ``weights`` is ``(layer, row, weight ARRAY, bias)``, layers 1 and 2.
+
+    A layer is a projection of the vector with a one behind it on the weights with their bias behind them:
+    weights that fit every task go there, larger ones are met tile by tile. ``key`` names a row.
+    """
+    def layer(number: int) -> DataFrame:
+        return weights.where(F.col("layer") == number).select(
+            F.col("row").cast("int").alias("concept_idx"),
+            F.concat(C.as_doubles("weight"), F.array(F.col("bias").cast("double"))).alias("direction"))
+
+    open_ = rows.withColumn("_x", F.concat(C.as_doubles(vector), F.array(F.lit(1.0))))
+    for number in (1, 2):
+        open_ = project_scores(open_, layer(number), "_x", "_x" if number == 1 else out, key)
+        if number == 1:
+            open_ = _map_vectors(open_, "_x", "_x", _Gelu())
+    return open_.drop("_x")
 
 
 # ---- checks and summaries --------------------------------------------------
@@ -276,36 +274,69 @@ def phrase_usage_profiles(images: DataFrame, phrases: DataFrame, class_col: str
 
 def standardize_debias(profiles: DataFrame, n_components: int, vector: str = "scores"
                        ) -> DataFrame:
-    """Z-score the columns, then subtract the leading singular components."""
+    """Z-score the columns, then subtract the leading singular components.
+
+    Components beyond the table's rank are zero, so that asking for more of them changes nothing.
+    """
     # Read for the moments, by every step of the solver, and for the result.
     profiles = materialize(profiles)
+    if profiles.isEmpty():
+        return profiles.withColumn(vector, C.as_doubles(vector))
     mean, std = _moment_arrays(column_moments(profiles, vector))
     scale = std + 1e-8
-    if n_components <= 0:
-        return _map_vectors(profiles, vector, vector, _Residual(mean, scale, None))
-    if len(mean) <= MAX_GRAM_COLUMNS:
-        gram = collect_blocks(matrix_sums(
-            profiles, [vector], lambda x: {"g": ((x - mean) / scale).T @ ((x - mean) / scale)}))
-        _values, vectors = np.linalg.eigh(gram["g"])
-        top = vectors[:, ::-1][:, :n_components]
-    else:
-        top = _distributed_components(profiles, vector, mean, scale, n_components)
+    top = None
+    if n_components > 0 and len(mean):
+        top = leading_directions(
+            lambda w: collect_blocks(matrix_sums(profiles, [vector], _Times(mean, scale, w)))["y"], len(mean), n_components)
     return _map_vectors(profiles, vector, vector, _Residual(mean, scale, top))
 
 
-def _distributed_components(profiles, vector, mean, scale, n_components) -> np.ndarray:
-    """Right singular vectors of a wide table by MLlib, whose solver needs no Gram matrix."""
-    from pyspark.mllib.linalg.distributed import RowMatrix
-    from pyspark.mllib.util import MLUtils
+class _Times:
+    """Sums of ``z^T (z w)`` over rows z in units of the columns."""
 
-    scored = _map_vectors(profiles, vector, "_z", _Residual(mean, scale, None))
-    # The solver multiplies by the table dozens of times: keep it close.
-    ml = MLUtils.convertVectorColumnsFromML(
-        scored.select(array_to_vector("_z").alias("_z")), "_z").persist()
-    try:
-        return RowMatrix(ml).computeSVD(n_components).V.toArray()
-    finally:
-        ml.unpersist()
+    def __init__(self, mean: np.ndarray, scale: np.ndarray, w: np.ndarray):
+        self.mean, self.scale, self.w = mean, scale, w
+
+    def __call__(self, x: np.ndarray) -> dict[str, np.ndarray]:
+        z = (x - self.mean) / self.scale
+        return {"y": z.T @ (z @ self.w)}
+
+
+def leading_directions(times: Callable[[np.ndarray], np.ndarray], columns: int, k: int, most: int = 96,
+                       patience: int = 10) -> np.ndarray:
+    """The ``k`` leading eigenvectors of a positive matrix that is known only by ``times``.
+
+    A block Krylov iteration: every call of ``times``, which is one pass over a table, takes columns x
+    (k + 6) numbers at most, and no columns x columns matrix is ever formed. A basis of ``most`` vectors
+    starts again from the best of them. It ends when the residuals vanish, when the matrix has no further
+    direction, or when ``patience`` passes have not made the residuals smaller.
+    """
+    width = min(columns, k + 6)
+    most = max(most, 4 * width)
+    basis = images = np.zeros((columns, 0))
+    fresh = np.linalg.qr(np.random.default_rng(0).normal(size=(columns, width)))[0]
+    least, still = np.inf, 0
+    while True:
+        basis, images = np.hstack([basis, fresh]), np.hstack([images, times(fresh)])
+        inner = basis.T @ images
+        values, turn = np.linalg.eigh((inner + inner.T) / 2)
+        values, turn = values[::-1], turn[:, ::-1]
+        rest = images @ turn[:, :width] - (basis @ turn[:, :width]) * values[:width]
+        left = float(np.linalg.norm(rest[:, :k], axis=0).max())
+        least, still = (left, 0) if left < least else (least, still + 1)
+        if not values[0] > 0 or left <= 1e-11 * values[0] or still == patience:
+            return basis @ turn[:, :k]
+        if basis.shape[1] + width > most:
+            basis, images = basis @ turn[:, :2 * width], images @ turn[:, :2 * width]
+            turn = np.eye(basis.shape[1])
+        fresh = rest
+        for _ in range(2):  # once more for what rounding left
+            fresh = fresh - basis @ (basis.T @ fresh)
+        q, sizes, _ = np.linalg.svd(fresh, full_matrices=False)
+        fresh = q[:, sizes > 1e-12 * values[0]]
+        fresh = np.linalg.qr(fresh - basis @ (basis.T @ fresh))[0]
+        if not fresh.shape[1]:
+            return basis @ turn[:, :k]
 
 
 class _Residual:

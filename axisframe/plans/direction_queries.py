@@ -269,13 +269,30 @@ def fit_soft_labels(spark, sf):
         "image_id", "split", "soft")
 
 
-@query("standardize_debias")
+# Squaring the class x class Gram matrix time and again leaves the leading direction's projector.
+@query("standardize_debias", "vec", """, means as (select label as class, k, avg(x) as x from (select label, unnest(e) as x,
+      unnest(range(len(e))) as k from vec) group by all),
+    profile as (select m.class, v.vec_id as concept_idx, sum(m.x * v.e[m.k + 1]) as score from means m, vec v group by all),
+    z as materialized (select class, concept_idx, (score - avg(score) over w) / (stddev_pop(score) over w + 1e-8::double) as z
+      from profile window w as (partition by concept_idx)),
+    gram as (select i, list(v order by j) as r from (select a.class as i, b.class as j, sum(a.z * b.z) as v
+      from z a join z b using (concept_idx) group by all) group by i),
+    power as (select 0 as step, list(r order by i) as g from gram union all
+      select step + 1, list_transform(g, lambda r: list_transform(g, lambda c: list_dot_product(r, c)
+          / list_sum(list_transform(g, lambda x: list_dot_product(x, x))))) from power where step < 40),
+    projector as (select i, j, g[a][b] as u from (select step, g, unnest(range(1, len(g) + 1)) as a from power where step = 40)
+      join (select i, row_number() over (order by i) as a from gram) using (a),
+      (select i as j, row_number() over (order by i) as b from gram)),
+    shares as (select i as class, concept_idx, sum(u * z) as s from projector join z on z.class = j group by all)
+  select class, concept_idx, round(z - s, 6) as score from z join shares using (class, concept_idx)""")
 def standardize_debias(spark, sf):
     rows = I.vectors(spark, sf).withColumnRenamed("label", "class")
     phrases = I.vectors(spark, sf).select(F.col("vec_id").alias("concept_idx"),
                                           F.col("embedding").alias("direction"))
+    # The id of a vector is its place, as ids are 0, 1, ...
     profiles = linalg.phrase_usage_profiles(rows, phrases)
-    return linalg.standardize_debias(profiles, 1)
+    return linalg.standardize_debias(profiles, 1).select("class", F.posexplode("scores").alias("concept_idx", "s")).select(
+        "class", F.col("concept_idx").cast("long").alias("concept_idx"), r6("s", "score"))
 
 
 # DuckDB has no error function: its power series is exact here, as |z| stays below 2.
@@ -300,7 +317,7 @@ def _adapted(spark, sf):
         return rows.select("layer", "row", cells.alias("weight"), (F.col("row") * bias).alias("bias"))
 
     table = weights(first, 64, F.sin, 8.0, 0.01).unionByName(weights(second, 16, F.cos, 4.0, 0.02))
-    out = linalg.apply_adapter(I.vectors(spark, sf).select("vec_id", "embedding"), table)
+    out = linalg.apply_adapter(I.vectors(spark, sf).select("vec_id", "embedding"), table, key="vec_id")
     return out.select("vec_id", F.posexplode("adapted").alias("o", "v")).select(
         "vec_id", F.col("o").cast("long").alias("o"), r6("v", "value"))
 
@@ -565,7 +582,8 @@ def _recursive() -> None:
     from axisframe.plans.registry import ORACLES
 
     for name in ("select_concepts", "cluster_phrases", "cluster_phrases_average", "reverse_ridge",
-                 "reverse_ridge_summary", "reverse_ridge_profile"):
+                 "reverse_ridge_summary", "reverse_ridge_profile",
+                 "standardize_debias"):
         ORACLES[name] = ORACLES[name].replace("with ", "with recursive ", 1)
 
 
