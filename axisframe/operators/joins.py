@@ -17,7 +17,7 @@ def join_split(rows: DataFrame, splits: DataFrame, class_col: str | None = None)
     lookup = splits.select(F.col("class").alias(added), F.col("split").alias("_split"))
     joined = keyed.join(lookup, added, "left")
     split = F.coalesce("_split", F.raise_error(
-        F.concat(F.lit("class is absent from split manifest: "), F.col(added))).cast("string"))
+        F.concat(F.lit("no split is known for class "), F.col(added))).cast("string"))
     out = joined.withColumn("split", split).drop("_split")
     return out if class_col else out.drop(added)
 
@@ -26,7 +26,7 @@ def filter_split(rows: DataFrame, splits: DataFrame, split: str, *, allow_test:
                  class_col: str | None = None) -> DataFrame:
     """Rows of one split, or of all splits; reading test needs an explicit opt-in."""
     if split in {"test", "all"} and not allow_test:
-        raise ValueError("reading the test split requires allow_test=True")
+        raise ValueError("rows of the test split are read only with allow_test=True")
     joined = join_split(rows, splits, class_col)
     return joined if split == "all" else joined.where(F.col("split") == split)
 

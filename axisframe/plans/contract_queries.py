@@ -300,25 +300,6 @@ def uncertainty_row_filter(spark, sf):
     return keep(I.label_rows(spark, sf), len(NAMES), 0.25, "uncertain").select("image_id")
 
 
-@query("concept_support_mask", "labelled", """, means as (select concept_idx,
-    count(*) filter (state = 'present') as positives, count(*) filter (state = 'no') as negatives
-    from labelled group by concept_idx)
-  select concept_idx, positives, negatives, positives >= 150 and negatives >= 150 as supported
-  from means""")
-def concept_support_mask(spark, sf):
-    from axisframe.operators.directions import (
-        concept_support_mask as mask, group_mean_directions)
-    from axisframe.functions.columns import norm
-
-    rows = I.labelled_vectors(spark, sf)
-    effect = group_mean_directions(rows).select("concept_idx", norm("direction").alias("effect_norm"))
-    counts = rows.select(F.posexplode("scores").alias("concept_idx", "s")).groupBy("concept_idx").agg(
-        F.count(F.when(F.col("s") == 1, 1)).alias("positives"),
-        F.count(F.when(F.col("s") == 0, 1)).alias("negatives"))
-    return mask(counts.join(effect, "concept_idx"), 150).select(
-        "concept_idx", "positives", "negatives", "supported")
-
-
 @query("query_concepts", "label_rows", """select image_id, array_to_string(present, ',') as concepts
   from label_rows where len(present) > 0""")
 def query_concepts(spark, sf):

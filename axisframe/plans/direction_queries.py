@@ -261,6 +261,17 @@ def reverse_ridge_profile(spark, sf):
         "image_id", "concept_idx", r6("s", "score"))
 
 
+@query("concept_support_mask", "labelled", _ridge("", 0.5) + """
+  select concept_idx, positives, negatives, round(effect_norm, 6) as effect_norm,
+    positives >= 20 and negatives >= 20 and effect_norm > 0.3 as supported from found""")
+def concept_support_mask(spark, sf):
+    """Enough labels of both kinds, and an effect of the ridge that is not near zero."""
+    fit = directions.reverse_ridge(_indexed(spark, sf), 1e-3, len(NAMES), max_uncertain=0.5)
+    stats = fit.effects.select("concept_idx", "positives", "negatives", "effect_norm")
+    return directions.concept_support_mask(stats, 20, 0.3).select(
+        "concept_idx", "positives", "negatives", r6("effect_norm"), "supported")
+
+
 @query("fit_soft_labels")
 def fit_soft_labels(spark, sf):
     rows = I.split_vectors(spark, sf)
@@ -506,6 +517,29 @@ def cluster_phrases(spark, sf):
                                       text_threshold=I.MERGE_THRESHOLD)
 
 
+@query("summarize_clusters", "vec", """, cells as (select 'label ' || label as cluster, i, unnest(e) as x,
+      unnest(range(len(e)))::int as k, vec_id from (select *, vec_id as i from vec)),
+    means as (select cluster, k, avg(x) as x, count(distinct vec_id) as n, min(vec_id) as first from cells group by all),
+    shape as (select cluster, avg(x) as m, stddev_pop(x) as s from means group by cluster),
+    size as (select cluster, sqrt(sum(x * x)) as s from means where k < 16 group by cluster)
+  select cluster, format('v{:06d}', first) as name, n as members, k, round((x - m) / (shape.s + 1e-8::double), 6) as profile,
+    case when k < 16 then round(x / greatest(size.s, 1e-8::double), 6) end as text_value
+  from means join shape using (cluster) join size using (cluster)""")
+def summarize_clusters(spark, sf):
+    """Vectors as phrases and labels as clusters; the text vector is the head of the embedding."""
+    vectors = materialize(I.vectors(spark, sf).select(
+        F.format_string("v%06d", "vec_id").alias("phrase"), F.concat(F.lit("label "), "label").alias("cluster"),
+        F.col("embedding").alias("profile"), F.slice("embedding", 1, 16).alias("text_vector")))
+    clusters = vectors.select("phrase", "cluster")
+    stats = clusters.groupBy("cluster").agg(F.count("*").alias("mentions"))
+    leaders = clusters.groupBy("cluster").agg(F.min("phrase").alias("name"))
+    found = clustering.summarize_clusters(clusters, clusters, vectors.drop("cluster"), stats, leaders)
+    cells = found.select("cluster", "name", F.size("members").cast("long").alias("members"), "text_vector",
+                         F.posexplode("profile").alias("k", "p"))
+    return cells.select("cluster", "name", "members", "k", r6("p", "profile"),
+                        r6(F.try_element_at("text_vector", F.col("k") + 1), "text_value"))
+
+
 @query("cluster_phrases_average", "edges", _AVERAGE)
 def cluster_phrases_average(spark, sf):
     return _clustered(spark, sf, "average", 0.35)
@@ -583,7 +617,7 @@ def _recursive() -> None:
 
     for name in ("select_concepts", "cluster_phrases", "cluster_phrases_average", "reverse_ridge",
                  "reverse_ridge_summary", "reverse_ridge_profile",
-                 "standardize_debias"):
+                 "standardize_debias", "concept_support_mask"):
         ORACLES[name] = ORACLES[name].replace("with ", "with recursive ", 1)
 
 

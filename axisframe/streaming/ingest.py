@@ -44,12 +44,12 @@ def resume_compatibility(spark: SparkSession, metadata_path: str, output_path: s
         except AnalysisException:
             orphan = False
         if orphan:
-            raise ContractError(f"refusing to adopt output without metadata: {output_path}")
+            raise ContractError(f"{output_path} holds rows without metadata of their run")
         wanted.coalesce(1).write.mode("overwrite").parquet(metadata_path)
         return
     differences = manifest_diff(known, wanted, keys=list(expected), defaults=defaults).collect()
     if differences:
-        raise ContractError("refusing incompatible resume: "
+        raise ContractError("this run differs from the one to resume: "
                             f"{[row.asDict() for row in differences]}")
 
 
