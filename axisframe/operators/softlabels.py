@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from axisframe.functions import columns as C
 from axisframe.operators.linalg import _map_vectors, collect_blocks, matrix_sums
+from axisframe.operators.ranking import running_totals
+from axisframe.session import discard, materialize
 
 # The defaults of the mixture the reference fits.
 TOLERANCE = 1e-3
@@ -44,11 +48,39 @@ class _Mixture:
         return np.where(upper[None, :] == 1, share[1], share[0])
 
 
+def two_means(train: DataFrame, vector: str, centre: np.ndarray) -> _Mixture:
+    """The best split of every concept's scores in two, as a mixture: exact, for all concepts at once.
+
+    In one dimension two means are parted by a cut of the sorted scores, and the gain of a cut needs only
+    totals on either side. Equal scores are one row; the sorted rows of a concept span many tasks. A
+    concept without two different scores has both components at its mean.
+    """
+    middle = C.literal_array(float(x) for x in centre)
+    cells = train.select(F.posexplode(F.zip_with(vector, middle, lambda x, m: x - m)).alias("c", "x"))
+    values = materialize(cells.groupBy("c", "x").agg(F.count("*").cast("double").alias("n")).select(
+        "c", "x", "n", (F.col("x") * F.col("n")).alias("s"), (F.col("x") * F.col("x") * F.col("n")).alias("q")))
+    whole = values.groupBy("c").agg(*[F.sum(k).alias(f"{k}_all") for k in "nsq"])
+    placed = running_totals(values, ["x"], ["c"], {"n_low": "n", "s_low": "s", "q_low": "q"}).join(whole, "c")
+    low = {k: F.col(f"{k}_low") + F.col(k) for k in "nsq"}
+    sides = placed.select("c", "x", *[low[k].alias(f"{k}0") for k in "nsq"],
+                          *[(F.col(f"{k}_all") - low[k]).alias(f"{k}1") for k in "nsq"])
+    gain = F.when(F.col("n1") > 0.5, F.col("s0") * F.col("s0") / F.col("n0") + F.col("s1") * F.col("s1") / F.col("n1"))
+    best = sides.groupBy("c").agg(F.max_by(F.struct("n0", "s0", "q0", "n1", "s1", "q1"), F.struct(gain, -F.col("x"))).alias("b"))
+    found = best.orderBy("c").collect()
+    discard(values)
+    n0, s0, q0, n1, s1, q1 = np.array([list(r["b"]) for r in found]).T
+    n1 = np.where(n1 > 0.5, n1, 0.0)
+    alone = n1 == 0
+    n = np.stack([n0, np.where(alone, n0, n1)])
+    mean = np.stack([s0, np.where(alone, s0, s1)]) / n
+    variance = np.maximum(np.stack([q0, np.where(alone, q0, q1)]) / n - mean * mean, 0.0) + VARIANCE_FLOOR
+    return _Mixture(n / n.sum(axis=0), mean + centre, variance)
+
+
 def fit_mixtures(train: DataFrame, vector: str = "scores") -> tuple[_Mixture, int]:
     """EM over sufficient statistics: an iteration is one aggregate for all concepts.
 
-    The start puts the components at the quartiles a normal with the same moments would have,
-    which is deterministic. A concept stops moving once its mean log-likelihood gains less than
+    The start is the best split of the scores in two, which is deterministic. A concept stops moving once its mean log-likelihood gains less than
     the tolerance; the last step that was made is kept.
     """
     # The scores are read once per iteration. A lost executor only recomputes its part.
@@ -58,15 +90,11 @@ def fit_mixtures(train: DataFrame, vector: str = "scores") -> tuple[_Mixture, in
             "s": np.vstack([x.sum(axis=0), (x * x).sum(axis=0), np.full(x.shape[1], len(x))])}))
         if not first:
             raise ValueError("no train rows to fit")
-        total, squares, count = first["s"]
+        total, _squares, count = first["s"]
         n = count[0]
-        mean = total / n
-        variance = np.maximum(squares / n - mean * mean, 0.0) + VARIANCE_FLOOR
-        quartile = 0.6744897501960817 * np.sqrt(variance)
-        model = _Mixture(np.full((2, len(mean)), 0.5), np.stack([mean - quartile, mean + quartile]),
-                         np.stack([variance, variance]))
-        previous = np.full(len(mean), -np.inf)
-        open_ = np.ones(len(mean), dtype=bool)
+        model = two_means(train, vector, total / n)
+        previous = np.full(len(total), -np.inf)
+        open_ = np.ones(len(total), dtype=bool)
         for iteration in range(1, MAX_ITERATIONS + 1):
             stats = collect_blocks(matrix_sums(train, [vector], model.statistics))
             weight = stats["n"] + 10 * np.finfo(float).eps

@@ -272,12 +272,44 @@ def concept_support_mask(spark, sf):
         "concept_idx", "positives", "negatives", r6("effect_norm"), "supported")
 
 
-@query("fit_soft_labels")
+_PART = "w{0} / sqrt(v{0}) * exp(-0.5 * pow(x - m{0}, 2) / v{0})"
+
+# Expectation and maximization, a step a row; the start is the best cut of the sorted scores.
+_MIXTURES = f""", scored as materialized (select image_id, split, concept_idx, list_dot_product(e, d) as x from split_vectors, axes),
+    train as materialized (select concept_idx, x from scored where split = 'train'),
+    cuts as (select concept_idx, x, count(*) over lo as n0, sum(x) over lo as s0, count(*) over (partition by concept_idx) as n,
+        sum(x) over (partition by concept_idx) as s from train window lo as (partition by concept_idx order by x)),
+    cut as (select concept_idx, arg_max(x, {{'g': pow(s0 - n0 * s / n, 2) / n0 / (n - n0), 'x': -x}}) as c
+      from cuts where n0 < n group by concept_idx),
+    start as (select concept_idx, avg((x <= c)::int) as w0, avg((x > c)::int) as w1,
+        avg(x) filter (x <= c) as m0, avg(x) filter (x > c) as m1,
+        var_pop(x) filter (x <= c) + 1e-6::double as v0, var_pop(x) filter (x > c) + 1e-6::double as v1
+      from train join cut using (concept_idx) group by concept_idx),
+    em as (select 0 as step, concept_idx, w0, w1, m0, m1, v0, v1, -1e300::double as level, true as moving from start union all
+      select step + 1, concept_idx, n0 / (n0 + n1), n1 / (n0 + n1), m0 + a0 / n0, m1 + a1 / n1,
+        greatest(q0 / n0 - pow(a0 / n0, 2), 0) + 1e-6::double, greatest(q1 / n1 - pow(a1 / n1, 2), 0) + 1e-6::double,
+        now, abs(now - level) >= 1e-3
+      from (select step, concept_idx, any_value(m0) as m0, any_value(m1) as m1, any_value(level) as level,
+          sum(r) + 10 * 2.220446049250313e-16::double as n0, sum(1 - r) + 10 * 2.220446049250313e-16::double as n1,
+          sum(r * (x - m0)) as a0, sum((1 - r) * (x - m1)) as a1,
+          sum(r * pow(x - m0, 2)) as q0, sum((1 - r) * pow(x - m1, 2)) as q1, avg(ln(p0 + p1) - 0.5 * ln(2 * pi())) as now
+        from (select *, p0 / (p0 + p1) as r from (select *, {_PART.format(0)} as p0, {_PART.format(1)} as p1
+          from em join train using (concept_idx) where moving and step < 100)) group by step, concept_idx)),
+    final as (select concept_idx, arg_max({{'w0': w0, 'w1': w1, 'm0': m0, 'm1': m1, 'v0': v0, 'v1': v1}}, step) as f
+      from em group by concept_idx),
+    spread as (select image_id, split, concept_idx, x, f.w0 as w0, f.w1 as w1, f.m0 as m0, f.m1 as m1, f.v0 as v0, f.v1 as v1
+      from scored join final using (concept_idx))
+  select image_id, split, concept_idx, round(case when m1 > m0 then p1 else p0 end / (p0 + p1), 6) as soft
+  from (select *, {_PART.format(0)} as p0, {_PART.format(1)} as p1 from spread)"""
+
+
+@query("fit_soft_labels", "split_vectors axes", _MIXTURES)
 def fit_soft_labels(spark, sf):
     rows = I.split_vectors(spark, sf)
     scored = linalg.project_scores(rows, I.axis_directions(spark, sf))
     return softlabels.fit_soft_labels(scored.where("split = 'train'"), scored).select(
-        "image_id", "split", "soft")
+        "image_id", "split", F.posexplode("soft").alias("concept_idx", "s")).select(
+        "image_id", "split", "concept_idx", r6("s", "soft"))
 
 
 # Squaring the class x class Gram matrix time and again leaves the leading direction's projector.
@@ -617,7 +649,7 @@ def _recursive() -> None:
 
     for name in ("select_concepts", "cluster_phrases", "cluster_phrases_average", "reverse_ridge",
                  "reverse_ridge_summary", "reverse_ridge_profile",
-                 "standardize_debias", "concept_support_mask"):
+                 "standardize_debias", "concept_support_mask", "fit_soft_labels"):
         ORACLES[name] = ORACLES[name].replace("with ", "with recursive ", 1)
 
 
