@@ -606,8 +606,7 @@ def select_concepts(spark, sf):
     v = I.vectors(spark, sf)
     concepts = v.select(F.format_string("v%06d", "vec_id").alias("name"),
                         (F.col("vec_id") + 1).alias("priority"), F.col("embedding").alias("text_vector"))
-    twins = selection.twin_edges(concepts, "text", max_text=0.4)
-    chosen, _skipped = selection.select_concepts(concepts, twins, 100)
+    chosen, _skipped = selection.select_distinct(concepts, "text", 100, max_text=0.4)
     return chosen.select("name", "priority", "position")
 
 
