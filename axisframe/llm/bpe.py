@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,25 +23,33 @@ from pyspark.sql import functions as F
 
 from axisframe.llm.common import kept, map_arrow, text_bytes
 
-#: Bounds of what a task remembers; beyond them it starts afresh, with the same results.
-MAX_STATES = 90_000
-MAX_PAIRS = 150_000
-MAX_PIECES = 150_000
+
+@dataclass(frozen=True)
+class Bounds:
+    """What a task remembers at most; beyond it the task starts afresh, with the same results."""
+
+    states: int = 250_000
+    pairs: int = 500_000
+    pieces: int = 400_000
+
+
+#: For tasks that share an executor's memory with those of other operators.
+NARROW = Bounds(90_000, 150_000, 150_000)
 
 
 class Merges:
     """Ranks of a byte-level vocabulary and the two questions that the transducer asks of them."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], bounds: Bounds = Bounds()):
+        self.ranks, self.bounds = ranks, bounds
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.parts: dict[int, tuple[int, int] | None] = {}
         self.pairs: dict[int, bool] = {}
 
     @classmethod
-    def parse(cls, raw: bytes) -> Merges:
+    def parse(cls, raw: bytes, bounds: Bounds = Bounds()) -> Merges:
         lines = (line.split() for line in raw.splitlines() if line.strip())
-        return cls({base64.b64decode(token): int(rank) for token, rank in lines})
+        return cls({base64.b64decode(token): int(rank) for token, rank in lines}, bounds)
 
     def halves(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes this one; None for a byte or a token no merge reaches."""
@@ -70,7 +79,7 @@ class Merges:
         pair = left << 32 | right
         known = self.pairs.get(pair)
         if known is None:
-            if len(self.pairs) >= MAX_PAIRS:
+            if len(self.pairs) >= self.bounds.pairs:
                 self.pairs.clear()
             known = self.pairs[pair] = self._apart(left, right)
         return known
@@ -186,7 +195,7 @@ class Transducer:
         whole = self.merges.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if len(self.keys) > MAX_STATES:
+        if len(self.keys) > self.merges.bounds.states:
             self.reset()
         out: list[int] = []
         states: list[int] = []
@@ -237,20 +246,20 @@ class Utf8Stream:
 class Codec:
     """A vocabulary with its pre-token pattern; what it has worked out stays in the Python worker."""
 
-    def __init__(self, raw: bytes, pattern: str):
-        self.merges = Merges.parse(raw)
+    def __init__(self, raw: bytes, pattern: str, bounds: Bounds = Bounds()):
+        self.merges = Merges.parse(raw, bounds)
         self.transducer = Transducer(self.merges)
         self.findall = regex.compile(pattern).findall
         self.pieces: dict[str, tuple[bytes, str]] = {}
         self.table = [self.merges.bytes_of.get(i, b"") for i in range(max(self.merges.bytes_of) + 1)]
 
     @classmethod
-    def shared(cls, raw: bytes, pattern: str) -> Codec:
-        return kept(("bpe", hash(raw), pattern), lambda: cls(raw, pattern))
+    def shared(cls, raw: bytes, pattern: str, bounds: Bounds = Bounds()) -> Codec:
+        return kept(("bpe", hash(raw), pattern, bounds), lambda: cls(raw, pattern, bounds))
 
     def _piece(self, piece: str) -> tuple[bytes, str]:
         ids = self.transducer.encode(piece.encode())
-        if len(self.pieces) >= MAX_PIECES:
+        if len(self.pieces) >= self.merges.bounds.pieces:
             self.pieces.clear()
         known = np.asarray(ids, np.int32).tobytes(), " ".join(map(str, ids))
         if len(piece) <= 64:
@@ -329,7 +338,7 @@ def decode(df: DataFrame, key: str, vocabulary: str, ids: str = "ids") -> DataFr
 
 
 def round_trip(df: DataFrame, key: str, vocabulary: str, pattern: str, text: str = "text",
-               with_ids: bool = False) -> DataFrame:
+               with_ids: bool = False, bounds: Bounds = Bounds()) -> DataFrame:
     """``(key, n_tokens, ids_sha256, decoded_sha256)``, and ``ids`` if asked for: encode and decode again.
 
     The same codec as ``encode`` and ``decode``, in one pass over the texts; decoded texts stay in the
@@ -338,7 +347,7 @@ def round_trip(df: DataFrame, key: str, vocabulary: str, pattern: str, text: str
     raw = _broadcast(df, vocabulary)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        codec = Codec.shared(raw.value, pattern)
+        codec = Codec.shared(raw.value, pattern, bounds)
         counts, digests, decoded, rows = [], [], [], []
         for value in batch.column("body"):
             ids, decimals = codec.encode(_text(value))

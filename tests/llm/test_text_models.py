@@ -48,12 +48,23 @@ def test_bpe_equals_tiktoken(codec, reference, text):
 
 
 def test_long_pieces_and_forgotten_states(codec, reference, monkeypatch):
-    monkeypatch.setattr(bpe, "MAX_STATES", 50)
-    monkeypatch.setattr(bpe, "MAX_PIECES", 5)
+    monkeypatch.setattr(codec.merges, "bounds", bpe.Bounds(50, 100, 5))
     for text in ("a" * 20_000, "thequickbrown" * 900, "é" * 6000, " " * 9000 + "x"):
         assert codec.encode(text)[0].tolist() == reference.encode_ordinary(text)
 
 
+def test_round_trip_with_ids_in_narrow_bounds(spark, reference):
+    texts = ["", None, "Hello  wörld\n", "a" * 3000, "Hello  wörld\n"]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, ids string")
+    rows = bpe.round_trip(df, "doc_id", RANKS, public_tokenizers.PATTERN, with_ids=True,
+                          bounds=bpe.Bounds(20, 30, 2)).orderBy("doc_id").collect()
+    for row, text in zip(rows, texts, strict=True):
+        ids = reference.encode_ordinary(text or "")
+        assert row["ids"] == ids and row["n_tokens"] == len(ids)
+        assert row["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert row["decoded_sha256"] == hashlib.sha256((text or "").encode()).hexdigest()
+
+
 @given(st.binary(max_size=40), st.integers(1, 4))
 def test_utf8_stream(raw, step):
     stream = bpe.Utf8Stream()
