@@ -122,7 +122,7 @@ def project_scores(rows: DataFrame, directions: DataFrame, vector: str = "embedd
                         product, schema)
     whole = parts.groupBy(key).agg(F.transform(F.array_sort(F.flatten(F.collect_list("part"))),
                                                lambda s: s["s"]).alias(out))
-    return rows.join(whole, key)
+    return rows.drop(out).join(whole, key)
 
 
 class _Product:
