@@ -22,6 +22,8 @@ from axisframe.session import materialize
 
 # A matrix of parameters (concepts x dimensions) up to this size may be sent to every task.
 MAX_BROADCAST_CELLS = 8 << 20
+# Cells of a Gram matrix that one task sums: 32 MB.
+STRIP_CELLS = 4 << 20
 
 
 # ---- moving small matrices -------------------------------------------------
@@ -350,14 +352,46 @@ class _Residual:
 
 def correlation_matrix(rows: DataFrame, vector: str = "scores") -> DataFrame:
     """``(i, j, r)`` Pearson correlation of the columns; a constant column fails the job."""
+    rows = materialize(rows)  # read for the moments, the size and every strip
     mean, std = _moment_arrays(column_moments(rows, vector))
     if not (std > 0).all() or not np.isfinite(std).all():
         raise ValueError("non-finite correlations: a column is constant or not finite")
-    sums = matrix_sums(rows, [vector], lambda x: {
-        "r": ((x - mean) / std).T @ ((x - mean) / std)})
-    n = rows.count()
-    cells = sums.select(F.col("row").alias("i"), F.posexplode("values").alias("j", "v"))
-    return cells.select("i", "j", C.clamp(F.col("v") / n, -1.0, 1.0).alias("r"))
+    cells = gram(rows, vector, mean, std).select(F.col("row").alias("i"), F.posexplode("values").alias("j", "v"))
+    return cells.select("i", "j", C.clamp(F.col("v") / rows.count(), -1.0, 1.0).alias("r"))
+
+
+def gram(rows: DataFrame, vector: str, mean: np.ndarray, scale: np.ndarray, strip_cells: int = STRIP_CELLS
+         ) -> DataFrame:
+    """``(row, values)``: ``z^T z`` of the rows z in units of the columns, one row per column.
+
+    The result is cut into strips of ``strip_cells`` cells at most, and a task sums one strip over
+    its share of the rows, so no task holds columns x columns. A strip has a fixed number of shares
+    for a given number of cores, however long the table, and their sums are added by column: the
+    shuffle is columns x columns numbers per share. Every strip reads the table again, which costs
+    less than its products do.
+    """
+    columns = len(mean)
+    if not columns:
+        return rows.sparkSession.createDataFrame([], "row int, values array<double>")
+    wide = max(1, min(columns, strip_cells // columns))
+    shares = 4 * rows.sparkSession.sparkContext.defaultParallelism
+    source, strips = rows.coalesce(shares), None
+    for first in range(0, columns, wide):
+        sums = matrix_sums(source, [vector], _Strip(mean, scale, first, first + wide)).select(
+            (F.col("row") + first).alias("row"), "values")
+        strips = sums if strips is None else strips.unionByName(sums)
+    return strips
+
+
+class _Strip:
+    """Some rows of the sums of ``z^T z``."""
+
+    def __init__(self, mean: np.ndarray, scale: np.ndarray, first: int, end: int):
+        self.mean, self.scale, self.first, self.end = mean, scale, first, end
+
+    def __call__(self, x: np.ndarray) -> dict[str, np.ndarray]:
+        z = (x - self.mean) / self.scale
+        return {"strip": z[:, self.first:self.end].T @ z}
 
 
 def cosine_matrix(vectors: DataFrame, key: str, vector: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
@@ -9,6 +10,10 @@ from pyspark.sql import functions as F
 
 from axisframe.functions.columns import hash_priority
 from axisframe.operators.ranking import ranked
+from axisframe.session import discard, materialize
+
+#: A bound on a hash is one of so many: its first eight hexadecimal digits.
+_BOUNDS = 1 << 32
 
 
 def assign_class_splits(classes: DataFrame, seed: int, train: float = 0.70, dev: float = 0.15
@@ -37,11 +42,22 @@ def hash_priority_sample(rows: DataFrame, limit: int, seed: int, key: str = "ima
                          ) -> DataFrame:
     """The ``limit`` rows of smallest SHA-256(seed NUL id); a limit <= 0 means all rows.
 
-    Places come from a range sort, so a large sample stays spread over its tasks.
+    Hashes are even, so a bound on them leaves little more than the sample; it is doubled until it leaves
+    enough. Places come from a range sort, so a large sample stays spread over its tasks.
     """
     if limit <= 0:
         return rows
-    placed = ranked(rows, [hash_priority(seed, key, sep="\0"), key], name="_place")
+    priority = hash_priority(seed, key, sep="\0")
+    total = rows.count()
+    bound = math.ceil((limit + 8 * math.sqrt(limit) + 32) / max(total, 1) * _BOUNDS)
+    near = rows
+    while bound < _BOUNDS:
+        near = materialize(rows.where(priority.isNull() | (F.substring(priority, 1, 8) < f"{bound:08x}")))
+        if near.count() >= limit:
+            break
+        discard(near)
+        near, bound = rows, 2 * bound
+    placed = ranked(near, [priority, key], name="_place")
     return placed.where(F.col("_place") <= limit).drop("_place")
 
 

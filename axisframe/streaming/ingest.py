@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.utils import AnalysisException
 
 from axisframe.operators.contracts import ContractError
@@ -20,14 +22,21 @@ def _stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def reject_duplicate_success(batch: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """New successes once each, and those whose id was completed before or twice in the batch."""
+def reject_duplicate_success(batch: DataFrame, stored: DataFrame, order: Sequence[str | Column] = ()
+                             ) -> tuple[DataFrame, DataFrame]:
+    """New successes once each, and those whose id was completed before or twice in the batch.
+
+    Of a success that the batch repeats, the first by ``order`` stays; without one (and among equals)
+    it is the smallest row by its JSON text, so that a second run keeps the same row.
+    """
     good = batch.where(F.col("status") == "ok")
-    once = good.dropDuplicates(["image_id"])
+    row = F.struct(*batch.columns)
+    once = (good.groupBy("image_id").agg(F.min_by(row, F.struct(*order, F.to_json(row).alias("_text"))).alias("_row"),
+                                         F.count("*").alias("_n")))
     known = stored.select("image_id").distinct()
-    repeated = good.groupBy("image_id").agg(F.count("*").alias("n")).where("n > 1").select("image_id")
-    twice = once.join(known, "image_id", "left_semi").select("image_id").unionByName(repeated)
-    return once.join(known, "image_id", "left_anti"), twice.distinct()
+    twice = once.join(known, "image_id", "left_semi").select("image_id").unionByName(
+        once.where("_n > 1").select("image_id"))
+    return (once.select("image_id", "_row").join(known, "image_id", "left_anti").select("_row.*"), twice.distinct())
 
 
 def resume_compatibility(spark: SparkSession, metadata_path: str, output_path: str,
@@ -53,42 +62,125 @@ def resume_compatibility(spark: SparkSession, metadata_path: str, output_path: s
                             f"{[row.asDict() for row in differences]}")
 
 
+#: The order of lines: older files first, then their names, then the place in the file.
+_PLACE = ["mtime", "file", "block", "pos"]
+#: Lines that are no success go through so many groups, as they need no state.
+_FREE_GROUPS = 1024
+
+
+def _first_of_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Number the lines of a task, and keep the first of an id's successes with their count.
+
+    An id repeated in a third of the lines reaches its group as one row for every Arrow batch.
+    """
+    seen = 0
+    for frame in batches:
+        frame["pos"] = range(seen, seen + len(frame))
+        seen += len(frame)
+        good = frame["kind"] == "ok"
+        ours = frame[good].sort_values(_PLACE)
+        frame["n"] = 1
+        first = ours.drop_duplicates("name").assign(n=lambda x: x["name"].map(ours["name"].value_counts()))
+        yield pd.concat([frame[~good], first])[["kind", "name", "line", *_PLACE, "n"]]
+
+
+def _settle(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The earliest success of an id, once in the life of the stream; other lines as they come."""
+    kind, name = key
+    if kind != "ok":
+        for frame in frames:
+            yield frame.assign(folder=kind, image_id=None)[["folder", "image_id", "line"]]
+        return
+    best, total = None, 0
+    for frame in frames:
+        total += int(frame["n"].sum())
+        head = frame.sort_values(_PLACE).iloc[0]
+        if best is None or tuple(head[_PLACE]) < tuple(best[_PLACE]):
+            best = head
+    rows = [] if state.exists else [("ok", name, best["line"])]
+    if state.exists or total > 1:
+        rows.append(("duplicates", name, None))
+    state.update((True,))
+    yield pd.DataFrame(rows, columns=["folder", "image_id", "line"], dtype=object)
+
+
+def _lines(spark: SparkSession, source: str, schema: T.StructType, max_files: int | None) -> DataFrame:
+    """The stream of ``(kind, name, line, mtime, file, block)``; ``name`` is the id of a success."""
+    # Without this a file that is a week older than the newest one is passed over in silence.
+    reader = spark.readStream.option("maxFileAge", "36500d")
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    row = F.from_json("value", T.StructType([*schema.fields, T.StructField("_broken", T.StringType())]),
+                      {"columnNameOfCorruptRecord": "_broken"})
+    kind = (F.when(F.col("row").isNull() | F.col("row._broken").isNotNull(), "broken")
+            .when(~F.col("row.status").eqNullSafe("ok"), "errors")
+            .when(F.col("row.image_id").isNull(), "broken").otherwise("ok"))
+    free = F.pmod(F.xxhash64("value"), F.lit(_FREE_GROUPS)).cast("string")
+    return (reader.text(source).where(F.trim("value") != "").withColumn("row", row).withColumn("kind", kind)
+            .select("kind", F.when(F.col("kind") == "ok", F.col("row.image_id").cast("string")).otherwise(free).alias("name"),
+                    F.col("value").alias("line"), F.col("_metadata.file_modification_time").cast("double").alias("mtime"),
+                    F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")))
+
+
 def ingest_annotations_stream(spark: SparkSession, source: str, target: str, checkpoint: str,
                               schema: T.StructType, max_files: int | None = None) -> int:
     """Append new annotation files to ``target`` and return the number of micro-batches.
 
-    Successes go to ``target/ok``, failures to ``target/errors`` and repeated successes to
-    ``target/duplicates``. A file is never read twice. ``foreachBatch`` may run a batch again
-    after a failure, so every write replaces the folder of its own batch.
+    Successes go to ``target/ok``, failures to ``target/errors``, ids of repeated successes to
+    ``target/duplicates``, and lines that cannot be parsed by the schema, or are a success without an
+    id, to ``target/broken`` as they stand. Blank lines are passed over. Of an id's successes the
+    earliest stays (older file, then file name, then line; a later batch never replaces an earlier one).
+
+    Which ids are complete is keyed state of the stream, so a batch looks up its own ids and reads
+    nothing of what was written before. The state is part of ``checkpoint``: a new checkpoint for a
+    target that holds rows is refused. A file is never read twice. ``foreachBatch`` may run a batch
+    again after a failure; it starts from the same state, and every write replaces the folder of its batch.
     """
+    stored = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+    try:
+        spark.read.text(f"{checkpoint}/metadata")
+    except AnalysisException:
+        if not _stored(spark, f"{target}/ok", stored).isEmpty():
+            raise ContractError(f"{target} holds rows that the new checkpoint {checkpoint} does not know") from None
     batches = 0
+    identity = schema["image_id"].dataType
 
     def write(batch: DataFrame, number: int) -> None:
         nonlocal batches
         kept = batch.persist()
         try:
-            # Rows of this batch written by a failed earlier try do not count as completed.
-            stored = _stored(spark, f"{target}/ok",
-                             T.StructType([*schema.fields, T.StructField("batch", T.LongType())]))
-            fresh, repeated = reject_duplicate_success(
-                kept, stored.where(F.col("batch") != number))
-            for folder, rows in (("ok", fresh), ("errors", kept.where(
-                    ~F.col("status").eqNullSafe("ok"))), ("duplicates", repeated)):
-                rows.write.mode("overwrite").parquet(f"{target}/{folder}/batch={number}")
+            def part(folder: str) -> DataFrame:
+                return kept.where(F.col("folder") == folder)
+
+            for folder in ("ok", "errors"):
+                part(folder).select(F.from_json("line", schema).alias("row")).select("row.*").write.mode(
+                    "overwrite").parquet(f"{target}/{folder}/batch={number}")
+            part("duplicates").select(F.col("image_id").cast(identity)).write.mode(
+                "overwrite").parquet(f"{target}/duplicates/batch={number}")
+            part("broken").select("line").write.mode("overwrite").parquet(f"{target}/broken/batch={number}")
         finally:
             kept.unpersist()
         batches += 1
 
-    reader = spark.readStream.schema(schema)
-    if max_files:
-        reader = reader.option("maxFilesPerTrigger", max_files)
-    query = (reader.json(source).writeStream.option("checkpointLocation", checkpoint)
-             .foreachBatch(write).trigger(availableNow=True).start())
+    numbered = _lines(spark, source, schema, max_files).mapInPandas(
+        _first_of_batch, "kind string, name string, line string, mtime double, file string, block long, pos long, n long")
+    settled = numbered.groupBy("kind", "name").applyInPandasWithState(
+        _settle, "folder string, image_id string, line string", "done boolean", "append", GroupStateTimeout.NoTimeout)
+    # State of any size lies on the executors' disks and in the checkpoint, not in their heaps.
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        query = (settled.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
+                 .foreachBatch(write).trigger(availableNow=True).start())
+    finally:
+        spark.conf.set(name, before)
     query.awaitTermination()
     return batches
 
 
 def read_ingested(spark: SparkSession, target: str, schema: T.StructType,
                   folder: str = "ok") -> DataFrame:
+    """The rows of one folder; ``schema`` is the table's own, ``line string`` for ``broken``."""
     return _stored(spark, f"{target}/{folder}", T.StructType(
         [*schema.fields, T.StructField("batch", T.LongType())]))

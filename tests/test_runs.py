@@ -1,5 +1,6 @@
 import hashlib
 import json
+import os
 
 import numpy as np
 import pandas as pd
@@ -196,6 +197,53 @@ def test_ingest_reads_each_file_once(spark, tmp_path):
     assert read("ok") == ["a", "b", "c"] and read("errors") == ["b"] and read("duplicates") == ["a", "c"]
 
 
+def test_ingest_keeps_the_earliest_success_and_broken_lines(spark, tmp_path):
+    source, target = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    drop(source / "1.json", [("a", "ok", ["first"]), ("a", "ok", ["a later line"]), (None, "ok", ["no id"]),
+                             ("e", None, None)] + [("hot", "ok", [str(i)]) for i in range(3000)])
+    with open(source / "1.json", "a") as file:
+        file.write('{"image_id": "x", "status"\n\n   \n{"image_id": "y", "status": "ok", "present": 3}\n')
+    drop(source / "2.json", [("a", "ok", ["another file"]), ("b", "ok", ["b"])])
+    os.utime(source / "1.json", (1_700_000_000, 1_700_000_000))
+    drop(source / "0.json", [("b", "ok", ["younger file"])])
+    os.utime(source / "2.json", (1_700_000_500, 1_700_000_500))
+    run = lambda cp: ingest.ingest_annotations_stream(spark, str(source), target, str(tmp_path / cp), ROW)
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    assert run("cp") == 1 and spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
+    ok = {r["image_id"]: r["present"] for r in ingest.read_ingested(spark, target, ROW).collect()}
+    assert ok == {"a": ["first"], "b": ["b"], "hot": ["0"]}
+    line = T.StructType([T.StructField("line", T.StringType())])
+    broken = sorted(r["line"] for r in ingest.read_ingested(spark, target, line, "broken").collect())
+    assert broken == sorted(['{"image_id": "x", "status"', '{"image_id": "y", "status": "ok", "present": 3}',
+                             json.dumps(dict(zip(ROW.names, (None, "ok", ["no id"]))))])
+    again = [r["image_id"] for r in ingest.read_ingested(spark, target, ROW, "duplicates").collect()]
+    assert sorted(again) == ["a", "b", "hot"]
+    assert [r["image_id"] for r in ingest.read_ingested(spark, target, ROW, "errors").collect()] == ["e"]
+    # An older file that arrives later does not replace what is stored, and nothing stored is read again.
+    for name in ("ok", "errors", "duplicates", "broken"):
+        os.rename(f"{target}/{name}/batch=0", f"{tmp_path}/away-{name}")
+    drop(source / "3.json", [("a", "ok", ["late"]), ("c", "ok", ["c"])])
+    os.utime(source / "3.json", (1_600_000_000, 1_600_000_000))
+    assert run("cp") == 1
+    assert [r["image_id"] for r in ingest.read_ingested(spark, target, ROW).collect()] == ["c"]
+    assert [r["image_id"] for r in ingest.read_ingested(spark, target, ROW, "duplicates").collect()] == ["a"]
+    with pytest.raises(ContractError, match="new checkpoint"):
+        run("another")
+
+
+def test_repeated_success_keeps_the_first(spark):
+    rows = spark.createDataFrame([("a", "ok", ["z"], 1), ("a", "ok", ["b"], 2), ("b", "ok", ["k"], 3), ("c", "error", None, 4)],
+                                 "image_id string, status string, attributes array<string>, line long")
+    none = rows.where("false")
+    fresh, twice = ingest.reject_duplicate_success(rows, none, ["line"])
+    assert {r["image_id"]: r["line"] for r in fresh.collect()} == {"a": 1, "b": 3}
+    assert [r[0] for r in twice.collect()] == ["a"]
+    fresh, twice = ingest.reject_duplicate_success(rows, rows.where("image_id = 'b'"))
+    assert {r["image_id"]: r["attributes"] for r in fresh.collect()} == {"a": ["b"]}
+    assert sorted(r[0] for r in twice.collect()) == ["a", "b"]
+
+
 def test_resume_guard(spark, tmp_path):
     meta, out = str(tmp_path / "meta"), str(tmp_path / "out")
     base = {"prompt": "v1", "run_id": None}

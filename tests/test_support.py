@@ -1,3 +1,4 @@
+import hashlib
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,6 +110,17 @@ def test_sample_ignores_input_order(spark):
     assert sampling.hash_priority_sample(one, 0, 42).count() == 20
 
 
+def test_sample_by_a_hash_bound(spark):
+    ids = [f"img{i}" for i in range(5000)] + ["twice"] * 3 + [None]
+    rows = spark.createDataFrame([(i,) for i in ids], "image_id string")
+    order = sorted((i for i in ids if i), key=lambda i: hashlib.sha256(f"7\0{i}".encode()).hexdigest())
+    for limit in (1, 40, 4000, 6000):
+        got = sorted(str(r[0]) for r in sampling.hash_priority_sample(rows, limit, 7).collect())
+        assert got == sorted([*order[:limit - 1], "None"])
+    hot = spark.createDataFrame([("one",)] * 900 + [("two",)] * 900, "image_id string")
+    assert sampling.hash_priority_sample(hot, 10, 7).distinct().count() == 1
+
+
 def test_rollout_eligibility_and_schedule(spark):
     images = spark.createDataFrame([(1, [0]), (2, [0, 1]), (3, [0, 1, 2, 3])],
                                    "image_id int, concepts array<int>")
