@@ -96,16 +96,16 @@ ORACLES: dict[str, str] = {
     "op13_source_divergence": oracles.DIVERGENCE,
     "op2_maxscore_top_k": """
 WITH sound AS (
-    SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS vec
+    SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS vec
     FROM embeddings
     WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
       AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 scored AS (
-    SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.vec, v.vec)::BIGINT AS score
-    FROM sound q JOIN sound v ON q.vec_id <> v.vec_id
+    SELECT q.r, q.vec_id AS query_id, v.vec_id, list_dot_product(q.vec, v.vec)::BIGINT AS score
+    FROM sound q JOIN sound v ON q.r <> v.r
     WHERE q.vec_id % 20 = 0),
 placed AS (
-    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank
+    SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id)::INTEGER AS rank
     FROM scored)
 SELECT query_id, rank, vec_id, score FROM placed WHERE rank <= 20
 """,

@@ -11,6 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from axisframe.llm import simhash, suffix_dedup, topk
+from axisframe.session import materialize
 
 WORDS = "ash birch cedar elm fir hazel ivy juniper larch maple oak pine rowan sorrel thyme willow yew".split()
 
@@ -36,16 +37,64 @@ def test_maxscore_equals_brute_force(rows, k, piece):
     assert set(zip(*(x.tolist() for x in got), strict=True)) == want
 
 
+@pytest.mark.parametrize(("scale", "k"), [(1 << 25, 5), (1 << 29, 4), (1 << 40, 3)])
+def test_large_components_are_exact(scale, k):
+    rng = np.random.default_rng(k)
+    vectors = np.floor(rng.normal(0, 1, (150, 6)) * [scale, 3, 0, 1, scale, 1])
+    asked = vectors.copy()
+    asked[:, 4] = asked[:, 0]
+    vectors[:, 4] = -vectors[:, 0]  # large products that cancel
+    vectors[::7, 4] += 1
+    ids = np.arange(150) // 2
+    rows = np.arange(150) + 1000
+    got = topk.maxscore(asked[::20], rows[::20], vectors, ids, k, piece=32, rows=rows)
+    want = []
+    for own in rows[::20]:
+        q = [int(x) for x in asked[own - 1000]]
+        scores = [(-sum(a * int(b) for a, b in zip(q, v, strict=True)), int(i)) for v, i, r in zip(vectors, ids, rows, strict=True)
+                  if r != own]
+        want += [(int(own), i, -s) for s, i in sorted(scores)[:k]]
+    assert sorted(zip(*(x.tolist() for x in got), strict=True)) == sorted(want)
+
+
+def test_python_integers_where_bounds_are_huge():
+    big = float(1 << 70)
+    vectors = np.array([[big, 1.0, 0.0], [0.0, 5.0, 0.0], [0.0, 7.0, big], [0.0, -2.0, 0.0]])
+    got = topk.maxscore(np.array([[0.0, 3.0, 0.0]]), np.array([9]), vectors, np.array([4, 3, 2, 1]), 2)
+    assert [x.tolist() for x in got] == [[9, 9], [2, 3], [21, 15]]
+    with pytest.raises(OverflowError):
+        topk.maxscore(np.array([[1.0, 0.0, 0.0]]), np.array([9]), vectors, np.array([4, 3, 2, 1]), 2)
+
+
+def test_non_essential_terms_are_not_multiplied():
+    rng = np.random.default_rng(3)
+    spread = 200.0 * 0.6 ** np.arange(24)
+    vectors = np.floor(rng.normal(0, 1, (4000, 24)) * spread)
+    sparse = vectors * (rng.random(vectors.shape) < 0.05)
+    for table in (vectors, sparse):
+        work: list[int] = []
+        got = topk.maxscore(table[:40], np.arange(40), table, np.arange(4000), 10, piece=500, work=work)
+        assert sum(work) < 0.8 * 40 * table.size
+        for own in range(40):
+            order = sorted((-int(table[own] @ v), i) for i, v in enumerate(table) if i != own)[:10]
+            mine = got[0] == own
+            assert sorted(zip(got[1][mine].tolist(), got[2][mine].tolist(), strict=True)) == sorted((i, -s) for s, i in order)
+
+
 def test_top_k_edge_rows(spark):
     rows = [(0, [0.5, -0.25]), (0, [0.5, -0.25]), (1, [0.5, 0.5]), (2, None), (3, [float("nan"), 1.0]), (4, [None, 1.0]),
             (5, [1.0]), (6, []), (None, [1.0, 1.0]), (7, [float("inf"), 0.0]), (20, [0.5, 0.5])]
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<float>, score string")
-    vectors = topk.integer_vectors(df, "vec_id", "embedding")
-    assert sorted(r["id"] for r in vectors.collect()) == [0, 1, 5, 6, 20]
+    vectors = materialize(topk.integer_vectors(df, "vec_id", "embedding"))
+    assert sorted(r["id"] for r in vectors.collect()) == [0, 0, 1, 5, 6, 20]
     found = topk.top_k(vectors, vectors.where("id % 20 = 0"), 3).orderBy("query_id", "rank").collect()
-    assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found] == [
-        (0, 1, 5, 32 * 64), (0, 2, 1, 32 * 32 - 16 * 32), (0, 3, 20, 32 * 32 - 16 * 32),
-        (20, 1, 1, 2048), (20, 2, 5, 2048), (20, 3, 0, 512)]
+    # a row of the same id is a candidate, and a query of its own
+    zero = [(0, 1, 5, 32 * 64), (0, 2, 0, 32 * 32 + 16 * 16), (0, 3, 1, 32 * 32 - 16 * 32)]
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found) == sorted([
+        *zero, *zero, (20, 1, 1, 2048), (20, 2, 5, 2048), (20, 3, 0, 512)])
+    huge = spark.createDataFrame([(0, [3e9, 1.0]), (1, [-2.0, 0.5]), (2, [2.0, -1e30])], "vec_id long, embedding array<double>")
+    vectors_2 = materialize(topk.integer_vectors(huge, "vec_id", "embedding"))
+    assert sorted(r["vec"][1] for r in vectors_2.collect()) == [-64e30, 32.0, 64.0]
     assert topk.top_k(vectors.where("id < 0"), vectors, 3).count() == 0
     assert topk.top_k(vectors, vectors.where("id < 0"), 3).count() == 0
 
