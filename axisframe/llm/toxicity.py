@@ -12,7 +12,6 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,11 +21,15 @@ from pyspark.sql import functions as F
 
 from axisframe.llm.common import map_arrow, text_bytes
 from axisframe.llm.labelled import fold, sample
+from axisframe.session import discard, materialize
 
 TOKEN = re.compile(r"[^\W\d_]+")
 #: The fit reads so many documents of each label at most.
 FIT_DOCUMENTS = {0: 2500, 1: 1500}
 FEATURES = 1 << 16
+#: Tokens of a piece, and how many pieces with and without toxic tokens the fit takes of a document at
+#: most, evenly spread over it.
+PIECE, PIECES = 64, 6
 #: Twice the log-likelihood ratio that a word or beginning must reach to mark tokens as toxic.
 EVIDENCE = 25.0
 #: A task remembers the scores of so many words.
@@ -34,6 +37,12 @@ MAX_WORDS = 400_000
 SLICE_BYTES = 24 << 20
 
 
+def lowered(text: str) -> str:
+    """The text in lower case, with every character in its place."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
 def units(word: str) -> list[str]:
     """The features of a word: itself and its beginnings of three to seven letters."""
     return ["=" + word, *(word[:n] for n in range(3, 8) if n <= len(word))]
@@ -84,49 +93,37 @@ def marginals(emissions: np.ndarray, ends: np.ndarray, field: Field) -> np.ndarr
     return ahead + back
 
 
-def mark(tokens: list[list[str]], toxic: np.ndarray) -> list[np.ndarray]:
-    """Token labels from document labels."""
-    with_, without, n1 = Counter(), Counter(), int(toxic.sum())
-    n0 = len(toxic) - n1
-    for words, is_toxic in zip(tokens, toxic, strict=True):
-        (with_ if is_toxic else without).update({u for w in set(words) for u in units(w)})
-    bad = set()
-    for unit, a in with_.items():
-        b = without[unit]
-        if n0 and n1 and a / n1 > 20 * (b + 0.5) / n0 or a > 3 and not b:
-            p, q, r = a / n1, max(b, 1e-9) / max(n0, 1), (a + b) / (n0 + n1)
-            likelihood = a * np.log(p / r) + b * np.log(q / r)
-            if p < 1:
-                likelihood += (n1 - a) * np.log((1 - p) / (1 - r))
-            if b < n0:
-                likelihood += (n0 - b) * np.log((1 - q) / (1 - r))
-            if 2 * likelihood >= EVIDENCE:
-                bad.add(unit)
-    return [np.array([t and not bad.isdisjoint(units(w)) for w in words], float)
-            for words, t in zip(tokens, toxic, strict=True)]
-
-
-def fit(tokens: list[list[str]], toxic: np.ndarray, epochs: int = 30, rate: float = 0.3, piece: int = 64,
-        pieces: int = 6, seed: int = 5) -> Field:
-    """Train on the marked tokens of a sample: the gradient is what the marks hold less what is expected."""
-    rng = np.random.default_rng(seed)
+def telling(counts: DataFrame, n1: int, n0: int) -> DataFrame:
+    """The units that ``a`` of ``n1`` toxic and ``b`` of ``n0`` other documents hold, where that is no chance."""
+    a, b = F.col("a"), F.col("b")
+    p, q, r = a / n1, F.greatest(b, F.lit(1e-9)) / n0, (a + b) / (n0 + n1)
+    likelihood = (a * F.log(p / r) + b * F.log(q / r)
+                  + F.when(a < n1, (n1 - a) * F.log((1 - p) / (1 - r))).otherwise(0.0)
+                  + F.when(b < n0, (n0 - b) * F.log((1 - q) / (1 - r))).otherwise(0.0))
+    return counts.where((a > 0) & ((a / n1 > 20 * (b + 0.5) / n0) | ((a > 3) & (b == 0)))).where(2 * likelihood >= EVIDENCE)
+
+
+def pieces_of(words: list[str], toxic: bool, bad: set[str], piece: int = PIECE, most: int = PIECES
+              ) -> list[tuple[list[str], list[bool]]]:
+    """Spread pieces of a document with their token labels: toxic ones hold a token that tells."""
+    marks = [toxic and not bad.isdisjoint(units(w)) for w in words]
+    cuts = range(0, len(words), piece)
+    hot = [c for c in cuts if any(marks[c:c + piece])]
+    cold = [c for c in cuts if not any(marks[c:c + piece])]
+    taken = [part[i * len(part) // most] if len(part) > most else part[i]
+             for part in (hot, cold) for i in range(min(most, len(part)))]
+    return [(words[c:c + piece], marks[c:c + piece]) for c in taken]
+
+
+def fit(pieces: list[tuple[list[str], list[bool]]], epochs: int = 30, rate: float = 0.3) -> Field:
+    """Train on marked pieces: the gradient is what the marks hold less what is expected."""
     field = Field(np.zeros(FEATURES), np.zeros((2, 2)), 0.0, np.array([-2.0, 1.0, 0.0]))
-    if not len(toxic):
-        return field
-    marks = mark(tokens, toxic)
-    chosen = []
-    for d, words in enumerate(tokens):
-        cuts = range(0, len(words), piece)
-        hot = [c for c in cuts if marks[d][c:c + piece].any()]
-        cold = [c for c in cuts if not marks[d][c:c + piece].any()]
-        rng.shuffle(cold)
-        chosen += [(d, c) for c in hot[:pieces] + cold[:pieces]]
-    y = np.concatenate([np.zeros(0), *(marks[d][c:c + piece] for d, c in chosen)])
-    ends = np.cumsum([0, *(len(tokens[d][c:c + piece]) for d, c in chosen)])
+    y = np.concatenate([np.zeros(0), *(np.asarray(m, float) for _, m in pieces)])
+    ends = np.cumsum([0, *(len(w) for w, _ in pieces)])
     table: dict[str, array] = {}
     slots, lengths = array("i"), array("i")
-    for d, c in chosen:
-        for word in tokens[d][c:c + piece]:
+    for words, _ in pieces:
+        for word in words:
             known = table.get(word)
             if known is None:
                 known = table[word] = array("i", [_slot(u) for u in units(word)])
@@ -161,11 +158,6 @@ def fit(tokens: list[list[str]], toxic: np.ndarray, epochs: int = 30, rate: floa
         field.move += rate * step / np.sqrt(move_scale + 1e-6)
         starts = ends[:-1][np.diff(ends) > 0]
         field.start += rate * float(miss[starts].mean())
-    every = np.cumsum([0, *map(len, tokens)])
-    score_of = {w: field.emission(w) for words in tokens for w in set(words)}
-    emissions = np.array([score_of[w] for words in tokens for w in words])
-    x = summaries(marginals(emissions, every, field), every)
-    field.shape = _logistic(x, toxic.astype(float), field.shape)
     return field
 
 
@@ -206,15 +198,63 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, rounds: int = 25, rid
     return w
 
 
+def _tokens(batch: pa.RecordBatch) -> list[list[str]]:
+    return [TOKEN.findall(lowered((v.as_py() or b"").decode("utf-8", "replace"))) for v in batch.column("body")]
+
+
 def train(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, held_out: Column) -> Field:
-    chosen = sample(docs.select(key, text_bytes(text).alias("body")), labels, key, label, held_out, FIT_DOCUMENTS)
-    rows = chosen.select("body", "y", F.xxhash64(key).alias("o")).orderBy("o").toPandas()
-    words: dict[str, str] = {}  # one object per distinct word
-    tokens = [[words.setdefault(w, w) for w in TOKEN.findall(bytes(b).decode("utf-8", "replace").lower())]
-              for b in rows["body"]]
-    toxic = rows["y"].to_numpy(bool)
-    del rows
-    return fit(tokens, toxic)
+    """The field of a sample of labelled documents.
+
+    Whole texts stay in the tasks: Spark counts the units by label, and the driver gets the telling units,
+    at most twelve marked pieces a document, and three numbers a document for the calibration.
+    """
+    chosen = materialize(sample(docs.select(key, text_bytes(text).alias("body")), labels, key, label, held_out,
+                                FIT_DOCUMENTS).select(F.xxhash64(key).alias("o"), "y", "body"))
+    sizes = dict(chosen.groupBy("y").count().collect())
+    n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
+
+    def held(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [{u for w in set(words) for u in units(w)} for words in _tokens(batch)]
+        sizes = np.array([len(f) for f in found], np.int64)
+        y = np.repeat(batch.column("y").to_numpy(zero_copy_only=False), sizes)
+        return pa.RecordBatch.from_arrays([pa.array([u for f in found for u in f], pa.string()), pa.array(y, pa.int32())],
+                                          ["unit", "y"])
+
+    bad: set[str] = set()
+    if n0 and n1:
+        counts = map_arrow(chosen, held, "unit string, y int", "body", SLICE_BYTES).groupBy("unit").agg(
+            F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
+        bad = {r["unit"] for r in telling(counts, n1, n0).select("unit").collect()}
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        of, at, words, marks = [], [], [], []
+        toxic = batch.column("y").to_pylist()
+        for row, tokens in enumerate(_tokens(batch)):
+            for n, (some, labels_) in enumerate(pieces_of(tokens, bool(toxic[row]), bad)):
+                of.append(row)
+                at.append(n)
+                words.append(some)
+                marks.append(labels_)
+        return pa.RecordBatch.from_arrays(
+            [batch.column("o").take(pa.array(of, pa.int64())), pa.array(at, pa.int32()),
+             pa.array(words, pa.list_(pa.string())), pa.array(marks, pa.list_(pa.bool_()))], ["o", "n", "words", "marks"])
+
+    rows = map_arrow(chosen, cut, "o long, n int, words array<string>, marks array<boolean>", "body", SLICE_BYTES)
+    names: dict[str, str] = {}  # one object per distinct word
+    field = fit([([names.setdefault(w, w) for w in r["words"]], r["marks"])
+                 for r in rows.orderBy("o", "n").toLocalIterator()])
+
+    def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
+        x = _summaries_of(_tokens(batch), _Scores(field))
+        return pa.RecordBatch.from_arrays([batch.column("o"), batch.column("y"), *(pa.array(x[:, i]) for i in (1, 2))],
+                                          ["o", "y", "top", "sure"])
+
+    seen = map_arrow(chosen, measure, "o long, y int, top double, sure double", "body", SLICE_BYTES).orderBy("o").toPandas()
+    discard(chosen)
+    if len(seen):
+        x = np.column_stack([np.ones(len(seen)), seen["top"], seen["sure"]])
+        field.shape = _logistic(x, seen["y"].to_numpy(float), field.shape)
+    return field
 
 
 class _Scores(dict):
@@ -231,6 +271,18 @@ class _Scores(dict):
         return value
 
 
+def _odds_of(tokens: list[list[str]], scores: _Scores) -> tuple[np.ndarray, np.ndarray]:
+    """Log-odds of all tokens of some documents, and the borders of the documents."""
+    of = scores.__getitem__
+    parts = [np.fromiter(map(of, words), float, len(words)) for words in tokens]
+    ends = np.cumsum([0, *map(len, parts)])
+    return marginals(np.concatenate([np.zeros(0), *parts]), ends, scores.field), ends
+
+
+def _summaries_of(tokens: list[list[str]], scores: _Scores) -> np.ndarray:
+    return summaries(*_odds_of(tokens, scores))
+
+
 def tag(df: DataFrame, field: Field, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, score, spans)``: the score of every whole text and its toxic spans.
 
@@ -240,13 +292,8 @@ def tag(df: DataFrame, field: Field, key: str = "doc_id", text: str = "text") ->
     scores = _Scores(field)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [(v.as_py() or b"").decode("utf-8", "replace") for v in batch.column("body")]
-        of, parts = scores.__getitem__, []
-        for value in texts:
-            words = TOKEN.findall(value.lower())
-            parts.append(np.fromiter(map(of, words), float, len(words)))
-        ends = np.cumsum([0, *map(len, parts)])
-        odds = marginals(np.concatenate(parts), ends, field)
+        texts = [lowered((v.as_py() or b"").decode("utf-8", "replace")) for v in batch.column("body")]
+        odds, ends = _odds_of([TOKEN.findall(value) for value in texts], scores)
         x = summaries(odds, ends)
         prob = 1 / (1 + np.exp(-x @ field.shape))
         spans = []
@@ -254,7 +301,7 @@ def tag(df: DataFrame, field: Field, key: str = "doc_id", text: str = "text") ->
             found: list[list[int]] = []
             if top > 0:
                 last = -2
-                for i, match in enumerate(TOKEN.finditer(value.lower())):
+                for i, match in enumerate(TOKEN.finditer(value)):
                     if odds[a + i] > 0:
                         if i == last + 1:
                             found[-1][1] = match.end()

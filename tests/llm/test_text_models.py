@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -237,6 +238,53 @@ def test_toxicity(spark):
     assert not any(r["predicted"] for r in toxicity.classify(docs, labels.where("false")).collect())
 
 
+def test_toxic_offsets_are_places_of_the_text(spark):
+    field = toxicity.Field(np.zeros(toxicity.FEATURES), np.zeros((2, 2)), 0.0, np.array([-2.0, 1.0, 0.0]))
+    field.weights[[toxicity._slot(u) for u in toxicity.units("grumf")]] = 3.0
+    texts = ["\u0130\u0130\u0130 grumf you", "GRUMF", None, "", "\u0130" * 40 + " a Grumf, grumf b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["doc_id"]: [texts[r["doc_id"]][s["start"]:s["end"]] for s in r["spans"]]
+            for r in toxicity.tag(docs, field).collect()}
+    assert rows[0] == ["grumf"] and rows[1] == ["GRUMF"] and rows[2] == rows[3] == []
+    assert rows[4] == ["Grumf, grumf"]
+
+
+def test_pieces_of_the_fit_are_spread():
+    words = [f"w{i}" for i in range(64 * 40)]
+    bad = {"=w" + str(i) for i in range(64, 64 * 40, 128)}  # a toxic token in every other piece
+    got = toxicity.pieces_of(words, True, bad)
+    starts = [int(w[0][1:]) // 64 for w, _ in got]
+    assert starts[:6] == [1, 7, 13, 21, 27, 33] and len(got) == 12 and max(starts[6:]) > 30
+    assert not any(any(m) for _, m in toxicity.pieces_of(words, False, bad))
+    assert toxicity.pieces_of([], True, bad) == []
+
+
+def test_telling_units_equal_the_plain_formula(spark):
+    n1, n0 = 40, 70
+    cells = [(f"u{a}-{b}", a, b) for a in (0, 1, 4, 9, 20, 40) for b in (0, 1, 3, 70)]
+    want = set()
+    for name, a, b in cells:
+        if a and (a / n1 > 20 * (b + 0.5) / n0 or (a > 3 and not b)):
+            p, q, r = a / n1, max(b, 1e-9) / n0, (a + b) / (n0 + n1)
+            total = a * np.log(p / r) + b * np.log(q / r)
+            total += (n1 - a) * np.log((1 - p) / (1 - r)) if a < n1 else 0
+            total += (n0 - b) * np.log((1 - q) / (1 - r)) if b < n0 else 0
+            if 2 * total >= toxicity.EVIDENCE:
+                want.add(name)
+    counts = spark.createDataFrame(cells, "unit string, a long, b long")
+    assert {r["unit"] for r in toxicity.telling(counts, n1, n0).collect()} == want and 0 < len(want) < len(cells)
+
+
+def test_a_repeated_id_gives_one_sample_row_whatever_the_order(spark):
+    from axisframe.llm.labelled import sample
+    rows = [(1, "one"), (1, "two"), (1, None), (2, "b")]
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0)], "doc_id long, toxic int")
+    got = [sorted(map(tuple, sample(spark.createDataFrame(r, "doc_id long, text string").repartition(n), labels, "doc_id",
+                                    "toxic", F.lit(False), {0: 9, 1: 9}).collect()))
+           for n, r in ((1, rows), (3, rows[::-1]))]
+    assert got[0] == got[1] and [(r[0], r[2]) for r in got[0]] == [(1, 1), (2, 0)]
+
+
 def test_marginals_equal_enumeration():
     rng = np.random.default_rng(9)
     field = toxicity.Field(np.zeros(1), rng.normal(size=(2, 2)), 0.4, np.zeros(3))
