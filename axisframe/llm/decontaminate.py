@@ -3,7 +3,8 @@
 An item of n characters that stands in a text with at most e edits keeps n - q + 1 - q * e of its
 q-grams there, on diagonals (text place less item place) that differ by at most e. Shared q-grams are
 counted in diagonal bands that overlap by e, so some band holds all of them; bands with enough are
-aligned within the band, and alignments within the budget are leaks.
+aligned within the band, and alignments within the budget are leaks. The lemma needs q * (e + 1) <= n:
+items too short for the usual q have their own, smaller one.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from axisframe.llm.suffix_dedup import _BASE, _powers
 
 Q = 10
 RATE = 0.08
+#: Shorter items are no evidence and are not looked for.
+SHORTEST = 3
 #: Items are handed to the tasks in blocks of about so many characters; each block is one pass.
 BLOCK_CHARS = 4_000_000
 _SLOT_BITS = 22
@@ -49,10 +52,16 @@ def grams(chars: np.ndarray, q: int) -> np.ndarray:
     return out * np.uint64(0xBF58476D1CE4E5B9)
 
 
+def gram_size(length: int, q: int, rate: float) -> int:
+    """The largest q up to the given one of which an item within its budget keeps a q-gram."""
+    return min(q, max(1, length // (math.floor(rate * length) + 1)))
+
+
 @dataclass
 class Index:
-    """The q-grams of a block of items with their places."""
+    """The q-grams of a block of items, for which one q holds, with their places."""
 
+    q: int
     ids: list
     items: list[np.ndarray]
     size: np.ndarray
@@ -68,8 +77,7 @@ class Index:
     def build(cls, ids: list[int], texts: list[str], q: int, rate: float) -> Index:
         items = [characters(t) for t in texts]
         size = np.array([len(x) for x in items], np.int64)
-        # a budget that leaves one q-gram at least, so that the lemma holds
-        budget = np.minimum(np.floor(rate * size), np.maximum((size - q) // q, 0)).astype(np.int64)
+        budget = np.floor(rate * size).astype(np.int64)
         hashes = [grams(x, q) for x in items]
         lengths = [len(h) for h in hashes]
         flat = np.concatenate([np.zeros(0, np.uint64), *hashes])
@@ -79,7 +87,7 @@ class Index:
         keys, first = np.unique(flat[order], return_index=True)
         seen = np.zeros(1 << _SLOT_BITS, bool)
         seen[keys >> np.uint64(64 - _SLOT_BITS)] = True
-        return cls(ids, items, size, budget, size - q + 1 - q * budget, seen, keys,
+        return cls(q, ids, items, size, budget, size - q + 1 - q * budget, seen, keys,
                    np.append(first, len(flat)), item[order], place[order])
 
 
@@ -156,9 +164,15 @@ def align(chars: np.ndarray, low: np.ndarray, high: np.ndarray, item: np.ndarray
     return best // cost, left + best % cost, end
 
 
-def leaks_in(texts: list[str], index: Index, q: int) -> list[tuple[int, int, int, int, int]]:
-    """``(row, item row, start, end, distance)`` of the leaks in some texts."""
+def leaks_in(texts: list[str], block: list[Index]) -> list[tuple[int, object, int, int, int]]:
+    """``(row, item, start, end, distance)`` of the leaks in some texts."""
     parts = [characters(t) for t in texts]
+    return [(row, index.ids[k], start, end, distance) for index in block
+            for row, k, start, end, distance in _leaks_of(parts, index)]
+
+
+def _leaks_of(parts: list[np.ndarray], index: Index) -> list[tuple[int, int, int, int, int]]:
+    q = index.q
     ends = np.cumsum([0, *map(len, parts)])
     chars = np.concatenate([np.zeros(0, np.uint32), *parts])
     hashes = grams(chars, q)
@@ -177,17 +191,20 @@ def leaks_in(texts: list[str], index: Index, q: int) -> list[tuple[int, int, int
 
 
 def indexes(benchmark: DataFrame, item: str, text: str, q: int, rate: float) -> list:
-    """Broadcast indexes of the items, in blocks of about ``BLOCK_CHARS`` characters."""
+    """Broadcast lists of indexes of the items, one list for about ``BLOCK_CHARS`` characters."""
     total = benchmark.agg(F.coalesce(F.sum(F.length(text)), F.lit(0))).head()[0]
     blocks = max(1, math.ceil(total / BLOCK_CHARS))
-    items = benchmark.where(F.length(text) >= q).select(
+    items = benchmark.where(F.length(text) >= SHORTEST).select(
         F.col(item).alias("id"), F.col(text).alias("body"),
         F.pmod(F.xxhash64(item, text), F.lit(blocks)).alias("block")).distinct()
     out = []
     for block in range(blocks):
-        rows = items.where(F.col("block") == block).collect()
-        index = Index.build([r["id"] for r in rows], [r["body"] for r in rows], q, rate)
-        out.append(benchmark.sparkSession.sparkContext.broadcast(index))
+        of_size: dict[int, list] = {}
+        for row in items.where(F.col("block") == block).collect():
+            of_size.setdefault(gram_size(len(row["body"]), q, rate), []).append(row)
+        built = [Index.build([r["id"] for r in rows], [r["body"] for r in rows], size, rate)
+                 for size, rows in sorted(of_size.items())]
+        out.append(benchmark.sparkSession.sparkContext.broadcast(built))
     return out
 
 
@@ -196,7 +213,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
     """The rows of ``docs`` without leaks, with all their columns."""
     for index in indexes(benchmark, item, item_text, q, rate):
         def free(body: pa.Array, index=index) -> pa.Array:
-            found = leaks_in([v.as_py().decode("utf-8", "replace") for v in body], index.value, q)
+            found = leaks_in([v.as_py().decode("utf-8", "replace") for v in body], index.value)
             kept = np.ones(len(body), bool)
             kept[[row for row, *_ in found]] = False
             return pa.array(kept)
@@ -211,7 +228,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
 
     Offsets are characters. An item leaks where it stands with at most ``rate`` of its length in edits;
     of a document's places on neighbouring diagonals each best one is a row. Items that are null or
-    shorter than ``q`` characters, and texts that are null or empty, have no leaks; items with a null id
+    shorter than ``SHORTEST`` characters, and texts that are null or empty, have no leaks; items with a null id
     and documents with a null key are looked up like others; a repeated row repeats its leaks. The items
     are walked in blocks of a fixed size, one pass over the documents each.
     """
@@ -221,11 +238,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     for index in indexes(benchmark, item, item_text, q, rate):
         def run(batch: pa.RecordBatch, index=index) -> pa.RecordBatch:
             texts = [v.as_py().decode("utf-8", "replace") for v in batch.column("body")]
-            found = leaks_in(texts, index.value, q)
-            row, of, start, end, distance = zip(*found, strict=True) if found else ((),) * 5
-            names = [index.value.ids[i] for i in of]
+            found = leaks_in(texts, index.value)
+            row, names, start, end, distance = zip(*found, strict=True) if found else ((),) * 5
             return pa.RecordBatch.from_arrays(
-                [batch.column("key").take(pa.array(row, pa.int64())), pa.array(names, _ARROW.get(item_kind)),
+                [batch.column("key").take(pa.array(row, pa.int64())), pa.array(list(names), _ARROW.get(item_kind)),
                  *(pa.array(x, pa.int32()) for x in (start, end, distance))],
                 ["key", "item", "start", "end", "distance"])
 

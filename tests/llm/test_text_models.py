@@ -136,7 +136,8 @@ def distance_in(item, text):
 def test_leaks_with_edits_are_found():
     rng = np.random.default_rng(3)
     items = [prose(rng, n) for n in (6, 12, 30, 50)]
-    index = decontaminate.Index.build([10, 11, 12, 13], items, decontaminate.Q, decontaminate.RATE)
+    q = min(decontaminate.gram_size(len(i), decontaminate.Q, decontaminate.RATE) for i in items)
+    index = decontaminate.Index.build([10, 11, 12, 13], items, q, decontaminate.RATE)
     assert (index.need >= 1).all()
     for trial in range(60):
         k = trial % 4
@@ -145,10 +146,10 @@ def test_leaks_with_edits_are_found():
             place, kind = rng.integers(len(text)), rng.integers(3)
             text[place:place + (kind < 2)] = ["z"] if kind else []
         whole = prose(rng, 20) + " " + "".join(text).upper() + "\n" + prose(rng, 15)
-        found = decontaminate.leaks_in(["", whole, prose(rng, 40)], index, decontaminate.Q)
+        found = decontaminate.leaks_in(["", whole, prose(rng, 40)], [index])
         low = whole.lower().replace("\n", " ")
         least = distance_in(items[k], low)
-        mine = [f for f in found if f[1] == k]
+        mine = [f for f in found if f[1] == 10 + k]
         assert bool(mine) == (least <= index.budget[k])
         assert all(f[0] == 1 for f in mine)
         if mine:
@@ -156,6 +157,36 @@ def test_leaks_with_edits_are_found():
             assert distance == least == distance_in(items[k], low[start:end])
 
 
+@pytest.mark.parametrize("length", [*range(3, 27), 37, 38, 39, 40])
+def test_short_items_have_their_whole_budget(length):
+    rng = np.random.default_rng(length)
+    letters = list("abcdefghij klm")
+    item = "".join(rng.choice(letters, length))
+    q = decontaminate.gram_size(length, decontaminate.Q, decontaminate.RATE)
+    index = decontaminate.Index.build(["it"], [item], q, decontaminate.RATE)
+    assert index.budget[0] == int(0.08 * length) and index.need[0] >= 1 and q <= decontaminate.Q
+    texts = []
+    for trial in range(12):
+        text = list(item)
+        for _ in range(trial % (int(index.budget[0]) + 2)):
+            place, kind = rng.integers(len(text)), rng.integers(3)
+            text[place:place + (kind < 2)] = ["z"] if kind else []
+        texts.append("".join(rng.choice(letters, rng.integers(0, 30))) + "".join(text) + "".join(rng.choice(letters, 9)))
+    found = decontaminate.leaks_in(texts, [index])
+    assert {f[1] for f in found} == {"it"}
+    for row, text in enumerate(texts):
+        assert any(f[0] == row for f in found) == (distance_in(item, text) <= index.budget[0]), (item, text)
+
+
+def test_items_of_all_sizes_in_one_pass(spark):
+    bench = spark.createDataFrame([(1, "zq"), (2, "xyz"), (3, "kitten sits on"), (4, "m" * 25)], "item_id int, text string")
+    docs = spark.createDataFrame([(1, "zq is too short"), (2, "An XYZ"), (3, "the kitten sit on it"), (4, "m" * 23 + "!"), (5, None)],
+                                 "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["distance"]) for r in decontaminate.leaks(docs, bench).collect()}
+    assert got == {(2, 2, 0), (3, 3, 1), (4, 4, 2)}
+    assert sorted(r["doc_id"] for r in decontaminate.clean(docs, bench).collect()) == [1, 5]
+
+
 def test_leak_rows(spark, monkeypatch):
     rng = np.random.default_rng(5)
     items = [(1, prose(rng, 20)), (1, "short"), (None, prose(rng, 20)), (2, None), (3, prose(rng, 25)), (3, prose(rng, 25))]
