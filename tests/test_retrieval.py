@@ -125,3 +125,39 @@ def test_top_concepts(spark):
     present = spark.createDataFrame([(1, [0, 1, 2])], "image_id int, concepts array<int>")
     rows = R.top_concepts_per_image(profiles, present, 2).collect()
     assert [(r["place"], r["concept_idx"], r["score"]) for r in rows] == [(1, 0, 3.0), (2, 2, 3.0)]
+
+
+@pytest.mark.parametrize("odd", [None, 1e9, 1e30, np.nan])
+def test_prefix_counts_settle_close_scores_exactly(monkeypatch, odd):
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(R.screening, "PIECE", 16)
+    gallery = rng.normal(size=(70, 12))
+    gallery[30:50] = gallery[0] + rng.choice([0.0, 9e-8, -9e-8, 4.3e-7, -4.3e-7], (20, 12)) / 8
+    gallery[60:] = gallery[0]
+    if odd is not None:
+        gallery[5, 2] = odd
+    for size in (1, 2, 5):
+        prefix = np.array([rng.permutation(12)[:size] for _ in range(300)])
+        own = np.array([sum(gallery[i % 70, c] for c in p) for i, p in enumerate(prefix)])
+        scores = sum(gallery[:, prefix[:, k]] for k in range(size)).T
+        with np.errstate(invalid="ignore"):
+            greater, equal = R.prefix_counts(np.ascontiguousarray(gallery.T), prefix, own)
+            gap = scores - own[:, None]
+        assert (greater == (gap > 1e-7).sum(1)).all() and (equal == (abs(gap) <= 1e-7).sum(1)).all()
+
+
+def test_a_tile_hands_on_one_row_a_query_however_many_pieces(spark, monkeypatch):
+    monkeypatch.setattr(tiles, "block_rows", lambda width: 8)
+    rows, made = tiles.cross_tiles, []
+
+    def counted(*args, **kwargs):
+        made.append(rows(*args, **kwargs))
+        return made[-1]
+    monkeypatch.setattr(R, "cross_tiles", counted)
+    rng = np.random.default_rng(5)
+    images = spark.createDataFrame([(i, [0, 1, 2]) for i in range(60)], "image_id long, concepts array<int>")
+    profiles = spark.createDataFrame([("m", i, rng.normal(size=6).tolist()) for i in range(60)],
+                                     "model string, image_id long, profile array<double>")
+    R.compositional_ranks(images, profiles, 6, {1: 1, 3: 1}, 0)
+    # 60 images, two kinds and sizes; one block of the gallery.
+    assert made[-1].count() == 240
