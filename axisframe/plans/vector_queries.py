@@ -368,7 +368,9 @@ def paired_comparison(spark, sf):
 @query("cohort_sizes", "ranks",
        "select size, count(distinct image_id) as images from ranks group by size")
 def cohort_sizes(spark, sf):
-    return summaries.cohort_sizes(_ranks(spark, sf))
+    """A query of a size has a rank if its image has a profile, so the ranks themselves are not made."""
+    queries = sampling.with_sizes(_rollouts(spark, sf), SCHEDULE).join(I.profiles(spark, sf), "image_id", "left_semi")
+    return summaries.cohort_sizes(queries)
 
 
 def _standardized(spark, sf):
