@@ -161,3 +161,49 @@ def test_a_tile_hands_on_one_row_a_query_however_many_pieces(spark, monkeypatch)
     R.compositional_ranks(images, profiles, 6, {1: 1, 3: 1}, 0)
     # 60 images, two kinds and sizes; one block of the gallery.
     assert made[-1].count() == 240
+
+
+@pytest.mark.parametrize("odd", [None, 1e12, np.inf])
+def test_best_pairs_equal_a_full_sort(monkeypatch, odd):
+    rng = np.random.default_rng(6)
+    monkeypatch.setattr(R.screening, "PIECE", 16)
+    gallery, queries = rng.normal(size=(90, 6)), rng.normal(size=(40, 6))
+    gallery[20:50] = gallery[3]
+    gallery[50:60] = gallery[3] + rng.normal(size=(10, 6)) * 1e-9
+    if odd is not None:
+        gallery[7, 1] = odd
+    items = rng.permutation(90) + 100
+    row, at, score = R.best_pairs(queries, gallery, items, 5)
+    scores = (queries[:, None] * gallery[None]).sum(2)
+    for i in range(40):
+        want = np.lexsort((items, -np.round(scores[i], 12)))[:5]
+        assert list(at[row == i]) == list(want)
+    assert len(row) == 200 and score == pytest.approx(scores[row, at])
+
+
+def test_pair_counts_equal_brute_force(monkeypatch):
+    rng = np.random.default_rng(7)
+    monkeypatch.setattr(R.screening, "PIECE", 16)
+    q = rng.normal(size=(50, 5))
+    q[30:] = q[2] + rng.choice([0, 1e-9], (20, 5))
+    t = q[rng.permutation(50)] + rng.choice([0, 1e-8], (50, 5))
+    t[40:] = t[1]
+    for at in (np.arange(50), np.arange(50) // 2):
+        scores = np.einsum("ik,jk->ij", q, t)
+        own = scores.diagonal().copy()
+        got = R.pair_counts(q, t, own, own, at, at, True)
+        assert (got[0] == R._ahead(scores, own, at, at)).all()
+        assert (got[1] == R._ahead(scores.T, own, at, at)).all()
+
+
+def test_paired_tiles_hand_on_one_row_a_side(spark, monkeypatch):
+    monkeypatch.setattr(tiles, "block_rows", lambda width: 8)
+    whole, made = tiles.cross_tiles, []
+
+    def kept(*args, **kwargs):
+        made.append(whole(*args, **kwargs))
+        return made[-1]
+    monkeypatch.setattr(R, "cross_tiles", kept)
+    image = np.random.default_rng(8).normal(size=(60, 4))
+    R.paired_ranks(pair_frame(spark, image, image), "image", "caption")
+    assert made[-1].count() == 120
