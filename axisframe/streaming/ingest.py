@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.utils import AnalysisException
 
 from axisframe.operators.contracts import ContractError
@@ -64,48 +64,39 @@ def resume_compatibility(spark: SparkSession, metadata_path: str, output_path: s
 
 #: The order of lines: older files first, then their names, then the place in the file.
 _PLACE = ["mtime", "file", "block", "pos"]
-#: Lines that are no success go through so many groups, as they need no state.
-_FREE_GROUPS = 1024
 
 
-def _first_of_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Number the lines of a task, and keep the first of an id's successes with their count.
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Number the lines of a task: streams have no column function for it."""
+    seen = 0
+    for batch in batches:
+        yield batch.append_column("pos", pa.array(np.arange(seen, seen + batch.num_rows)))
+        seen += batch.num_rows
+
+
+def _settled(lines: DataFrame) -> DataFrame:
+    """``(folder, image_id, line)``: the earliest success of an id, once in the life of the stream.
 
-    An id repeated in a third of the lines reaches its group as one row for every Arrow batch.
+    An id's state is one aggregate: its earliest line, how many there were, and the times of the first and
+    last batch that had it. These are equal only in the batch that completes the id. A batch keeps its time
+    when it runs again. Tasks merge an id's lines before they send them on, and other lines need no state.
     """
-    seen = 0
-    for frame in batches:
-        frame["pos"] = range(seen, seen + len(frame))
-        seen += len(frame)
-        good = frame["kind"] == "ok"
-        ours = frame[good].sort_values(_PLACE)
-        frame["n"] = 1
-        first = ours.drop_duplicates("name").assign(n=lambda x: x["name"].map(ours["name"].value_counts()))
-        yield pd.concat([frame[~good], first])[["kind", "name", "line", *_PLACE, "n"]]
-
-
-def _settle(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The earliest success of an id, once in the life of the stream; other lines as they come."""
-    kind, name = key
-    if kind != "ok":
-        for frame in frames:
-            yield frame.assign(folder=kind, image_id=None)[["folder", "image_id", "line"]]
-        return
-    best, total = None, 0
-    for frame in frames:
-        total += int(frame["n"].sum())
-        head = frame.sort_values(_PLACE).iloc[0]
-        if best is None or tuple(head[_PLACE]) < tuple(best[_PLACE]):
-            best = head
-    rows = [] if state.exists else [("ok", name, best["line"])]
-    if state.exists or total > 1:
-        rows.append(("duplicates", name, None))
-    state.update((True,))
-    yield pd.DataFrame(rows, columns=["folder", "image_id", "line"], dtype=object)
+    good = lines.where("kind = 'ok'").withColumn("now", F.current_timestamp()).groupBy("name").agg(
+        F.min_by("line", F.struct(*_PLACE)).alias("line"), F.count("*").alias("n"),
+        F.min("now").alias("since"), F.max("now").alias("latest"))
+    result = F.filter(F.array(
+        F.when(F.col("since") == F.col("latest"), F.struct(
+            F.lit("ok").alias("folder"), F.col("name").alias("image_id"), F.col("line").alias("line"))),
+        F.when(F.col("n") > 1, F.struct(
+            F.lit("duplicates").alias("folder"), F.col("name").alias("image_id"), F.lit(None).cast("string").alias("line")))),
+        lambda r: r.isNotNull())
+    free = lines.where("kind <> 'ok'").select(
+        F.col("kind").alias("folder"), F.lit(None).cast("string").alias("image_id"), "line")
+    return good.select(F.explode(result).alias("r")).select("r.*").unionByName(free)
 
 
 def _lines(spark: SparkSession, source: str, schema: T.StructType, max_files: int | None) -> DataFrame:
-    """The stream of ``(kind, name, line, mtime, file, block)``; ``name`` is the id of a success."""
+    """The stream of ``(kind, name, line, mtime, file, block, pos)``; ``name`` is the id of a success."""
     # Without this a file that is a week older than the newest one is passed over in silence.
     reader = spark.readStream.option("maxFileAge", "36500d")
     if max_files:
@@ -115,11 +106,11 @@ def _lines(spark: SparkSession, source: str, schema: T.StructType, max_files: in
     kind = (F.when(F.col("row").isNull() | F.col("row._broken").isNotNull(), "broken")
             .when(~F.col("row.status").eqNullSafe("ok"), "errors")
             .when(F.col("row.image_id").isNull(), "broken").otherwise("ok"))
-    free = F.pmod(F.xxhash64("value"), F.lit(_FREE_GROUPS)).cast("string")
     return (reader.text(source).where(F.trim("value") != "").withColumn("row", row).withColumn("kind", kind)
-            .select("kind", F.when(F.col("kind") == "ok", F.col("row.image_id").cast("string")).otherwise(free).alias("name"),
-                    F.col("value").alias("line"), F.col("_metadata.file_modification_time").cast("double").alias("mtime"),
-                    F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")))
+            .select("kind", F.col("row.image_id").cast("string").alias("name"), F.col("value").alias("line"),
+                    F.col("_metadata.file_modification_time").cast("double").alias("mtime"),
+                    F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+            .mapInArrow(_numbered, "kind string, name string, line string, mtime double, file string, block long, pos long"))
 
 
 def ingest_annotations_stream(spark: SparkSession, source: str, target: str, checkpoint: str,
@@ -131,8 +122,8 @@ def ingest_annotations_stream(spark: SparkSession, source: str, target: str, che
     id, to ``target/broken`` as they stand. Blank lines are passed over. Of an id's successes the
     earliest stays (older file, then file name, then line; a later batch never replaces an earlier one).
 
-    Which ids are complete is keyed state of the stream, so a batch looks up its own ids and reads
-    nothing of what was written before. The state is part of ``checkpoint``: a new checkpoint for a
+    Which ids are complete, and by which line, is keyed state of the stream, so a batch looks up its own ids
+    and reads nothing of what was written before. The state is part of ``checkpoint``: a new checkpoint for a
     target that holds rows is refused. A file is never read twice. ``foreachBatch`` may run a batch
     again after a failure; it starts from the same state, and every write replaces the folder of its batch.
     """
@@ -162,16 +153,13 @@ def ingest_annotations_stream(spark: SparkSession, source: str, target: str, che
             kept.unpersist()
         batches += 1
 
-    numbered = _lines(spark, source, schema, max_files).mapInPandas(
-        _first_of_batch, "kind string, name string, line string, mtime double, file string, block long, pos long, n long")
-    settled = numbered.groupBy("kind", "name").applyInPandasWithState(
-        _settle, "folder string, image_id string, line string", "done boolean", "append", GroupStateTimeout.NoTimeout)
+    settled = _settled(_lines(spark, source, schema, max_files))
     # State of any size lies on the executors' disks and in the checkpoint, not in their heaps.
     name = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(name)
     spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        query = (settled.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
+        query = (settled.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
                  .foreachBatch(write).trigger(availableNow=True).start())
     finally:
         spark.conf.set(name, before)

@@ -197,6 +197,23 @@ def test_ingest_reads_each_file_once(spark, tmp_path):
     assert read("ok") == ["a", "b", "c"] and read("errors") == ["b"] and read("duplicates") == ["a", "c"]
 
 
+def test_ingest_keeps_its_state_without_python_calls(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    for n in range(3):
+        (source / f"{n}.json").write_text("".join(
+            '{"image_id": "%s", "status": "ok", "present": ["%d"]}\n' % (i, n) for i in ("hot", f"own{n}") * (n + 1)))
+        os.utime(source / f"{n}.json", (1000 + n, 1000 + n))
+    plan = ingest._settled(ingest._lines(spark, str(source), ROW, 1))._jdf.queryExecution().logical().toString()
+    assert "Aggregate" in plan and "WithState" not in plan
+    target = str(tmp_path / "out")
+    assert ingest.ingest_annotations_stream(spark, str(source), target, str(tmp_path / "cp"), ROW, max_files=1) == 3
+    read = lambda folder: sorted(
+        (r["image_id"], r["batch"]) for r in ingest.read_ingested(spark, target, ROW, folder).collect())
+    assert read("ok") == [("hot", 0), ("own0", 0), ("own1", 1), ("own2", 2)]
+    assert read("duplicates") == [("hot", 1), ("hot", 2), ("own1", 1), ("own2", 2)]
+
+
 def test_ingest_keeps_the_earliest_success_and_broken_lines(spark, tmp_path):
     source, target = tmp_path / "in", str(tmp_path / "out")
     source.mkdir()
