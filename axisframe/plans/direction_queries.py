@@ -512,8 +512,9 @@ def parse_edge_decisions(spark, sf):
 
 
 def _clustered(spark, sf, linkage, floor):
-    phrases, edges = _edges(spark, sf)
-    weights = edges.select("left", "right", F.col("text_cosine").alias("weight"))
+    # Clusters need no edge ids, so the edges are not sorted.
+    phrases = I.vectors(spark, sf).select(F.format_string("v%06d", "vec_id").alias("phrase"), "embedding")
+    weights = similarity.cosine_edges(phrases, I.EDGE_THRESHOLD, "phrase").withColumnRenamed("cosine", "weight")
     return clustering.cluster_phrases(phrases.select("phrase"), "adjudicated", adjudicated=weights,
                                       linkage=linkage, min_similarity=floor)
 
