@@ -180,6 +180,17 @@ def test_edge_decision_contract(spark):
         ("e1", "decided_twice"), ("e2", "undecided"), ("e9", "unknown_edge"), ("e2", "unbound_phrase")}
 
 
+def test_violations_need_ids_and_ends_only(spark):
+    edges = spark.createDataFrame([("e0", "a", "b"), ("e1", "y", "z"), ("e2", "b", "z")],
+                                  "edge_id string, left string, right string")
+    decisions = spark.createDataFrame([("e0", True), ("e1", True), ("e2", False)], "edge_id string, equivalent boolean")
+    phrases = spark.createDataFrame([("a",), ("b",)], "phrase string")
+    bad = joins.edge_decision_violations(edges, decisions, phrases)
+    assert sorted(map(tuple, bad.collect())) == [("e1", "unbound_phrase"), ("e2", "unbound_phrase")]
+    accepted = joins.accepted_edges(edges, decisions, weighted=False)
+    assert sorted(map(tuple, accepted.collect())) == [("e0", "a", "b", 1.0), ("e1", "y", "z", 1.0)]
+
+
 def test_frequency_report_orders(spark):
     stats = support.attribute_statistics(support.tag_mentions(spark.createDataFrame(ROWS, TAGS)))
     assert [r["attribute"] for r in support.frequency_report(stats, sort="name").collect()] == ["red", "round"]
