@@ -110,7 +110,9 @@ def _written_ids(spark, sf):
     path = scratch_folder(spark, "ids")
     docs = I.table(spark, sf, "documents").select(
         "source", F.floor(F.col("doc_id") / 500).alias("block"), "doc_id")
-    placed = docs.repartition("source", "block").sortWithinPartitions("source", "block", "doc_id")
+    # Small in bytes but many files: without a fixed number of tasks they would be coalesced into one.
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    placed = docs.repartition(tasks, "source", "block").sortWithinPartitions("source", "block", "doc_id")
     placed.select("source", "block", F.col("doc_id").cast("string").alias("value")).write.partitionBy(
         "source", "block").text(path)
     return path

@@ -304,3 +304,15 @@ def test_query_equals_sql(spark, name):
     names = [d[0] for d in cursor.description]
     assert sorted(names) == sorted(df.columns)
     assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of(names, cursor.fetchall())
+
+
+def test_id_files_are_written_by_many_tasks(spark, tmp_path):
+    from axisframe.plans import io_queries
+
+    rows = [(i, f"src{i % 20}") for i in range(4000)]
+    spark.createDataFrame(rows, "doc_id long, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    path = io_queries._written_ids(spark, str(tmp_path))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path").collect()
+    assert len(files) == 160
+    # A file is named by the task that wrote it.
+    assert len({r["path"].rsplit("/", 1)[1].split("-")[1] for r in files}) > 4
