@@ -53,6 +53,24 @@ def types_of(bodies: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.zeros(0, np.int32), *parts]), np.cumsum([0, *map(len, parts)])
 
 
+def tokenized(docs: DataFrame) -> DataFrame:
+    """``(key, h, types)`` of ``(key, h, body)``: counts, training and scores read the types of a text, as bytes."""
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        types, ends = types_of(batch.column("body"))
+        place = pa.py_buffer((ends * types.itemsize).astype(np.int32))
+        packed = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, place, pa.py_buffer(types)])
+        return pa.RecordBatch.from_arrays([batch.column("key"), batch.column("h"), packed], ["key", "h", "types"])
+
+    kind = docs.schema["key"].dataType.simpleString()
+    return map_arrow(docs, run, f"key {kind}, h long, types binary", "body", SLICE_BYTES)
+
+
+def unpacked(packed: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """What ``types_of`` gave for the texts of a slice of ``tokenized``."""
+    values = [np.frombuffer(v.as_buffer(), np.int32) for v in packed]
+    return np.concatenate([np.zeros(0, np.int32), *values]), np.cumsum([0, *map(len, values)])
+
+
 def contexts(types: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The neighbours of every token, 0 beyond its text's ends."""
     n = len(types)
@@ -74,9 +92,12 @@ def start(seed: int = 11) -> list[np.ndarray]:
 
 def _forward(weights: list[np.ndarray], around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     code, w1, b1, w2, b2 = weights
-    seen = code[around % INPUTS].reshape(len(around), -1)
-    hidden = np.tanh(seen @ w1 + b1)
-    logits = hidden @ w2 + b2
+    seen = code.take((around % INPUTS).ravel(), axis=0).reshape(len(around), -1)
+    hidden = seen @ w1
+    hidden += b1
+    np.tanh(hidden, out=hidden)
+    logits = hidden @ w2
+    logits += b2
     logits -= logits.max(1, keepdims=True)
     return seen, hidden, logits
 
@@ -86,36 +107,44 @@ def train(weights: list[np.ndarray], around: np.ndarray, classes: np.ndarray, ba
     """One pass of Adam over windows and the classes of their hidden tokens."""
     weights = [w.copy() for w in weights]
     first, second = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
+    column = np.arange(CODE)
     for step, i in enumerate(range(0, len(classes), batch), 1):
         ids, y = around[i:i + batch] % INPUTS, classes[i:i + batch]
-        seen, hidden, logits = _forward(weights, ids)
-        p = np.exp(logits)
+        seen, hidden, p = _forward(weights, ids)
+        np.exp(p, out=p)
         p /= p.sum(1, keepdims=True)
         p[np.arange(len(y)), y] -= 1
         p /= len(y)
-        back = (p @ weights[3].T) * (1 - hidden ** 2)
-        d_seen = (back @ weights[1].T).reshape(-1, CODE)
-        d_code = np.zeros_like(weights[0])
-        np.add.at(d_code, ids.ravel(), d_seen)
+        back = p @ weights[3].T
+        back *= 1 - hidden * hidden
+        d_seen = back @ weights[1].T
+        cells = (ids.reshape(-1, 1) * CODE + column).ravel()
+        d_code = np.bincount(cells, d_seen.ravel(), INPUTS * CODE).astype(np.float32).reshape(INPUTS, CODE)
         grads = [d_code, seen.T @ back, back.sum(0), hidden.T @ p, p.sum(0)]
-        pace = rate * np.sqrt(1 - 0.999 ** step) / (1 - 0.9 ** step)
+        # a Python number: numpy's would turn every update into doubles
+        pace = float(rate * np.sqrt(1 - 0.999 ** step) / (1 - 0.9 ** step))
         for w, g, m, v in zip(weights, grads, first, second, strict=True):
             m += 0.1 * (g - m)
-            v += 0.001 * (g * g - v)
-            w -= pace * m / (np.sqrt(v) + 1e-8)
+            g *= g
+            v += 0.001 * (g - v)
+            size = np.sqrt(v)
+            size += 1e-8
+            np.divide(m, size, out=size)
+            size *= pace
+            w -= size
     return weights
 
 
-def corpus_counts(docs: DataFrame) -> np.ndarray:
-    """Tokens of each type in all documents; tasks count first, the table of types is of fixed size."""
+def corpus_counts(tokens: DataFrame) -> np.ndarray:
+    """Tokens of each type in all documents of ``tokenized``; tasks count first, the table of types is of fixed size."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(TYPES, np.int64)
         for batch in batches:
-            total += np.bincount(types_of(batch.column("body"))[0], minlength=TYPES)
+            total += np.bincount(unpacked(batch.column("types"))[0], minlength=TYPES)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], ["type", "n"])
 
-    rows = docs.select("body").mapInArrow(run, "type int, n long").groupBy("type").agg(F.sum("n").alias("n")).toPandas()
+    rows = tokens.select("types").mapInArrow(run, "type int, n long").groupBy("type").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(TYPES)
     counts[rows["type"].to_numpy(np.int64)] = rows["n"].to_numpy(float)
     return counts
@@ -136,7 +165,11 @@ def classes_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def windows(bodies: pa.Array, h: np.ndarray, rate: int) -> tuple[np.ndarray, np.ndarray]:
     """Types and neighbours of one token in ``rate`` of every text, chosen and mixed by hash."""
-    types, ends = types_of(bodies)
+    return mixed_windows(*types_of(bodies), h, rate)
+
+
+def mixed_windows(types: np.ndarray, ends: np.ndarray, h: np.ndarray, rate: int) -> tuple[np.ndarray, np.ndarray]:
+    """``windows`` of texts whose types are known."""
     around = contexts(types, ends)
     mixed = (np.arange(len(types)) + np.repeat(h, np.diff(ends))).astype(np.uint64)
     mixed = (mixed ^ mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
@@ -146,20 +179,20 @@ def windows(bodies: pa.Array, h: np.ndarray, rate: int) -> tuple[np.ndarray, np.
     return types[mine], around[mine]
 
 
-def fit(docs: DataFrame, counts: np.ndarray, rate: int = RATE) -> list[np.ndarray]:
-    """Train replicas on the windows of the corpus and average them, a fixed number at a time."""
+def fit(tokens: DataFrame, counts: np.ndarray, rate: int = RATE) -> list[np.ndarray]:
+    """Train replicas on the windows of ``tokenized`` texts and average them, a fixed number at a time."""
     of = classes_of(counts)[0]
     begun = start()
-    tokens = counts.sum()
-    replicas = max(1, int(np.ceil(tokens / rate / REPLICA_WINDOWS)))
-    spark = docs.sparkSession
+    replicas = max(1, int(np.ceil(counts.sum() / rate / REPLICA_WINDOWS)))
+    spark = tokens.sparkSession
     shared = spark.sparkContext.broadcast((begun, of))
     sizes = [w.size for w in begun]
 
     def learn(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         weights, classes = shared.value
         rows = rows.sort_values("h")
-        types, around = windows(pa.array(rows["body"], pa.binary()), rows["h"].to_numpy(np.int64), rate)
+        types, ends = unpacked(pa.array(rows["types"], pa.binary()))
+        types, around = mixed_windows(types, ends, rows["h"].to_numpy(np.int64), rate)
         trained = train(weights, around, classes[types])
         flat = np.concatenate([w.ravel() for w in trained])
         return pd.DataFrame({"replica": [key[0]], "n": [len(types)], "weights": [flat]})
@@ -171,7 +204,7 @@ def fit(docs: DataFrame, counts: np.ndarray, rate: int = RATE) -> list[np.ndarra
 
     schema = "replica long, n long, weights array<float>"
     # Documents go to the replicas, as windows would be many times their size.
-    models = materialize(docs.select("h", "body", F.pmod(F.xxhash64("key", "h"), F.lit(replicas)).alias("replica"))
+    models = materialize(tokens.select("h", "types", F.pmod(F.xxhash64("key", "h"), F.lit(replicas)).alias("replica"))
                          .groupBy("replica").applyInPandas(learn, schema))
     while replicas > 1:
         replicas = -(-replicas // 16)
@@ -192,7 +225,8 @@ def log_probabilities(types: np.ndarray, ends: np.ndarray, weights: list[np.ndar
     for i in range(0, len(types), step):
         logits = _forward(weights, around[i:i + step])[2]
         mine = types[i:i + step]
-        out[i:i + step] = (logits[np.arange(len(mine)), of[mine]] - np.log(np.exp(logits).sum(1))) + share[mine]
+        own = logits[np.arange(len(mine)), of[mine]]
+        out[i:i + step] = (own - np.log(np.exp(logits, out=logits).sum(1))) + share[mine]
     return out
 
 
@@ -204,12 +238,14 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", rate: int = RA
     """
     docs = df.select(F.col(key).alias("key"), text_bytes(text).alias("body")).select(
         "key", F.xxhash64("body").alias("h"), "body")
-    counts = corpus_counts(docs)
+    # Splitting texts into words is dear: it is done once.
+    tokens = materialize(tokenized(docs))
+    counts = corpus_counts(tokens)
     of, share = classes_of(counts)
-    shared = df.sparkSession.sparkContext.broadcast((fit(docs, counts, rate), of, share.astype(np.float32)))
+    shared = df.sparkSession.sparkContext.broadcast((fit(tokens, counts, rate), of, share.astype(np.float32)))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        types, ends = types_of(batch.column("body"))
+        types, ends = unpacked(batch.column("types"))
         value = log_probabilities(types, ends, *shared.value)
         size = np.diff(ends)
         row = np.repeat(np.arange(len(size)), size)
@@ -219,6 +255,6 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", rate: int = RA
                                           ["key", "n_tokens", "log_likelihood", "mean_log_probability"])
 
     kind = df.schema[key].dataType.simpleString()
-    return map_arrow(docs.select("key", "body"), run,
+    return map_arrow(tokens.select("key", "types"), run,
                      f"key {kind}, n_tokens long, log_likelihood double, mean_log_probability double",
-                     "body", SLICE_BYTES).withColumnRenamed("key", key)
+                     "types", SLICE_BYTES).withColumnRenamed("key", key)
