@@ -95,6 +95,11 @@ def lexical_variant_key(spark, sf):
 
 
 # Clusters of the tag phrases for the cluster reports: one per first letter.
+def _tag_rows(spark, sf):
+    """The tag rows, joined once for all that a query reads from them; each is one tagged image."""
+    return materialize(I.tag_rows(spark, sf))
+
+
 def _letters(mentions):
     phrases = mentions.select("phrase").distinct()
     return phrases.select("phrase", F.substring("phrase", 1, 1).alias("cluster"))
@@ -115,8 +120,9 @@ _LEADER = """lead as (select substring(phrase, 1, 1) as cluster, phrase as name,
   select cluster, mentions, class_support, round(prevalence, 6) as prevalence,
     round(image_prevalence, 6) as image_prevalence from csup"""))
 def cluster_support(spark, sf):
-    mentions = materialize(I.tags(spark, sf))
-    s = support.cluster_support(mentions, _letters(mentions))
+    rows = _tag_rows(spark, sf)
+    mentions = I.mentions_of(rows)
+    s = support.cluster_support(mentions, _letters(mentions), rows.select("image_id", "class"))
     return s.select("cluster", "mentions", "class_support", r6("prevalence"), r6("image_prevalence"))
 
 
@@ -132,10 +138,12 @@ def cluster_leader(spark, sf):
   select name, cluster, row_number() over (order by round(prevalence, 9) desc, c.class_support desc,
     c.mentions desc, name) as priority from csup c join lead using (cluster) where rn = 1"""))
 def concept_priority(spark, sf):
-    mentions = materialize(I.tags(spark, sf))
-    clusters = _letters(mentions)
-    stats = support.cluster_support(mentions, clusters)
-    names = support.cluster_leader(support.attribute_support(mentions), clusters)
+    rows = _tag_rows(spark, sf)
+    mentions, images = I.mentions_of(rows), rows.select("image_id", "class")
+    found = materialize(support.attribute_support(mentions, images))
+    clusters = _letters(found)
+    stats = support.cluster_support(mentions, clusters, images)
+    names = support.cluster_leader(found, clusters)
     ordered = support.concept_priority(stats.join(names.select("cluster", "name"), "cluster"))
     return ordered.select("name", "cluster", F.col("priority").cast("long"))
 
@@ -251,9 +259,10 @@ def explicit_id_list(spark, sf):
 
 # ---- dictionary lookups and exemplars --------------------------------------
 
-def _dictionary(spark, sf, mentions=None):
+def _dictionary(spark, sf, rows=None):
     """One concept per letter of the tag phrases, named by its leader."""
-    found = materialize(support.attribute_support(I.tags(spark, sf) if mentions is None else mentions))
+    rows = _tag_rows(spark, sf) if rows is None else rows
+    found = materialize(support.attribute_support(I.mentions_of(rows), rows.select("image_id", "class")))
     clusters = found.select("phrase", F.substring("phrase", 1, 1).alias("cluster"))
     names = support.cluster_leader(found, clusters)
     # A cluster holds a dictionary entry's members, not rows of the data.
@@ -272,8 +281,8 @@ _FLAGGED = ["small", "ring"]
 @query("map_tags_to_concepts", "tags", ", " + _DICT + """ select distinct image_id, concept_idx, name
   from tags join dict on member = phrase""")
 def map_tags_to_concepts(spark, sf):
-    mentions = _mentions(spark, sf)
-    return joins.map_tags_to_concepts(mentions, _dictionary(spark, sf, mentions))
+    rows = _tag_rows(spark, sf)
+    return joins.map_tags_to_concepts(rows, _dictionary(spark, sf, rows))
 
 
 @query("drop_flagged_concepts", "tags", ", " + _DICT + """, flagged as (select distinct phrase as name
@@ -281,23 +290,18 @@ def map_tags_to_concepts(spark, sf):
   select distinct image_id, name from tags join dict on member = phrase
   where name not in (select name from flagged)""")
 def drop_flagged_concepts(spark, sf):
-    mentions = _mentions(spark, sf)
-    flagged = mentions.where(F.col("phrase").isin(*_FLAGGED)).select(
+    rows = _tag_rows(spark, sf)
+    flagged = I.mentions_of(rows).where(F.col("phrase").isin(*_FLAGGED)).select(
         F.col("phrase").alias("name")).distinct()
-    return joins.map_tags_to_concepts(mentions, _dictionary(spark, sf, mentions),
+    return joins.map_tags_to_concepts(rows, _dictionary(spark, sf, rows),
                                       flagged=flagged).select("image_id", "name")
 
 
-def _mentions(spark, sf):
-    """The tag mentions, joined once for the dictionary and for the lookup in it."""
-    return materialize(I.tags(spark, sf))
-
-
 def _exemplars(spark, sf):
-    mentions = _mentions(spark, sf)
-    dictionary = _dictionary(spark, sf, mentions)
+    rows = _tag_rows(spark, sf)
+    dictionary = _dictionary(spark, sf, rows)
     terms = dictionary.select("name", F.explode("members").alias("term"))
-    return joins.tag_backed_exemplars(mentions, terms), dictionary
+    return joins.tag_backed_exemplars(rows, terms), dictionary
 
 
 _HITS = """hits as (select name, image_id, string_agg(phrase, ',' order by phrase) as matched,
