@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from axisframe.functions.columns import image_class
 from axisframe.operators.ranking import exact_percentiles, join_groups
+from axisframe.session import materialize
 
 # The query lengths whose recall the sweep averages, and the busy mark.
 SWEEP_SIZES = (4, 8, 14)
@@ -93,18 +94,20 @@ def diverse_examples(candidates: DataFrame, k: int, group: str = "name",
                      order: Sequence[str] = ("pos",)) -> DataFrame:
     """Per group: the first candidate of every class, then the rest in order, up to ``k``.
 
-    At most ``k`` class leaders and ``k`` others can matter. Leaders come from a combining
-    ``min`` and the others from a limited window, so a hot concept never gathers in one task.
+    At most ``k`` class leaders and ``k`` others can matter, and both are among the first ``k`` of their
+    class: one pass over the candidates keeps those, by a limited window that starts in the tasks, so a
+    hot concept never gathers in one task.
     """
-    rows = candidates.withColumn("_class", image_class("image_id"))
-    key = F.struct(*order, "image_id")
-    first = rows.groupBy(group, "_class").agg(F.min(key).alias("_key"))
-    lead = Window.partitionBy(group).orderBy("_key")
-    leaders = (first.withColumn("_n", F.row_number().over(lead)).where(F.col("_n") <= k)
+    of_class = Window.partitionBy(group, "_class").orderBy("_key")
+    rows = candidates.select(group, image_class("image_id").alias("_class"),
+                             F.struct(*order, "image_id").alias("_key"))
+    # Read twice below; no more rows than k for a group and class.
+    first = materialize(rows.withColumn("_c", F.row_number().over(of_class)).where(F.col("_c") <= k))
+    near = Window.partitionBy(group).orderBy("_key")
+    leaders = (first.where(F.col("_c") == 1).withColumn("_n", F.row_number().over(near)).where(F.col("_n") <= k)
                .select(group, "_key", F.lit(0).alias("_rest")))
     # The k first candidates include every other that can be used: fewer than k classes exist then.
-    near = Window.partitionBy(group).orderBy("_key")
-    others = (rows.select(group, key.alias("_key")).withColumn("_n", F.row_number().over(near))
+    others = (first.select(group, "_key").withColumn("_n", F.row_number().over(near))
               .where(F.col("_n") <= k).select(group, "_key", F.lit(1).alias("_rest")))
     both = leaders.unionByName(others).groupBy(group, "_key").agg(F.min("_rest").alias("_rest"))
     place = Window.partitionBy(group).orderBy("_rest", "_key")
