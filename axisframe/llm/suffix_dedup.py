@@ -198,12 +198,16 @@ def repeated_windows(text: np.ndarray, starts: np.ndarray, counts: np.ndarray, w
     return order, group, many[group]
 
 
-_RUN = "doc {kind}, h long, start int, windows int, anchor long, rhash long"
+_RUN = "doc {kind}, h long, start int, windows int, anchor long, rhash long, times int"
 _SPAN = "doc {kind}, h long, low int, high int"
 
 
 def find_runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """The runs of ``(doc, h, body)``, with a hash of their text."""
+    """The runs of ``(doc, h, body)``, with a hash of their text.
+
+    A text that repeats itself every few bytes has a run for every period: equal runs that follow each
+    other are one row, which counts its ``times``.
+    """
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         body = batch.column("body")
         ends = np.frombuffer(body.buffers()[1], np.int32)[body.offset:body.offset + len(body) + 1].astype(np.int64)
@@ -215,11 +219,17 @@ def find_runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
         digest = xxhash.xxh64_intdigest
         hashes = np.array([digest(view[a:b]) for a, b in
                            zip(low.tolist(), (low + windows + length - 1).tolist(), strict=True)], np.uint64)
-        row = pa.array(doc)
+        fresh = np.ones(len(doc), bool)
+        fresh[1:] = ((hashes[1:] != hashes[:-1]) | (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
+                     | (windows[1:] != windows[:-1]) | (start[1:] != start[:-1] + windows[:-1]))
+        first = np.flatnonzero(fresh)
+        times = np.diff(np.append(first, len(doc)))
+        row = pa.array(doc[first])
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc").take(row), batch.column("h").take(row), pa.array(start, pa.int32()),
-             pa.array(windows, pa.int32()), pa.array(anchor, pa.int64()), pa.array(hashes.view(np.int64))],
-            ["doc", "h", "start", "windows", "anchor", "rhash"])
+            [batch.column("doc").take(row), batch.column("h").take(row), pa.array(start[first], pa.int32()),
+             pa.array(windows[first], pa.int32()), pa.array(anchor[first], pa.int64()),
+             pa.array(hashes[first].view(np.int64)), pa.array(times, pa.int32())],
+            ["doc", "h", "start", "windows", "anchor", "rhash", "times"])
 
     kind = docs.schema["doc"].dataType.simpleString()
     return map_arrow(docs, run, _RUN.format(kind=kind), "body")
@@ -331,15 +341,15 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
     runs = find_runs(docs, length, gram)
     # anchors that occur once cannot repeat; partial counts leave the map side
     # written, so that the join reads both sides from exchanges and a hot anchor's runs can be split
-    often = materialize(runs.groupBy("anchor").agg(F.count("*").alias("times")).where(F.col("times") > 1)
+    often = materialize(runs.groupBy("anchor").agg(F.sum("times").alias("all")).where(F.col("all") > 1)
                         .select("anchor"))
     able = materialize(runs.join(often, "anchor"))
     merged = able.groupBy("anchor", "rhash").agg(
-        F.count("*").alias("n"), F.min(F.struct("doc", "h", "start", "windows")).alias("at"))
+        F.sum("times").alias("n"), F.min(F.struct("doc", "h", "start", "windows")).alias("at"))
     merged = materialize(merged)
     whole = (able.join(merged.where(F.col("n") > 1).select("anchor", "rhash"), ["anchor", "rhash"])
              .select("doc", "h", F.col("start").alias("low"),
-                     (F.col("start") + F.col("windows") + F.lit(length - 1)).alias("high")))
+                     (F.col("start") + F.col("windows") * F.col("times") + F.lit(length - 1)).alias("high")))
     groups = (merged.groupBy("anchor").agg(
         F.count("*").alias("texts"), F.sum(F.col("at.windows") + F.lit(length)).alias("bytes"))
         .where(F.col("texts") > 1).select("anchor", F.ceil(F.col("bytes") / shard_bytes).alias("shards")))

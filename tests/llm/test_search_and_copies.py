@@ -237,6 +237,18 @@ def test_repeats_equal_brute_force(spark, shard):
     assert got == Counter((i % 24, *w) for i, w in enumerate(want))
 
 
+def test_a_text_of_short_period_makes_few_runs(spark):
+    texts = ["Is onhe. " * 300, "before " + "Is onhe. " * 200 + "after", "-" * 900, "abc" * 400]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    runs = suffix_dedup.find_runs(suffix_dedup.identified(df), 200, 24).collect()
+    most = Counter(r["doc"] for r in runs)
+    assert max(most.values()) <= 12
+    for i, t in enumerate(texts):
+        assert sum(r["windows"] * r["times"] for r in runs if r["doc"] == i) == len(t) - 199
+    got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.digests(df).collect()}
+    assert got == dict(enumerate(brute_removal([t.encode() for t in texts])))
+
+
 def test_digest_rows_and_whole_rows(spark):
     texts = corpus()
     df = spark.createDataFrame([(None if i == 2 else i, t, "k", i) for i, t in enumerate(texts)],
