@@ -2,6 +2,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from axisframe.operators import ranking
 from axisframe.operators.ranking import exact_percentiles, ranked, running_totals
 
 
@@ -55,3 +56,31 @@ def test_null_groups_are_groups(spark):
     assert middle == {None: 2.0, "a": 5.0}
     totals = running_totals(rows, ["v"], ["g"], {"before": "v"})
     assert {(r["g"], r["v"]): r["before"] for r in totals.collect()}[None, 9] == 3
+
+
+def test_ranked_slices(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(4)
+    value = np.where(rng.random(4000) < 0.6, 1.0, rng.integers(3, 9, 4000) / 10.0).tolist()
+    rows = [(f"v{i % 50:03d}", f"w{i:05d}", v) for i, v in enumerate(value)]
+    spark.createDataFrame(rows, "a string, b string, v double").repartition(5).write.parquet(f"{tmp_path}/t")
+    written = spark.read.parquet(f"{tmp_path}/t")
+    monkeypatch.setattr(ranking, "SLICE_ROWS", 200)
+    placed = ranking.ranked_slices(written, "v", ["a", "b"], name="n", start=0)
+    got = {(r["a"], r["b"]): r["n"] for r in placed.collect()}
+    want = sorted(rows, key=lambda r: (-r[2], r[0], r[1]))
+    assert got == {(a, b): i for i, (a, b, _) in enumerate(want)}
+    # the rows travel once, and the value of 60 % of them has many slices
+    plan = placed._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange") == 1
+    sliced, slices = ranking._cut(written, "v", ["a", "b"])
+    assert slices == 20 and max(r["count"] for r in sliced.groupBy("_slice").count().collect()) < 800
+    for few in (written.where("false"), written.limit(1)):
+        assert ranking.ranked_slices(few, "v", ["a", "b"]).count() == few.count()
+
+
+def test_ranked_does_not_shuffle_for_its_offsets(spark, frame):
+    df = spark.createDataFrame(frame).repartition(5)
+    placed = ranked(df, ["v", "id"])
+    placed.collect()
+    plan = placed._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
