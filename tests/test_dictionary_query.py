@@ -1,6 +1,9 @@
 """The candidates of the registered dictionary build."""
 
-from axisframe.operators import support
+import numpy as np
+import pytest
+
+from axisframe.operators import linalg, support
 from axisframe.plans import dictionary, direction_queries
 
 
@@ -32,3 +35,21 @@ def test_candidates_do_not_depend_on_the_number_of_documents(spark, tmp_path, mo
         assert seen.args == ({"common", "rare"}, set())
     else:
         raise AssertionError("the query does not build a dictionary")
+
+
+@pytest.mark.parametrize("gathered", [1 << 16, 7])
+def test_paired_means_send_a_vector_once(spark, monkeypatch, gathered):
+    monkeypatch.setattr(linalg, "GATHERED", gathered)
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(60, 5))
+    pairs = sorted({(f"p{k}", f"i{i}") for k, i in zip(rng.integers(0, 9, 300), rng.integers(0, 70, 300), strict=True)})
+    df = spark.createDataFrame(pairs, "phrase string, image_id string").repartition(6)
+    vectors = spark.createDataFrame([*((f"i{i}", x.tolist()) for i, x in enumerate(v)), ("i65", None)],
+                                    "image_id string, e array<double>")
+    found = linalg.paired_means(df, vectors, "phrase", "image_id", "e", len(pairs))
+    got = {r["phrase"]: r["e"] for r in found.collect()}
+    for p in {p for p, _ in pairs}:
+        want = np.mean([v[int(i[1:])] for q, i in pairs if q == p and int(i[1:]) < 60], axis=0)
+        np.testing.assert_allclose(got[p], want, atol=1e-12)
+    assert linalg.paired_means(df.where("false"), vectors, "phrase", "image_id", "e", 0).count() == 0
+    assert linalg.paired_means(df, vectors.where("false"), "phrase", "image_id", "e", 1).count() == 0
