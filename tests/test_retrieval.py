@@ -207,3 +207,33 @@ def test_paired_tiles_hand_on_one_row_a_side(spark, monkeypatch):
     image = np.random.default_rng(8).normal(size=(60, 4))
     R.paired_ranks(pair_frame(spark, image, image), "image", "caption")
     assert made[-1].count() == 120
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 64])
+def test_every_gallery_row_is_ranked(spark, monkeypatch, block_bytes):
+    monkeypatch.setattr(R, "BLOCK_BYTES", block_bytes)
+    monkeypatch.setattr(R, "RANKED_CELLS", 100)
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(70, 4))
+    v[40:] = v[3]
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    queries = spark.createDataFrame(rows[:50], "query_id long, embedding array<double>")
+    gallery = spark.createDataFrame(rows, "item_id long, embedding array<double>")
+    got = {}
+    for r in R.ranked_gallery(queries, gallery).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r)
+    scores = np.einsum("ik,jk->ij", v[:50], v)
+    assert sorted(got) == list(range(50))
+    for i, found in got.items():
+        want = np.lexsort((np.arange(70), -np.round(scores[i], 12)))
+        assert [r["item_id"] for r in found] == list(want) and [r["rank"] for r in found] == list(range(1, 71))
+        assert [r["score"] for r in found] == pytest.approx(scores[i][want])
+
+
+def test_gallery_scores_drops_no_pair(spark):
+    from axisframe.plans.catalog import ORACLES, QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{sf}/embeddings.parquet").count()
+    assert QUERIES["gallery_scores"](spark, sf).count() == n * n
+    assert "rank <=" not in ORACLES["gallery_scores"]
