@@ -237,3 +237,27 @@ def test_gallery_scores_drops_no_pair(spark):
     n = spark.read.parquet(f"{sf}/embeddings.parquet").count()
     assert QUERIES["gallery_scores"](spark, sf).count() == n * n
     assert "rank <=" not in ORACLES["gallery_scores"]
+
+
+@pytest.mark.parametrize("name", ["concept_rollouts", "nested_prefix_scores", "target_rank_avg_tie", "recall_curve",
+                                  "rank_change_by_length", "paired_comparison"])
+def test_vectors_positive_nearly_everywhere_have_ranks(spark, tmp_path, name):
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from axisframe.plans.catalog import ORACLES, QUERIES
+    from check_parity import rows_of
+
+    v = np.random.default_rng(10).normal(size=(40, 64)).astype(np.float32)
+    for row, lacking in ((0, 13), (1, 5), (2, 1), (3, 0)):
+        v[row] = np.abs(v[row])
+        v[row, 20:20 + lacking] *= -1
+    pq.write_table(pa.table({"vec_id": np.arange(40), "embedding": pa.array(list(v)), "label": np.arange(40) % 8}),
+                   tmp_path / "embeddings.parquet")
+    found = QUERIES[name](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from read_parquet('{tmp_path}/embeddings.parquet')")
+    cur = con.execute(ORACLES[name])
+    columns = [d[0] for d in cur.description]
+    assert rows_of(found.columns, [tuple(r) for r in found.collect()]) == rows_of(columns, cur.fetchall())
