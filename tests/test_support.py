@@ -208,3 +208,15 @@ def test_phrases_without_singular_stay_out_of_the_join(spark):
         "cities": "city", "dogs": "dog", "glass": "glass", "buss": "buss", "ties": "tie", "w7x": "w7x", None: None}
     text = plan._jdf.queryExecution().optimizedPlan().toString()
     assert "outer=true" not in text and "LeftOuter" not in text
+
+
+def test_cluster_support_deals_out_clusters_of_several_phrases_only(spark):
+    mentions = spark.createDataFrame([("a/1", "a", "x"), ("a/1", "a", "y"), ("b/2", "b", "y"), ("a/1", "a", "z"), ("b/3", "b", "z")],
+                                     "image_id string, class string, phrase string")
+    clusters = spark.createDataFrame([("x", "x"), ("y", "x"), ("z", "z")], "phrase string, cluster string")
+    found = support.cluster_support(mentions, clusters)
+    got = {r["cluster"]: (r["mentions"], r["class_support"]) for r in found.collect()}
+    assert got == {"x": (2, 2), "z": (2, 2)}
+    # The mentions of single phrases go to their counts without a distinct.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan and "(_size#" in plan and "= 1)" in plan
